@@ -1,0 +1 @@
+"""operators of the key-value log engine."""

@@ -1,0 +1 @@
+"""plans of the key-value log engine."""

@@ -1,0 +1 @@
+"""sources of the key-value log engine."""

@@ -1,0 +1 @@
+"""streaming of the key-value log engine."""
