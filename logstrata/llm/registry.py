@@ -22,8 +22,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, Path(TOKENIZERS, "piece_bpe_32k.model").read_bytes()).drop("text")
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logstrata.llm import quality_gam as gam
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gam.fit(docs, table(spark, sf_dir, "labels"))
+    return gam.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+#: Verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logstrata.llm.url_filter import filter_urls, train
+    from logstrata.llm.url_labels import ALLOW, BLOCK
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, URL_RULES, train(BLOCK, ALLOW)).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_sentencepiece": op10_sentencepiece}
+    found = [op1_quality_gam, op3_url_filter, op10_sentencepiece]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
