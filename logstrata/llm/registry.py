@@ -15,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of the pseudonyms; a deployment passes its own secret.
+PII_KEY = "an example key, not a secret"
+
+
+def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logstrata.llm.pii_feistel import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logstrata.llm.sharding import minimax_shards
+
+    return minimax_shards(table(spark, sf_dir, "documents"), 16)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logstrata.llm.tokenizer_fst import encode_decode
 
@@ -43,7 +59,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_gam, op3_url_filter, op10_sentencepiece]
+    found = [op1_quality_gam, op3_url_filter, op5_pii_feistel, op8_minimax_shards, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
