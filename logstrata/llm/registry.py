@@ -15,6 +15,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a full capture and a later 304 for it."""
+    from logstrata.llm import warc_revisit as warc
+
+    found = warc.resolve(warc.crawl_records(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", warc.header_text(found.headers))
+
+
+OP4_SQL = """
+with urls as (
+  select page_id, url, html, regexp_replace(url, '#.*$', '', 's') as plain from pages
+), parts as (
+  select page_id, url, html,
+    regexp_replace(regexp_replace(lower(regexp_extract(plain, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)?$', ''), '^www\\.', '') as host,
+    regexp_replace(regexp_extract(plain, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/$', '') as path,
+    list_sort(list_filter(string_split(regexp_extract(plain, '^[^?]*\\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid)(=|$)'))) as params
+  from urls
+), full_captures as (
+  select page_id, url, md5(html) as digest, octet_length(encode(html)) as n_bytes,
+    case when host <> '' then host || path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end end as canonical
+  from parts
+), revisits as (
+  select page_id * 2 + 1 as record_id, url as uri, page_id + 500 as time, canonical, digest, page_id from full_captures
+), found as (
+  select r.*, (select max(f.page_id) from full_captures f where f.canonical = r.canonical and f.page_id < r.time) as response_page from revisits r
+)
+select r.record_id, r.uri, r.time, r.canonical, f.page_id * 2 as response_id,
+  case when f.page_id is null then 'orphan' when f.digest = r.digest then 'resolved' else 'mismatch' end as status,
+  'cache-control: max-age=' || cast(r.page_id % 7 * 60 as varchar)
+    || case when f.digest = r.digest then chr(10) || 'content-length: ' || f.n_bytes || chr(10) || 'content-type: text/html; charset=utf-8' else chr(10) || 'content-length: 0' end
+    || chr(10) || 'date: ' || r.time || chr(10) || 'etag: W/"' || r.digest || '"'
+    || case when f.digest = r.digest then chr(10) || 'x-page: ' || f.page_id else '' end as headers,
+  case when f.digest = r.digest then f.digest end as payload_digest
+from found r left join full_captures f on f.page_id = r.response_page
+"""
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logstrata.llm.decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 #: Of the pseudonyms; a deployment passes its own secret.
 PII_KEY = "an example key, not a secret"
 
@@ -59,9 +102,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_gam, op3_url_filter, op5_pii_feistel, op8_minimax_shards, op10_sentencepiece]
+    found = [op1_quality_gam, op3_url_filter, op4_warc_revisits, op5_pii_feistel, op6_decontaminate, op8_minimax_shards, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_revisits": OP4_SQL}
