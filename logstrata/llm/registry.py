@@ -74,6 +74,12 @@ def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logstrata.llm.ngram_join import join_documents
+
+    return join_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logstrata.llm.tokenizer_fst import encode_decode
 
@@ -102,7 +108,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_gam, op3_url_filter, op4_warc_revisits, op5_pii_feistel, op6_decontaminate, op8_minimax_shards, op10_sentencepiece]
+    found = [op1_quality_gam, op3_url_filter, op4_warc_revisits, op5_pii_feistel, op6_decontaminate, op8_minimax_shards, op9_ngram_join, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
