@@ -137,11 +137,11 @@ def minimax_shards(docs: DataFrame, shards: int, *, doc_id: str = "doc_id", text
     placed = placed.select("g", "shard", "n", (F.col("rows_before") + F.col("earlier") - start).alias("base"))
     # Rows of a large group are numbered in parts, so that no task sorts the whole group.
     parts = F.least(F.ceil(F.col("n") / PART_ROWS), F.lit(MOST_PARTS))
-    row = rows.join(placed, "g").withColumn("part", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), parts).cast("int"))
+    row = rows.join(placed, "g").withColumn("part", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), parts).cast("int")).repartition("g", "part")
     counted = row.where(F.col("n") > PART_ROWS).groupBy("g", "part").agg(F.count("*").alias("in_part"))
     in_group = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("g", "part", F.coalesce(F.sum("in_part").over(in_group), F.lit(0)).alias("parts_before"))
-    numbered = row.repartition("g", "part").withColumn("nth", F.row_number().over(Window.partitionBy("g", "part").orderBy("doc_id")) - 1)
+    numbered = row.withColumn("nth", F.row_number().over(Window.partitionBy("g", "part").orderBy("doc_id")) - 1)
     numbered = numbered.join(offsets, ["g", "part"], "left")
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("base") + F.coalesce("parts_before", F.lit(0)) + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
