@@ -452,16 +452,16 @@ def _free(spark) -> None:
 
 
 def join_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """All columns but the text, with n_shingles and component_id, the least doc_id reachable by links.
+    """All columns but the text, with n_shingles, group and component_id, the least doc_id reachable by links.
 
-    Columns of these names are replaced. Documents without a word have n_shingles 0 and are
+    Columns of these names are replaced. ``group`` names the component whatever its ids are. Documents without a word have n_shingles 0 and are
     components of their own, as are repeated rows of them; copies of other texts are linked. A null
     doc_id is no candidate for the least; a component of such rows only has a null id. ``percent``
     of 100 links equal sets only.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
-    docs = docs.drop("n_shingles", "component_id", "nid")
+    docs = docs.drop("n_shingles", "component_id", "nid", "group")
     rows = scratch.table(measure(docs, text), "rows")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(partitions(spark), -(-total // BUCKET))
@@ -478,6 +478,26 @@ def join_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
     final = scratch.table(components(links, scratch, "all-components"), "final")
     scratch.drop("nodes")
-    placed = rows.join(final, rows.nid == final.node, "left").withColumn("g", F.coalesce("component", "nid")).drop("node", "component", "nid")
-    least = placed.where(F.col("g").isNotNull()).groupBy("g").agg(F.min(doc_id).alias("component_id"))
-    return placed.join(least, "g", "left").withColumn("component_id", F.when(F.col("g").isNull(), F.col(doc_id)).otherwise(F.col("component_id"))).drop("g")
+    placed = rows.join(final, rows.nid == final.node, "left").withColumn("group", F.coalesce("component", "nid")).drop("node", "component", "nid")
+    least = placed.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(doc_id).alias("component_id"))
+    return placed.join(least, "group", "left").withColumn("component_id", F.when(F.col("group").isNull(), F.col(doc_id)).otherwise(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The rows that stay when one of each component does: its least doc_id (a null one only if there is
+    no other; of rows with that id the one of the least text hash). Rows without a word all stay."""
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    keyed = docs.withColumn("__key", F.coalesce(F.xxhash64(text), F.lit(0)))
+    found = join_documents(keyed.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), "__key"), doc_id="__id", text="__text", percent=percent)
+    found = scratch.table(found.select("__id", "__key", F.col("group").alias("__group")), "found")
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("__id"), F.col("__key").alias("__key"))
+    chosen = found.where(F.col("__group").isNotNull()).groupBy("__group").agg(F.min(order).alias("row")).select(F.col("row.__id").alias("__id"), F.col("row.__key").alias("__key"))
+    chosen = scratch.table(chosen.distinct(), "chosen")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (keyed["__key"] == chosen["__key"])
+    words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = keyed.where(words).join(chosen, same, "left_semi")
+    # Equal rows that are chosen together, which only tables with repeated ids have.
+    repeated = found.where(F.col("__group").isNotNull()).groupBy("__id", "__key").count().where("count > 1").limit(1).count()
+    if repeated:
+        kept = kept.dropDuplicates([doc_id, "__key"])
+    return kept.unionByName(keyed.where(~words)).drop("__key")

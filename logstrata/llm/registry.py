@@ -68,6 +68,12 @@ def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op7_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logstrata.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logstrata.llm.sharding import minimax_shards
 
@@ -77,7 +83,7 @@ def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logstrata.llm.ngram_join import join_documents
 
-    return join_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return join_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +101,12 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logstrata.llm.subspace_join import join_vectors
+
+    return join_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 #: Verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -107,8 +119,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES, train(BLOCK, ALLOW)).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_gam, op3_url_filter, op4_warc_revisits, op5_pii_feistel, op6_decontaminate, op8_minimax_shards, op9_ngram_join, op10_sentencepiece]
+    found = [op1_quality_gam, op2_subspace_join, op3_url_filter, op4_warc_revisits, op5_pii_feistel, op6_decontaminate, op7_host_suffixes, op8_minimax_shards, op9_ngram_join, op10_sentencepiece, pipeline]
     return {f.__name__: f for f in found}
 
 
