@@ -21,11 +21,13 @@ The steps, for texts that may be anything from all different to all alike:
 3. A node with fewer than ceil(t * n) shared tokens can have no partner and
    ends here. The others keep their shared tokens: all that an intersection
    can hold.
-4. Nodes are compared to the least node with the same first token, one pair for
-   each order. These links give provisional components, in which a group of
-   near copies is one star, not all its pairs.
+4. Nodes are compared to the least node with the same least token hash, under a
+   few seeds. These links give provisional components, in which a group of near
+   copies is one star, not all its pairs. Further rounds with other seeds compare
+   across components only.
 5. Every prefix token that nodes of two provisional components have makes
-   candidates of the pairs across components. Those found under both orders
+   candidates of the pairs across components. Sizes, the token's positions and
+   1,024-bit parity maps rule out most; those that are left under both orders
    are verified like the first ones.
 
 Links inside a provisional component can't change any component, so the result
@@ -50,6 +52,8 @@ WORDS = 5
 #: Tokens of a task's buffer, tokens of a bucket on average, documents of a buffer that make a token hot.
 BUFFER, BUCKET, HOT = 2_000_000, 4_000_000, 64
 HOT_CLASS = 255
+#: Seeds of the rounds in which each node is compared to one other for each seed.
+STAR_SEEDS = ((0, 1, 2), (3, 4, 5))
 #: Rows compared with one node in one task.
 CHUNK = 256
 
@@ -349,71 +353,153 @@ def _nodes(percent: int):
 # --- steps 4 and 5: candidates ------------------------------------------------------------------------
 
 
-def first_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node b with the least node a of the same first token, for each order."""
-    first = nodes.select("nid", F.explode(F.array(F.struct(F.lit(1).alias("o"), F.col("prefix1")[0].alias("t")), F.struct(F.lit(2).alias("o"), F.col("prefix2")[0].alias("t")))).alias("k")).select("nid", "k.o", "k.t")
-    least = first.groupBy("o", "t").agg(F.min("nid").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    return first.join(least, ["o", "t"]).where("nid != a").select("a", F.col("nid").alias("b")).distinct()
+def star_pairs(nodes: DataFrame, groups: DataFrame | None, seeds: tuple[int, ...]) -> DataFrame:
+    """(a, b): each node b with the least node a that has the same token first under a hash order, for each seed.
+
+    Similar sets mostly have the same first token there, rare or not. With ``groups``, only pairs across them.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(v.as_py(), _U) for v in batch.column(1)]
+            for seed in seeds:
+                least = [mix(s, 10 + seed).min() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([seed] * len(sets), pa.int32()), pa.array(np.array(least, _U).view(np.int64))], ["nid", "o", "t"])
+
+    keyed = nodes.select("nid", "tokens").mapInArrow(first, "nid long, o int, t long")
+    if groups is None:
+        keyed = keyed.withColumn("g", F.col("nid"))
+    else:
+        keyed = keyed.join(groups, keyed.nid == groups.node, "left").select("nid", "o", "t", F.coalesce("component", "nid").alias("g"))
+    least = keyed.groupBy("o", "t").agg(F.min(F.struct("nid", "g")).alias("a"), F.max("g").alias("high"), F.min("g").alias("low")).where("low < high")
+    least = least.select("o", "t", F.col("a.nid").alias("a"), F.col("a.g").alias("h"))
+    return keyed.join(least, ["o", "t"]).where("g != h").select("a", F.col("nid").alias("b")).distinct()
+
+
+_NODE = np.dtype([("nid", np.int64), ("g", np.int64), ("n", np.int32), ("c", np.int32), ("map", np.uint64, 16)])
+_POSTING = np.dtype([("t", np.int64), ("node", np.int32), ("at", np.int32), ("o", np.int8)])
 
 
-def crossing_pairs(nodes: DataFrame, groups: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """(a, b), a < b: nodes of different groups that share a prefix token under each order and fit in size."""
-    # Tokens whose nodes are all of one group make no pair; most rows end in this aggregation.
-    place = nodes.join(groups, nodes.nid == groups.node, "left").select("nid", "n", F.coalesce("component", "nid").alias("g"), "prefix1", "prefix2")
-    deal_schema = "bucket int, rows binary"
-    kind = np.dtype([("o", np.int8), ("t", np.int64), ("nid", np.int64), ("n", np.int32), ("g", np.int64)])
+def parity_map(tokens: np.ndarray) -> np.ndarray:
+    """1,024 bits: for each slot, whether an odd number of tokens falls in it. Two maps differ in at most as many bits as their sets in tokens."""
+    slots = (mix(tokens, 99) >> _U(54)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=1024).astype(np.uint8) & 1).view(np.uint64)
+
+
+class _Candidates:
+    """Pairs of nodes of one bucket that may be similar, without those that their counts rule out."""
+
+    def __init__(self, nodes: np.ndarray, percent: int):
+        self.nodes, self.percent = nodes, percent
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+        self.passed = np.empty(0, np.int64)
+
+    def needed(self, x, y) -> np.ndarray:
+        """Tokens that similar sets of these sizes share: overlap / (sum - overlap) >= percent / 100."""
+        return -(-self.percent * (self.nodes["n"][x].astype(np.int64) + self.nodes["n"][y]) // (100 + self.percent))
+
+    def add(self, x: int, at: int, others: np.ndarray, ats: np.ndarray) -> None:
+        n, c = self.nodes["n"], self.nodes["c"]
+        need = self.needed(x, others)
+        # Shared tokens stand before this one (tokens of one node apart), are this one, or come after it.
+        most = np.minimum(at, ats) + 1 + np.minimum(c[x] - at - 1, c[others] - ats - 1)
+        fits = (most >= need) & (n[others] * 100 >= int(n[x]) * self.percent) & (int(n[x]) * 100 >= n[others] * self.percent)
+        others = others[fits].astype(np.int64)
+        if others.size:
+            self.waiting.append(np.minimum(x, others) * len(self.nodes) + np.maximum(x, others))
+            self.size += others.size
+            if self.size > 2_000_000:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        pairs = np.unique(np.concatenate(self.waiting))
+        self.waiting, self.size = [], 0
+        kept = [self.passed]
+        for s in range(0, pairs.size, 1 << 17):
+            part = pairs[s : s + (1 << 17)]
+            x, y = part // len(self.nodes), part % len(self.nodes)
+            apart = np.bitwise_count(self.nodes["map"][x] ^ self.nodes["map"][y]).sum(axis=1)
+            total = self.nodes["n"][x].astype(np.int64) + self.nodes["n"][y]
+            # Tokens of one node only aren't in the maps; all others that differ are.
+            alone = total - self.nodes["c"][x] - self.nodes["c"][y]
+            kept.append(part[total - alone - apart >= 2 * self.needed(x, y)])
+        self.passed = np.unique(np.concatenate(kept))
+
+    def pairs(self) -> np.ndarray:
+        self.settle()
+        ids = self.nodes["nid"][np.stack([self.passed // len(self.nodes), self.passed % len(self.nodes)], 1)] if self.passed.size else np.empty((0, 2), np.int64)
+        return np.unique(np.sort(ids, axis=1), axis=0) if len(ids) else ids
+
+
+def crossing_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: nodes of different groups that share a prefix token under each order and that sizes,
+    positions and parity maps don't rule out."""
+    place = nodes.join(groups, nodes.nid == groups.node, "left").select("nid", "n", F.coalesce("component", "nid").alias("g"), "tokens", "prefix1", "prefix2")
+    postings = nodes.agg(F.sum(F.size("prefix1") + F.size("prefix2"))).first()[0] or 0
+    buckets = 32 + postings // 500_000
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nid, n, g = (batch.column(c).to_numpy() for c in ("nid", "n", "g"))
+            sets = [np.frombuffer(v.as_py(), _U) for v in batch.column("tokens")]
+            own = np.zeros(batch.num_rows, _NODE)
+            for f in ("nid", "g", "n"):
+                own[f] = batch.column(f).to_numpy()
+            own["c"] = [x.size for x in sets]
+            own["map"] = np.array([parity_map(x) for x in sets]).reshape(len(sets), 16)
             found = []
             for o, c in ((1, "prefix1"), (2, "prefix2")):
                 lists = batch.column(c)
                 counts = np.diff(lists.offsets.to_numpy())
-                part = np.empty(int(counts.sum()), kind)
+                part = np.empty(int(counts.sum()), _POSTING)
                 part["o"], part["t"] = o, lists.flatten().to_numpy()
-                for f, v in (("nid", nid), ("n", n), ("g", g)):
-                    part[f] = np.repeat(v, counts)
+                part["node"] = np.repeat(np.arange(len(counts)), counts)
+                part["at"] = np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts)
                 found.append(part)
             rows = np.concatenate(found)
             at = (mix(rows["t"].astype(np.int64).view(_U), 3) % _U(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             rows, ends = rows[order], _slices(at[order], buckets)
-            filled = [b for b in range(buckets) if ends[b] < ends[b + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([rows[ends[b] : ends[b + 1]].tobytes() for b in filled], pa.binary())], ["bucket", "rows"])
+            out: list[list] = [[], [], []]
+            for b in range(buckets):
+                part = rows[ends[b] : ends[b + 1]]
+                if part.size:
+                    there, part["node"] = np.unique(part["node"], return_inverse=True)
+                    for c, v in zip(out, (b, own[there].tobytes(), part.tobytes()), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "nodes", "rows"])
 
     pairs_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("o", pa.int32())])
 
     def pair(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(v.as_py() for v in table.column("rows")), kind)
-        rows = rows[np.lexsort((rows["g"], rows["t"], rows["o"]))]
-        new = np.r_[True, (rows["t"][1:] != rows["t"][:-1]) | (rows["o"][1:] != rows["o"][:-1])][: rows.size]
-        first = np.flatnonzero(new)
+        blobs = [np.frombuffer(v.as_py(), _NODE) for v in table.column("nodes")]
+        parts = [np.frombuffer(v.as_py(), _POSTING).copy() for v in table.column("rows")]
+        before = 0
+        for own, part in zip(blobs, parts, strict=True):
+            part["node"] += before
+            before += own.size
+        known, rows = np.concatenate(blobs), np.concatenate(parts)
+        del table, blobs, parts
+        g = known["g"]
+        rows = rows[np.lexsort((g[rows["node"]], rows["t"], rows["o"]))]
+        first = np.flatnonzero(np.r_[True, (rows["t"][1:] != rows["t"][:-1]) | (rows["o"][1:] != rows["o"][:-1])])
         last = np.r_[first[1:], rows.size] - 1
-        mixed = rows["g"][first] != rows["g"][last]
-        out: dict[int, list[np.ndarray]] = {1: [], 2: []}
-        held = {1: 0, 2: 0}
+        mixed = g[rows["node"][first]] != g[rows["node"][last]]
+        found = {o: _Candidates(known, percent) for o in (1, 2)}
         for i, j in zip(first[mixed], last[mixed] + 1, strict=True):
             own = rows[i:j]
-            o = int(own["o"][0])
-            ends = np.searchsorted(own["g"], own["g"], "right")  # partners stand after the own group
+            who, at = own["node"], own["at"]
+            ends = np.searchsorted(g[who], g[who], "right")  # partners stand after the own group
+            take = found[int(own["o"][0])]
             for x in np.flatnonzero(ends < own.size):
-                rest = own[ends[x] :]
-                fits = (rest["n"] * 100 >= own["n"][x] * percent) & (own["n"][x] * 100 >= rest["n"] * percent)
-                other = rest["nid"][fits]
-                if other.size:
-                    mine = np.full(other.size, own["nid"][x])
-                    out[o].append(np.stack([np.minimum(mine, other), np.maximum(mine, other)], 1))
-                    held[o] += other.size
-            if held[o] > 1_000_000:
-                out[o] = [np.unique(np.concatenate(out[o]), axis=0)]
-                held[o] = 0
-        found = [(o, np.unique(np.concatenate(p), axis=0)) for o, p in out.items() if p]
-        a, b = (np.concatenate([p[:, k] for _, p in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        o = np.concatenate([np.full(len(p), o, np.int32) for o, p in found]) if found else np.empty(0, np.int32)
-        return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(o)], schema=pairs_schema)
-
-    found = place.mapInArrow(deal, deal_schema).groupBy("bucket").applyInArrow(pair, "a long, b long, o int")
+                take.add(int(who[x]), int(at[x]), who[ends[x] :], at[ends[x] :])
+        both = [(o, c.pairs()) for o, c in found.items()]
+        a, b = (np.concatenate([p[:, k] for _, p in both]) for k in (0, 1))
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.concatenate([np.full(len(p), o, np.int32) for o, p in both]))], schema=pairs_schema)
+
+    found = place.mapInArrow(deal, "bucket int, nodes binary, rows binary").groupBy("bucket").applyInArrow(pair, "a long, b long, o int")
     return found.groupBy("a", "b").agg(F.bit_or("o").alias("o")).where("o = 3").select("a", "b")
 
 
@@ -469,12 +555,15 @@ def join_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     nodes = scratch.table(dealt.groupBy("home").applyInArrow(_nodes(percent), _NODES), "nodes")
     del dealt
     _free(spark)
-    near = scratch.table(verified(first_pairs(nodes), nodes, percent), "near")
-    _free(spark)
-    groups = components(near, scratch, "near-components")
-    far = scratch.table(verified(crossing_pairs(nodes, groups, buckets, percent), nodes, percent), "far")
+    groups = None
+    for turn, seeds in enumerate(STAR_SEEDS):
+        found = verified(star_pairs(nodes, groups, seeds), nodes, percent)
+        if groups is not None:  # the components so far stand for their links
+            found = found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        groups = scratch.table(components(found, scratch, f"near-{turn}"), f"groups-{turn}")
+        _free(spark)
+    far = scratch.table(verified(crossing_pairs(nodes, groups, percent), nodes, percent), "far")
     _free(spark)
-    # The first components stand for their links.
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
     final = scratch.table(components(links, scratch, "all-components"), "final")
     scratch.drop("nodes")
