@@ -19,7 +19,7 @@ def build(keys: DataFrame, key: str = "key", *, n: int | None = None, p: float =
     count = keys.select(key).distinct().count() if n is None else n
     bits, hashes = bloom_size(count, p)
     at = keys.select(F.explode(bloom_positions(F.col(key), bits, hashes)).alias("bit"))
-    words = at.groupBy(F.floor(F.col("bit") / 32).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))).alias("mask"))
+    words = at.groupBy(F.floor(F.col("bit") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 32))")).alias("mask"))
     return bits, hashes, words
 
 
@@ -27,7 +27,7 @@ def may_contain(probes: DataFrame, bits: int, hashes: int, words: DataFrame, key
     """``probes`` with ``may_contain``: false means that the key isn't in the set."""
     at = probes.select(key).distinct().select(key, F.explode(bloom_positions(F.col(key), bits, hashes)).alias("bit"))
     at = at.select(key, F.floor(F.col("bit") / 32).alias("word"), (F.col("bit") % 32).cast("int").alias("shift"))
-    hit = F.coalesce(F.shiftright(F.col("mask"), F.col("shift")).bitwiseAND(1), F.lit(0))
+    hit = F.coalesce(F.expr("shiftright(mask, shift)").bitwiseAND(1), F.lit(0))
     found = at.join(words, "word", "left").groupBy(key).agg((F.min(hit) == 1).alias("may_contain"))
     return probes.join(found, key)
 
@@ -58,4 +58,4 @@ def contains(key: Column, encoded: bytes) -> Column:
     bits, hashes, _ = decode(encoded)
     body = F.lit(encoded[8:].hex().upper())
     digit = lambda b: F.conv(F.substring(body, (F.floor(b / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    return F.forall(bloom_positions(key, bits, hashes), lambda b: F.shiftright(digit(b), (b % 8).cast("int")).bitwiseAND(1) == 1)
+    return F.forall(bloom_positions(key, bits, hashes), lambda b: (F.floor(digit(b) / F.pow(F.lit(2), b % 8)) % 2) == 1)

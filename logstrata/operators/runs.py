@@ -57,24 +57,34 @@ def overlap_pairs(manifest: DataFrame, id: str = "file_num") -> DataFrame:
     return a.join(b, on).select(F.col(f"a.{id}").alias("a"), F.col(f"b.{id}").alias("b"))
 
 
-def sparse_index(run: DataFrame, every: int, *, order: str = "key") -> DataFrame:
-    """(block, first_key): the first key of each block of ``every`` rows of a sorted run."""
-    numbered = run.select(order).withColumn("block", F.expr(f"(row_number() over (order by {order}) - 1) div {every}"))
-    return numbered.groupBy("block").agg(F.min(order).alias("first_key"))
+def sparse_index(run: DataFrame, every: int, *, order: str = "key", head: int = 8) -> DataFrame:
+    """(block, first_key): the first key of each block of ``every`` rows of a sorted run.
+
+    Rows are numbered inside the heads of their keys (``head`` characters), on the totals of the heads before.
+    """
+    keys = run.select(F.col(order).alias("first_key"), F.substring(F.col(order), 1, head).alias("__head"))
+    earlier = Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = keys.groupBy("__head").agg(F.count("*").alias("__n")).select("__head", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))  # a row for each head
+    nth = F.row_number().over(Window.partitionBy("__head").orderBy("first_key")) - 1
+    placed = keys.withColumn("__nth", nth).join(heads, "__head").withColumn("__at", F.col("__before") + F.col("__nth"))
+    return placed.where(F.col("__at") % every == 0).select(F.expr(f"__at div {every}").alias("block"), "first_key")
 
 
-def block_of(probes: DataFrame, index: DataFrame, key: str = "key") -> DataFrame:
+def block_of(probes: DataFrame, index: DataFrame, key: str = "key", *, head: int = 8) -> DataFrame:
     """Probes with the last block whose first key isn't above them; null below the first block.
 
-    The index has one row for each block and is turned into half-open key spans, which don't overlap.
+    An as-of join without a range join: entries and probes are sorted together inside the heads of
+    their keys, and the last block of the heads before is carried over. Blocks grow with keys, so
+    the last one is the greatest.
     """
-    first = index.agg(F.min("first_key")).first()[0]
-    if first is None:
-        return probes.withColumn("block", F.lit(None).cast("long"))
-    upper = Window.orderBy("first_key").rowsBetween(1, 1)
-    spans = index.withColumn("next_key", F.max("first_key").over(upper))  # an index row for each block
-    on = (F.col(key) >= F.col("first_key")) & (F.col("next_key").isNull() | (F.col(key) < F.col("next_key")))
-    return probes.join(spans, on, "left").drop("first_key", "next_key")
+    entries = index.select(F.col("first_key").alias("__k"), F.col("block").alias("__b"), F.lit(None).cast(probes.schema).alias("__row"))
+    asked = probes.select(F.col(key).alias("__k"), F.lit(None).cast("long").alias("__b"), F.struct(*probes.columns).alias("__row"))
+    both = entries.unionByName(asked).withColumn("__head", F.substring("__k", 1, head))
+    inside = Window.partitionBy("__head").orderBy("__k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = both.groupBy("__head").agg(F.max("__b").alias("__last")).select("__head", F.max("__last").over(earlier).alias("__carried"))  # a row for each head
+    found = both.withColumn("__in", F.max("__b").over(inside)).where("__row is not null").join(heads, "__head")
+    return found.select("__row.*", F.coalesce("__in", "__carried").alias("block"))
 
 
 def level_limit(level: Column) -> Column:
