@@ -21,7 +21,7 @@ The steps, for texts that may be anything from all different to all alike:
 3. A node with fewer than ceil(t * n) shared tokens can have no partner and
    ends here. The others keep their shared tokens: all that an intersection
    can hold.
-4. Nodes are compared to the least node with the same least token hash, under a
+4. Nodes are compared to one drawn node with the same least token hash, under a
    few seeds. These links give provisional components, in which a group of near
    copies is one star, not all its pairs. Further rounds with other seeds compare
    across components only.
@@ -53,7 +53,7 @@ WORDS = 5
 BUFFER, BUCKET, HOT = 2_000_000, 4_000_000, 64
 HOT_CLASS = 255
 #: Seeds of the rounds in which each node is compared to one other for each seed.
-STAR_SEEDS = ((0, 1, 2), (3, 4, 5))
+STAR_SEEDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8))
 #: Rows compared with one node in one task.
 CHUNK = 256
 
@@ -354,7 +354,7 @@ def _nodes(percent: int):
 
 
 def star_pairs(nodes: DataFrame, groups: DataFrame | None, seeds: tuple[int, ...]) -> DataFrame:
-    """(a, b): each node b with the least node a that has the same token first under a hash order, for each seed.
+    """(a, b): each node b with one drawn node a that has the same token first under a hash order, for each seed.
 
     Similar sets mostly have the same first token there, rare or not. With ``groups``, only pairs across them.
     """
@@ -371,7 +371,9 @@ def star_pairs(nodes: DataFrame, groups: DataFrame | None, seeds: tuple[int, ...
         keyed = keyed.withColumn("g", F.col("nid"))
     else:
         keyed = keyed.join(groups, keyed.nid == groups.node, "left").select("nid", "o", "t", F.coalesce("component", "nid").alias("g"))
-    least = keyed.groupBy("o", "t").agg(F.min(F.struct("nid", "g")).alias("a"), F.max("g").alias("high"), F.min("g").alias("low")).where("low < high")
+    # A leader that differs from seed to seed: a node that one leader misses finds another.
+    lead = F.struct(F.xxhash64("nid", "o").alias("draw"), F.col("nid").alias("nid"), F.col("g").alias("g"))
+    least = keyed.groupBy("o", "t").agg(F.min(lead).alias("a"), F.max("g").alias("high"), F.min("g").alias("low")).where("low < high")
     least = least.select("o", "t", F.col("a.nid").alias("a"), F.col("a.g").alias("h"))
     return keyed.join(least, ["o", "t"]).where("g != h").select("a", F.col("nid").alias("b")).distinct()
 
@@ -435,8 +437,14 @@ class _Candidates:
 
 
 def crossing_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: nodes of different groups that share a prefix token under each order and that sizes,
-    positions and parity maps don't rule out."""
+    """(a, b), a < b: the candidates that both orders have."""
+    found = candidates(nodes, groups, percent)
+    return found.groupBy("a", "b").agg(F.bit_or("o").alias("o")).where("o = 3").select("a", "b")
+
+
+def candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b, o), a < b: nodes of different groups that share a prefix token under the order o and that sizes,
+    positions and parity maps don't rule out. A pair may come from several buckets."""
     place = nodes.join(groups, nodes.nid == groups.node, "left").select("nid", "n", F.coalesce("component", "nid").alias("g"), "tokens", "prefix1", "prefix2")
     postings = nodes.agg(F.sum(F.size("prefix1") + F.size("prefix2"))).first()[0] or 0
     buckets = 32 + postings // 500_000
@@ -499,8 +507,7 @@ def crossing_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFra
         a, b = (np.concatenate([p[:, k] for _, p in both]) for k in (0, 1))
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.concatenate([np.full(len(p), o, np.int32) for o, p in both]))], schema=pairs_schema)
 
-    found = place.mapInArrow(deal, "bucket int, nodes binary, rows binary").groupBy("bucket").applyInArrow(pair, "a long, b long, o int")
-    return found.groupBy("a", "b").agg(F.bit_or("o").alias("o")).where("o = 3").select("a", "b")
+    return place.mapInArrow(deal, "bucket int, nodes binary, rows binary").groupBy("bucket").applyInArrow(pair, "a long, b long, o int")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
