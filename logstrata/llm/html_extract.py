@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from logstrata.llm.url_filter import host_of
 
 GROUP = 512
+_CODEC = "zstd"
 #: Hosts above GROUP pages that may be broadcast; with more of them the join is by shuffle.
 MOST_BROADCAST = 100_000
 
@@ -196,22 +197,25 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
     rows = rows.join(F.broadcast(large) if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else large, "host", "left")
     spread = F.pmod(F.xxhash64("page_id", F.length("html")), F.coalesce("parts", F.lit(1))).cast("int")
     rows = rows.select("host", spread.alias("part"), "page_id", "url", "html")
-    cut_schema = T.StructType([*[f for f in rows.schema.fields if f.name != "html"], T.StructField("containers", T.BinaryType()), T.StructField("blocks", T.StringType())])
+    cut_schema = T.StructType([*[f for f in rows.schema.fields if f.name != "html"], T.StructField("containers", T.BinaryType()), T.StructField("blocks", T.BinaryType()), T.StructField("size", T.IntegerType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            containers, texts = [], []
+            containers, texts, sizes = [], [], []
             for value in batch.column(batch.schema.get_field_index("html")):
                 found = blocks(value.as_py() or "")
                 containers.append(bytes(c for c, _ in found))
-                texts.append("\n".join(t for _, t in found))
-            kept = [batch.column(batch.schema.get_field_index(f)) for f in cut_schema.fieldNames()[:-2]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(containers, pa.binary()), pa.array(texts, pa.string())], cut_schema.fieldNames())
+                raw = "\n".join(t for _, t in found).encode("utf-8", "replace")
+                texts.append(pa.compress(raw, _CODEC, asbytes=True))  # what is shuffled
+                sizes.append(len(raw))
+            kept = [batch.column(batch.schema.get_field_index(f)) for f in cut_schema.fieldNames()[:-3]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(containers, pa.binary()), pa.array(texts, pa.binary()), pa.array(sizes, pa.int32())], cut_schema.fieldNames())
 
     out_schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType())])
 
     def decide(table: pa.Table) -> pa.Table:
-        group = [list(zip(c, t.split("\n"), strict=True)) if c else [] for c, t in zip(table.column("containers").to_pylist(), table.column("blocks").to_pylist(), strict=True)]
+        whole = zip(*(table.column(c).to_pylist() for c in ("containers", "blocks", "size")), strict=True)
+        group = [list(zip(c, pa.decompress(t, n, _CODEC, asbytes=True).decode().split("\n"), strict=True)) if c else [] for c, t, n in whole]
         return pa.Table.from_arrays([table.column("page_id").combine_chunks(), table.column("url").combine_chunks(), pa.array(main_texts(group, run, repeated), pa.string())], out_schema.fieldNames())
 
     found = rows.mapInArrow(cut, cut_schema).groupBy("host", "part").applyInArrow(decide, out_schema)
