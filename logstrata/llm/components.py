@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstrata.llm.scratch import Scratch
+from logstrata.llm.scratch import Scratch, join_back
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    moved = both.join(least, "u")
+    moved = join_back(both, least, "u")
     if large:
         moved = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

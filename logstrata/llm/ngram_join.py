@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.llm.components import components
-from logstrata.llm.scratch import Scratch, partitions
+from logstrata.llm.scratch import Scratch, join_back, partitions
 
 WORDS = 5
 #: Tokens of a task's buffer, tokens of a bucket on average, documents of a buffer that make a token hot.
@@ -375,7 +375,7 @@ def star_pairs(nodes: DataFrame, groups: DataFrame | None, seeds: tuple[int, ...
     lead = F.struct(F.xxhash64("nid", "o").alias("draw"), F.col("nid").alias("nid"), F.col("g").alias("g"))
     least = keyed.groupBy("o", "t").agg(F.min(lead).alias("a"), F.max("g").alias("high"), F.min("g").alias("low")).where("low < high")
     least = least.select("o", "t", F.col("a.nid").alias("a"), F.col("a.g").alias("h"))
-    return keyed.join(least, ["o", "t"]).where("g != h").select("a", F.col("nid").alias("b")).distinct()
+    return join_back(keyed, least, "t", beside=("o",)).where("g != h").select("a", F.col("nid").alias("b")).distinct()
 
 
 _NODE = np.dtype([("nid", np.int64), ("g", np.int64), ("n", np.int32), ("c", np.int32), ("map", np.uint64, 16)])
@@ -447,7 +447,7 @@ def candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     positions and parity maps don't rule out. A pair may come from several buckets."""
     place = nodes.join(groups, nodes.nid == groups.node, "left").select("nid", "n", F.coalesce("component", "nid").alias("g"), "tokens", "prefix1", "prefix2")
     postings = nodes.agg(F.sum(F.size("prefix1") + F.size("prefix2"))).first()[0] or 0
-    buckets = 32 + postings // 500_000
+    buckets = 4 + postings // 250_000  # a pair comes from as many buckets as it shares prefix tokens in
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -513,7 +513,7 @@ def candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar. A node a with many partners is compared in chunks of them."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("k"))
-    salted = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / CHUNK)).cast("int").alias("s"))
+    salted = join_back(pairs, counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / CHUNK)).cast("int").alias("s"))
     sets = nodes.select("nid", "n", "tokens")
     members = salted.join(sets, salted.b == sets.nid).select("a", "s", F.lit(False).alias("lead"), "nid", "n", "tokens")
     leads = salted.select("a", "s").distinct()
@@ -576,7 +576,7 @@ def join_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     scratch.drop("nodes")
     placed = rows.join(final, rows.nid == final.node, "left").withColumn("group", F.coalesce("component", "nid")).drop("node", "component", "nid")
     least = placed.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(doc_id).alias("component_id"))
-    return placed.join(least, "group", "left").withColumn("component_id", F.when(F.col("group").isNull(), F.col(doc_id)).otherwise(F.col("component_id")))
+    return join_back(placed, least, "group", how="left").withColumn("component_id", F.when(F.col("group").isNull(), F.col(doc_id)).otherwise(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:

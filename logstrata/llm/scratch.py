@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -45,5 +46,16 @@ class Scratch:
         jvm.System.gc()  # lets the context cleaner drop shuffle files of finished stages
 
 
+def join_back(rows: DataFrame, summary: DataFrame, key: str, *, beside: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
+    """Joins an aggregate of rows to them by its long ``key`` (and the columns ``beside``).
+
+    The aggregate is already partitioned by its key, and Spark would join it where it is; then a hot
+    key is one task, as only joins whose two sides were both shuffled for them are split when they
+    are skewed. Joining by another form of the key has both shuffled.
+    """
+    other = F.col(key).bitwiseXOR(F.lit(1))
+    return rows.withColumn("__key", other).join(summary.withColumn("__key", other).drop(key), ["__key", *beside], how).drop("__key")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

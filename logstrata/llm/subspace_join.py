@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logstrata.llm.components import components
-from logstrata.llm.scratch import Scratch
+from logstrata.llm.scratch import Scratch, join_back
 
 BLOCK = 8
 #: Targets of a task on average, and at most.
@@ -196,7 +196,7 @@ def join_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     where = ["size", "block", "cell"]
     crowd = placed.where("not probe").groupBy(*where).agg(F.count("*").alias("targets"))
     crowd = crowd.select(*where, F.ceil(F.col("targets") / CHUNK).cast("int").alias("chunks"))
-    spread = placed.join(crowd, where)  # a cell without targets has nothing to be compared with
+    spread = join_back(placed.withColumn("cell", F.col("cell").cast("long")), crowd.withColumn("cell", F.col("cell").cast("long")), "cell", beside=("size", "block"))  # a cell without targets has nothing to be compared with
     own = F.pmod(F.xxhash64("class", "block"), F.col("chunks")).cast("int")
     # A target stands in its chunk and is a probe in the chunks after it; a probe of another cell goes to all.
     spread = spread.select(*where, "probe", "class", own.alias("own"), F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.sequence(own, F.col("chunks") - 1))).alias("chunk"))
@@ -244,7 +244,7 @@ def join_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     marked = classes.select("class", "least", "weight").join(links, "class", "left").join(groups, F.col("class") == F.col("node"), "left")
     marked = scratch.table(marked.select("class", "least", F.coalesce("component", "class").alias("g"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "marked")
     lowest = marked.groupBy("g").agg(F.min("least").alias("component_id"))
-    marked = marked.join(lowest, "g").select("class", "n_links", "component_id")
+    marked = join_back(marked, lowest, "g").select("class", "n_links", "component_id")
     whole = rows.where(F.col("v").isNotNull()).select("vec_id", "class").join(marked, "class").select("vec_id", "n_links", "component_id")
     alone = rows.where(F.col("v").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return whole.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -31,6 +31,7 @@ bounded cache. A vocabulary with such a piece is not cut.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +46,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 
+def _single(x: float) -> float:
+    return struct.unpack("f", struct.pack("f", x))[0]
+
+
 class SentencePieceFst:
     """The compiled machines of one model."""
 
@@ -182,13 +187,15 @@ class SentencePieceFst:
     def _path_unigram(self, text: str) -> tuple[int, ...]:
         n, id_of, longest = len(text), self.id_of, self.longest
         cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        unknown_cost = 10.0 - self.min_score
+        unknown_cost = _single(10.0 - self.min_score)
         for j in range(1, n + 1):
             for i in range(max(0, j - longest), j):
                 k = id_of.get(text[i:j])
                 weight = -self.score[k] if k is not None else unknown_cost if i == j - 1 else None
-                if weight is not None and cost[i] + weight < cost[j]:
-                    cost[j], back[j] = cost[i] + weight, i
+                # Sums are of single precision: among equal ones, it decides as the library does.
+                total = None if weight is None else _single(cost[i] + weight)
+                if total is not None and total < cost[j]:
+                    cost[j], back[j] = total, i
         cuts = [n]
         while cuts[-1]:
             cuts.append(back[cuts[-1]])

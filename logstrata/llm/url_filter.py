@@ -68,19 +68,23 @@ def _grams(host: str, path: str, sizes: tuple[int, ...], buckets: int) -> np.nda
     return np.fromiter(sorted(found), np.int64, len(found))
 
 
-def train(block: list[str], allow: list[str], *, sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 16, prior: float = 0.15, l2: float = 0.002, rounds: int = 3000, rate: float = 2.0) -> UrlModel:
-    """Full-batch descent with a ridge penalty. The intercept is fixed by ``prior``, the share of bad URLs
-    in a crawl (the table holds more), so a URL of unseen n-grams is allowed."""
+def train(block: list[str], allow: list[str], *, sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 16, prior: float = 0.3, l2: float = 0.0002, rounds: int = 3000, rate: float = 2.0) -> UrlModel:
+    """Full-batch descent with a ridge penalty and even odds; rows of both labels weigh the same in sum.
+
+    Then the intercept gives the odds of ``prior``, a share of bad URLs in a crawl: a URL of unseen
+    n-grams gets that score.
+    """
     rows = [_grams(*split_url(u), sizes, buckets) for u in [*block, *allow]]
     y = np.array([1.0] * len(block) + [0.0] * len(allow))
+    weight = np.where(y == 1, 0.5 / max(1, len(block)), 0.5 / max(1, len(allow)))
     x = np.zeros((len(rows), buckets))
     for r, at in zip(x, rows, strict=True):
         r[at] = 1 / np.sqrt(max(1, at.size))
-    gram, alpha, b = x @ x.T, np.zeros(len(rows)), float(np.log(prior / (1 - prior)))
+    gram, alpha = x @ x.T, np.zeros(len(rows))
     for _ in range(rounds if len(rows) else 0):
-        slack = y - 1 / (1 + np.exp(-(gram @ alpha + b)))
-        alpha += rate * (slack / len(y) * 4 - l2 * alpha)
-    return UrlModel(x.T @ alpha, b, sizes)
+        slack = (y - 1 / (1 + np.exp(-(gram @ alpha)))) * weight
+        alpha += rate * (slack - l2 * alpha)
+    return UrlModel(x.T @ alpha, float(np.log(prior / (1 - prior))), sizes)
 
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -99,14 +103,13 @@ def match(rules: dict[str, list[tuple[str, str]]], host: str, path: str) -> tupl
             return best
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], model: UrlModel, *, url: str = "url", threshold: float = 0.3) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], model: UrlModel, *, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """Adds ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (of the model, also where a rule decides).
 
     Columns of these names are replaced. A null URL or one without ``://`` has an empty host and
     path, fits no rule, and gets the model's verdict on no n-grams. Of two equal rules the first
     holds. One pass without a shuffle; the model and the rules are parameters, not corpus data.
     """
-    # The threshold is twice the prior of train().
     added = ["host", "path", "rule", "verdict", "score"]
     kept = pages.drop(*[c for c in added if c != url])
     by_host: dict[str, list[tuple[str, str]]] = {}
