@@ -50,7 +50,7 @@ from logstrata.llm.scratch import Scratch, join_back, partitions
 
 WORDS = 5
 #: Tokens of a task's buffer, tokens of a bucket on average, documents of a buffer that make a token hot.
-BUFFER, BUCKET, HOT = 2_000_000, 4_000_000, 64
+BUFFER, BUCKET, HOT = 1_000_000, 4_000_000, 32
 HOT_CLASS = 255
 #: Seeds of the rounds in which each node is compared to one other for each seed.
 STAR_SEEDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8))
@@ -66,7 +66,7 @@ class _Words(dict):
     """Hashes of words, in a dictionary that starts anew when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -126,6 +126,7 @@ def measure(docs: DataFrame, text: str) -> DataFrame:
                 sizes.append(shingles(words).size)
             kept = [batch.column(batch.schema.get_field_index(f.name)) for f in others]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], out.fieldNames())
+        _words.clear()  # the worker goes on to other tasks
 
     return docs.mapInArrow(run, out)
 
@@ -163,7 +164,7 @@ class _Buffer:
     def add(self, nid: int, tokens: np.ndarray) -> None:
         if nid in self.seen:
             return
-        if len(self.seen) > 1_000_000:  # a copy that comes again is dealt out again, and counted once
+        if len(self.seen) > 200_000:  # a copy that comes again is dealt out again, and counted once
             self.seen.clear()
         self.seen.add(nid)
         self.keys.append(nid)
@@ -238,6 +239,7 @@ def deal_tokens(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                     if buffer.size >= BUFFER:
                         yield pa.RecordBatch.from_pylist(buffer.deal(), _DEAL_ARROW)
         yield pa.RecordBatch.from_pylist(buffer.deal(), _DEAL_ARROW)
+        _words.clear()  # the worker goes on to other tasks
 
     return docs.select(text).mapInArrow(run, _DEAL)
 

@@ -107,6 +107,43 @@ def op2_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+_REACH_SQL = """
+, reach(a, b) as (
+  select id, id from node
+  union
+  select r.a, l.b from reach r join link l on l.a = r.b
+), component as (select a as id, min(b) as component from reach group by a)
+"""
+
+OP2_SQL = (
+    """
+with recursive v as (
+  select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings
+), unit as (
+  select id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
+  where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+), node as (select id from v), link as (
+  select a.id as a, b.id as b from unit a join unit b on a.id <> b.id and len(a.e) = len(b.e)
+  where a.norm > 0 and b.norm > 0 and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+)"""
+    + _REACH_SQL
+    + "select id as vec_id, (select count(*) from link where a = id) as n_links, component as component_id, id = component as kept from component"
+)
+
+OP9_SQL = (
+    r"""
+with recursive words as (
+  select doc_id as id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), sets as (
+  select id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words
+), node as (select id from sets), tokens as (select id, len(s) as n, unnest(s) as t from sets), link as (
+  select a.id as a, b.id as b from tokens a join tokens b on a.t = b.t and a.id <> b.id
+  group by a.id, b.id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+)"""
+    + _REACH_SQL
+    + "select id as doc_id, len(s) as n_shingles, component as component_id from component join sets using (id)"
+)
+
 #: Verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -131,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_revisits": OP4_SQL}
+    return {"op2_subspace_join": OP2_SQL, "op4_warc_revisits": OP4_SQL, "op9_ngram_join": OP9_SQL}

@@ -32,6 +32,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{folder(spark)}/logstrata-{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # results read from it as long as the session lives
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -54,7 +58,7 @@ def join_back(rows: DataFrame, summary: DataFrame, key: str, *, beside: tuple[st
     are skewed. Joining by another form of the key has both shuffled.
     """
     other = F.col(key).bitwiseXOR(F.lit(1))
-    return rows.withColumn("__key", other).join(summary.withColumn("__key", other).drop(key), ["__key", *beside], how).drop("__key")
+    return rows.withColumn("__join_key", other).join(summary.withColumn("__join_key", other).drop(key), ["__join_key", *beside], how).drop("__join_key")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -53,7 +53,7 @@ def _single(x: float) -> float:
 class SentencePieceFst:
     """The compiled machines of one model."""
 
-    def __init__(self, model: bytes, cache_size: int = 500_000):
+    def __init__(self, model: bytes, cache_size: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -126,7 +126,7 @@ class SentencePieceFst:
         key = (last, piece)
         found = self._arcs.get(key)
         if found is None:
-            if len(self._arcs) >= 4 * self.cache_size:
+            if len(self._arcs) >= 2 * self.cache_size:
                 self._arcs.clear()
             found = self._arcs[key] = self._merged(last + piece) == [*([last] if last else []), piece]
         return found

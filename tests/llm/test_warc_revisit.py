@@ -1,11 +1,8 @@
 import random
 
-import duckdb
 from pyspark.sql import functions as F
 
-from logstrata.llm import registry
 from logstrata.llm import warc_revisit as warc
-from tests.test_oracle import SF, rows
 
 SCHEMA = "record_id long, kind string, uri string, time long, headers map<string,string>, payload_digest string"
 
@@ -60,8 +57,3 @@ def test_as_of_equals_brute_force(spark):
             want.append((i, before and before[1], "orphan" if before is None else "resolved" if before[2] == headers else "mismatch"))
     assert got == sorted(want)
 
-
-def test_query_equals_sql(spark):
-    duck = duckdb.connect()
-    duck.sql(f"create view pages as select * from '{SF}/pages.parquet'")
-    assert rows(registry.queries()["op4_warc_revisits"](spark, SF).toPandas()) == rows(duck.sql(registry.OP4_SQL).df())
