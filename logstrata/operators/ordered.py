@@ -38,3 +38,14 @@ def row_numbers(df: DataFrame, order: str, name: str, *, base: int = 0, ties: li
     """Adds base + 1, base + 2, ... in the order of a column."""
     numbered = running_sum(df, order, F.lit(1).cast("long"), name, ties=ties)
     return numbered.withColumn(name, F.col(name) + base)
+
+
+def following(df: DataFrame, order: str, value: str, name: str, *, blocks: int | None = None) -> DataFrame:
+    """Adds ``value`` of the next row in the order of a numeric, unique column; null for the last."""
+    placed = df.withColumn("__block", _blocks(df, order, blocks))
+    firsts = sorted(placed.groupBy("__block").agg(F.min_by(value, order)).collect())  # a row for each block
+    after = [(b, n) for (b, _), (_, n) in zip(firsts, firsts[1:], strict=False)]
+    table = df.sparkSession.createDataFrame(after, f"__block int, __after {df.schema[value].dataType.simpleString()}")
+    inside = Window.partitionBy("__block").orderBy(order)
+    led = placed.withColumn("__lead", F.lead(F.struct(F.col(value).alias("v"))).over(inside)).join(F.broadcast(table), "__block", "left")
+    return led.withColumn(name, F.when(F.col("__lead").isNotNull(), F.col("__lead.v")).otherwise(F.col("__after"))).drop("__block", "__lead", "__after")

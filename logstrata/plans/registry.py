@@ -344,11 +344,7 @@ def leaf_split(spark, sf_dir):
 )
 def leaf_merge_plan(spark, sf_dir):
     pages = resolve.live(events_log(spark, sf_dir)).groupBy(F.expr("cast(substring(key, 6) as bigint) div 10").alias("page_id")).agg(F.count("*").alias("n_cells"))
-    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("n_cells").alias("next_cells"))
-    # The next page that exists; pages are numbered without gaps here but for empty ones.
-    nearest = pages.join(pages.select(F.col("page_id").alias("p")), F.col("p") > F.col("page_id")).groupBy("page_id").agg(F.min("p").alias("p"))
-    beside = pages.join(nearest, "page_id", "left").join(after.select((F.col("page_id") + 1).alias("p"), "next_cells"), "p", "left")
-    return R.merge_plan(beside.select("page_id", "n_cells", "next_cells"))
+    return R.merge_plan(ordered.following(pages, "page_id", "n_cells", "next_cells"))
 
 
 # --- recovery -----------------------------------------------------------------------------------------------

@@ -94,6 +94,10 @@ def test_running_sums(spark):
         assert r.s == total
     assert [r.k for r in ordered.row_numbers(df, "at", "k", base=3).orderBy("at").collect()] == list(range(4, 105))
 
+    nxt = {r.at: r.m for r in ordered.following(df, "at", "n", "m", blocks=5).collect()}
+    by = {r.at: r.n for r in df.collect()}
+    assert nxt == {a: by.get(a + 1) for a in by}
+
 
 def test_statistics(spark):
     ops = log(*[(f"key{i}", f"value{i}") for i in range(100)], *[(f"key{i}", f"updated-value{i}") for i in range(50)])
