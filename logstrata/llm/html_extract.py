@@ -44,6 +44,8 @@ _LEFT_OUT_ROLES = set("navigation banner contentinfo complementary search form d
 _LEFT_OUT_MARKS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond widget toolbar pagination pager skip".split()
 )
+#: Longer marks of the same kinds, such as ``commentlist`` or ``topnav``.
+_LEFT_OUT_FORMS = re.compile(r"comments?(?:list|form|thread|section|area|box)|(?:side|cookie|advert|breadcrumb|newsletter|subscri|sponsor)(?:bar|s|ed|ement|ing|be|ption|box)\w*|ad(?:box|slot|unit|sense|block)|\w+(?:nav|menu|navbar|sidebar|footer|comments)")
 _CONTAINER_MARKS = set("article content entry post story main maincontent articlebody".split())
 #: Tags that end an open paragraph.
 _ENDS_P = _BLOCK_TAGS - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "optgroup", "option", "legend"}
@@ -64,7 +66,8 @@ def _role(tag: str, attributes: dict[str, str], inside: int) -> tuple[bool, int]
     role = attributes.get("role", "").lower()
     marks = set(_MARKS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-    out = tag in _LEFT_OUT_TAGS or role in _LEFT_OUT_ROLES or hidden or bool(marks & _LEFT_OUT_MARKS) and tag not in ("body", "html", "article", "main")
+    marked = bool(marks & _LEFT_OUT_MARKS) or any(map(_LEFT_OUT_FORMS.fullmatch, marks))
+    out = tag in _LEFT_OUT_TAGS or role in _LEFT_OUT_ROLES or hidden or marked and tag not in ("body", "html", "article", "main")
     out |= tag == "article" and bool(marks & {"comment", "comments", "reply", "ad", "related", "promo"})
     if inside < MAIN:  # an article may have a header of its own
         out |= tag == "header" or bool(marks & {"header", "masthead"}) and tag not in ("body", "html", "article", "main")

@@ -24,6 +24,9 @@ def test_containers():
     assert text("<p>only</p><p hidden>no</p><p style='display: none'>no</p>") == "only"
     assert text("<article class='comment'><p>c</p></article><article><p>a</p></article>") == "a"
 
+    for mark in ("commentlist", "comment-form", "topnav", "siteFooter", "left-sidebar", "adslot", "newsletter_box", "cookies"):
+        assert text(f"<article><p>a</p><div class='x {mark}'>b</div><p class='commentary'>c</p></article>") == "a\nc", mark
+
 
 def test_broken_pages():
     for page, want in (("", ""), ("plain", "plain"), ("<p>a<p", "a"), ("<p>a</", "a"), ("<p>a<!-- b", "a"), ("<p>a<script>b", "a"), ("<p>x</div>y</p>", "x\ny"), ('<a title="x>y">z</a>', "z"), ("<p title='>a", "a"), ("a</>b", "a</>b"), ("&am", "&am"), ("&amp", "&"), ("<P>A</P>", "A")):
