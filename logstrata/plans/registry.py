@@ -580,7 +580,12 @@ def _root(spark: SparkSession, name: str) -> str:
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logstrata-")
-    return f"{shared.rstrip('/')}/logstrata-{name}-{uuid.uuid4().hex}"
+    root = f"{shared.rstrip('/')}/logstrata-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return root
 
 
 @query(f"{EV_LAST} select key, seq, value, deleted from lt where not deleted")
