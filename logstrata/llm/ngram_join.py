@@ -50,12 +50,12 @@ from logstrata.llm.scratch import Scratch, join_back, partitions
 
 WORDS = 5
 #: Tokens of a task's buffer, tokens of a bucket on average, documents of a buffer that make a token hot.
-BUFFER, BUCKET, HOT = 1_000_000, 4_000_000, 32
+BUFFER, BUCKET, HOT = 1_000_000, 2_000_000, 32
 HOT_CLASS = 255
 #: Seeds of the rounds in which each node is compared to one other for each seed.
-STAR_SEEDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8))
+STAR_SEEDS = ((0, 1, 2), (3, 4, 5, 6), (7, 8, 9, 10, 11, 12, 13, 14))
 #: Rows compared with one node in one task.
-CHUNK = 256
+CHUNK = 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PLACE = np.array([xxhash.xxh3_64_intdigest(b"place %d" % i) | 1 for i in range(WORDS)], dtype=np.uint64)
@@ -307,8 +307,16 @@ def _shared(buckets: int):
     return run
 
 
-_NODES = "nid long, n int, tokens binary, prefix1 array<long>, prefix2 array<long>"
-_NODES_ARROW = pa.schema([("nid", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("prefix1", pa.list_(pa.int64())), ("prefix2", pa.list_(pa.int64()))])
+#: c counts the shared tokens, of which map is the parity map.
+_NODES = "nid long, n int, c int, tokens binary, map array<long>, prefix1 array<long>, prefix2 array<long>"
+_LONGS = pa.list_(pa.int64())
+_NODES_ARROW = pa.schema([("nid", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("tokens", pa.binary()), ("map", _LONGS), ("prefix1", _LONGS), ("prefix2", _LONGS)])
+
+
+def parity_map(tokens: np.ndarray) -> np.ndarray:
+    """1,024 bits: for each slot, whether an odd number of tokens falls in it. Two maps differ in at most as many bits as their sets in tokens."""
+    slots = (mix(tokens, 99) >> _U(54)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=1024).astype(np.uint8) & 1).view(np.uint64)
 
 
 def least_common(n: np.ndarray | int, percent: int):
@@ -346,8 +354,9 @@ def _nodes(percent: int):
             by = np.lexsort((mix(names, seed), rank, own))
             ordered = names[by].view(np.int64)
             orders.append([ordered[start[i] : start[i] + prefix[i]] for i in kept])
-        tokens = [names[start[i] : start[i] + have[i]].tobytes() for i in kept]
-        return pa.Table.from_arrays([pa.array(ids[kept], pa.int64()), pa.array(n[kept], pa.int32()), pa.array(tokens, pa.binary()), *(pa.array(o, pa.list_(pa.int64())) for o in orders)], schema=_NODES_ARROW)
+        sets = [names[start[i] : start[i] + have[i]] for i in kept]
+        plain = [pa.array(ids[kept], pa.int64()), pa.array(n[kept], pa.int32()), pa.array(have[kept], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())]
+        return pa.Table.from_arrays([*plain, pa.array([parity_map(x).view(np.int64) for x in sets], _LONGS), *(pa.array(o, _LONGS) for o in orders)], schema=_NODES_ARROW)
 
     return run
 
@@ -355,10 +364,11 @@ def _nodes(percent: int):
 # --- steps 4 and 5: candidates ------------------------------------------------------------------------
 
 
-def star_pairs(nodes: DataFrame, groups: DataFrame | None, seeds: tuple[int, ...]) -> DataFrame:
+def star_pairs(nodes: DataFrame, groups: DataFrame | None, seeds: tuple[int, ...], percent: int) -> DataFrame:
     """(a, b): each node b with one drawn node a that has the same token first under a hash order, for each seed.
 
-    Similar sets mostly have the same first token there, rare or not. With ``groups``, only pairs across them.
+    Similar sets mostly have the same first token there, rare or not. Sizes and parity maps rule out
+    most other pairs. With ``groups``, only pairs across them.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,30 +376,28 @@ def star_pairs(nodes: DataFrame, groups: DataFrame | None, seeds: tuple[int, ...
             sets = [np.frombuffer(v.as_py(), _U) for v in batch.column(1)]
             for seed in seeds:
                 least = [mix(s, 10 + seed).min() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([seed] * len(sets), pa.int32()), pa.array(np.array(least, _U).view(np.int64))], ["nid", "o", "t"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([seed] * len(sets), pa.int32()), pa.array(np.array(least, _U).view(np.int64))], ["nid", "n", "c", "map", "o", "t"])
 
-    keyed = nodes.select("nid", "tokens").mapInArrow(first, "nid long, o int, t long")
+    keyed = nodes.select("nid", "tokens", "n", "c", "map").mapInArrow(first, "nid long, n int, c int, map array<long>, o int, t long")
     if groups is None:
         keyed = keyed.withColumn("g", F.col("nid"))
     else:
-        keyed = keyed.join(groups, keyed.nid == groups.node, "left").select("nid", "o", "t", F.coalesce("component", "nid").alias("g"))
+        keyed = keyed.join(groups, keyed.nid == groups.node, "left").withColumn("g", F.coalesce("component", "nid")).drop("node", "component")
     # A leader that differs from seed to seed: a node that one leader misses finds another.
-    lead = F.struct(F.xxhash64("nid", "o").alias("draw"), F.col("nid").alias("nid"), F.col("g").alias("g"))
-    least = keyed.groupBy("o", "t").agg(F.min(lead).alias("a"), F.max("g").alias("high"), F.min("g").alias("low")).where("low < high")
-    least = least.select("o", "t", F.col("a.nid").alias("a"), F.col("a.g").alias("h"))
-    return join_back(keyed, least, "t", beside=("o",)).where("g != h").select("a", F.col("nid").alias("b")).distinct()
+    lead = F.struct(F.xxhash64("nid", "o").alias("draw"), "nid", "g", "n", "c", "map")
+    least = keyed.groupBy("o", "t").agg(F.min(lead).alias("a"), F.max("g").alias("high"), F.min("g").alias("low")).where("low < high").select("o", "t", "a")
+    both = join_back(keyed, least, "t", beside=("o",)).where("g != a.g")
+    apart = F.aggregate(F.zip_with("map", "a.map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = F.expr(f"n * 100L >= a.n * {percent}L and a.n * 100L >= n * {percent}L")
+    shared = F.expr(f"2 * (({percent}L * (n + a.n) + {99 + percent}) div {100 + percent})")
+    both = both.where(fits & (F.col("c") + F.col("a.c") - apart >= shared))
+    return both.select(F.col("a.nid").alias("a"), F.col("nid").alias("b")).distinct()
 
 
 _NODE = np.dtype([("nid", np.int64), ("g", np.int64), ("n", np.int32), ("c", np.int32), ("map", np.uint64, 16)])
 _POSTING = np.dtype([("t", np.int64), ("node", np.int32), ("at", np.int32), ("o", np.int8)])
 
 
-def parity_map(tokens: np.ndarray) -> np.ndarray:
-    """1,024 bits: for each slot, whether an odd number of tokens falls in it. Two maps differ in at most as many bits as their sets in tokens."""
-    slots = (mix(tokens, 99) >> _U(54)).astype(np.int64)
-    return np.packbits(np.bincount(slots, minlength=1024).astype(np.uint8) & 1).view(np.uint64)
-
-
 class _Candidates:
     """Pairs of nodes of one bucket that may be similar, without those that their counts rule out."""
 
@@ -447,18 +455,16 @@ def crossing_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFra
 def candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b, o), a < b: nodes of different groups that share a prefix token under the order o and that sizes,
     positions and parity maps don't rule out. A pair may come from several buckets."""
-    place = nodes.join(groups, nodes.nid == groups.node, "left").select("nid", "n", F.coalesce("component", "nid").alias("g"), "tokens", "prefix1", "prefix2")
+    place = nodes.join(groups, nodes.nid == groups.node, "left").select("nid", "n", "c", F.coalesce("component", "nid").alias("g"), "map", "prefix1", "prefix2")
     postings = nodes.agg(F.sum(F.size("prefix1") + F.size("prefix2"))).first()[0] or 0
     buckets = 4 + postings // 250_000  # a pair comes from as many buckets as it shares prefix tokens in
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(v.as_py(), _U) for v in batch.column("tokens")]
             own = np.zeros(batch.num_rows, _NODE)
-            for f in ("nid", "g", "n"):
+            for f in ("nid", "g", "n", "c"):
                 own[f] = batch.column(f).to_numpy()
-            own["c"] = [x.size for x in sets]
-            own["map"] = np.array([parity_map(x) for x in sets]).reshape(len(sets), 16)
+            own["map"] = batch.column("map").flatten().to_numpy().view(np.uint64).reshape(-1, 16)
             found = []
             for o, c in ((1, "prefix1"), (2, "prefix2")):
                 lists = batch.column(c)
@@ -566,7 +572,7 @@ def join_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     _free(spark)
     groups = None
     for turn, seeds in enumerate(STAR_SEEDS):
-        found = verified(star_pairs(nodes, groups, seeds), nodes, percent)
+        found = verified(star_pairs(nodes, groups, seeds, percent), nodes, percent)
         if groups is not None:  # the components so far stand for their links
             found = found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
         groups = scratch.table(components(found, scratch, f"near-{turn}"), f"groups-{turn}")

@@ -226,6 +226,12 @@ class SentencePieceFst:
             out += path(segment) if found is None else found
         return out
 
+    def forget(self) -> None:
+        """Frees the paths; the worker may go on to other work."""
+        self._paths.clear()
+        if len(self._arcs) > 200_000:
+            self._arcs.clear()
+
     def decode(self, ids: list[int]) -> str:
         table = self.bytes_of
         text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
@@ -234,7 +240,7 @@ class SentencePieceFst:
 
 @lru_cache(maxsize=2)
 def compiled(model: bytes) -> SentencePieceFst:
-    """Once per Python worker, so that paths found by one task serve the next."""
+    """Once per Python worker."""
     return SentencePieceFst(model)
 
 
@@ -269,5 +275,6 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", *, decoded:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 columns = [*batch.columns, lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(back, pa.string())] * decoded, [*batch.schema.names, *added])
+        fst.forget()
 
     return kept.mapInArrow(run, schema)
