@@ -31,9 +31,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(node, component): every node with an edge, and the least node that it reaches. ``edges``: (a, b) longs, in any order."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    current = scratch.table(edges, f"{name}-0")
-    seen, turn = None, 0
-    while True:
+    current = nxt = scratch.table(edges, f"{name}-0")
+    seen, turn, any_edge = None, 0, current.limit(1).count()
+    while any_edge:
         turn += 1
         nxt = scratch.table(_star(_star(current, True), False), f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")

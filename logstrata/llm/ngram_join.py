@@ -572,11 +572,16 @@ def join_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     _free(spark)
     groups = None
     for turn, seeds in enumerate(STAR_SEEDS):
-        found = verified(star_pairs(nodes, groups, seeds, percent), nodes, percent)
+        found = scratch.table(verified(star_pairs(nodes, groups, seeds, percent), nodes, percent), f"stars-{turn}")
+        some = found.limit(1).count()
+        if groups is not None and not some:
+            break
         if groups is not None:  # the components so far stand for their links
             found = found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
         groups = scratch.table(components(found, scratch, f"near-{turn}"), f"groups-{turn}")
         _free(spark)
+        if not some:
+            break
     far = scratch.table(verified(crossing_pairs(nodes, groups, percent), nodes, percent), "far")
     _free(spark)
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
