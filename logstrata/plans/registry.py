@@ -70,7 +70,7 @@ def raw_index_count(spark, sf_dir):
 
 @query(f"{EV} select key, seq, value, deleted from ev where key = 'user:0000000042'")
 def key_history(spark, sf_dir):
-    return resolve.history(events_log(spark, sf_dir), "user:0000000042")
+    return resolve.history(events_log(spark, sf_dir, user=42), "user:0000000042")
 
 
 @query(
@@ -107,7 +107,7 @@ def customer_last_order(spark, sf_dir):
 
 @query(f"{EV_LAST} select key, seq, value, deleted from lt where not deleted and key = 'user:0000000007'")
 def point_get(spark, sf_dir):
-    return scan.get(events_log(spark, sf_dir), "user:0000000007")
+    return scan.get(events_log(spark, sf_dir, user=7), "user:0000000007")
 
 
 @query(f"{OD_LAST} select key, seq, value, deleted from lt where not deleted and key in (select printf('cust:%08d', c_custkey) from customer where c_mktsegment = 'BUILDING')")
@@ -124,12 +124,12 @@ def negative_lookup(spark, sf_dir):
 
 @query(f"{OD_LAST} select key, value from lt where not deleted and key >= 'cust:00000020' and key < 'cust:00000300'")
 def range_scan_half_open(spark, sf_dir):
-    return scan.range_scan(orders_log(spark, sf_dir), "cust:00000020", "cust:00000300").select("key", "value")
+    return scan.range_scan(orders_log(spark, sf_dir, low=20, high=300), "cust:00000020", "cust:00000300").select("key", "value")
 
 
 @query(f"{OD_LAST} select key, value from lt where not deleted and key >= 'cust:00000020' and key <= 'cust:00000300'")
 def range_scan_closed(spark, sf_dir):
-    return scan.range_scan(orders_log(spark, sf_dir), "cust:00000020", "cust:00000300", end_inclusive=True).select("key", "value")
+    return scan.range_scan(orders_log(spark, sf_dir, low=20, high=300), "cust:00000020", "cust:00000300", end_inclusive=True).select("key", "value")
 
 
 @query(f"{OD_LAST} select key, value from lt where not deleted")
@@ -139,7 +139,7 @@ def range_scan_unbounded(spark, sf_dir):
 
 @query(f"{OD_LAST} select key, value from lt where not deleted and starts_with(key, 'cust:000001')")
 def prefix_scan(spark, sf_dir):
-    return scan.prefix_scan(orders_log(spark, sf_dir), "cust:000001").select("key", "value")
+    return scan.prefix_scan(orders_log(spark, sf_dir, low=100, high=199), "cust:000001").select("key", "value")
 
 
 @query(f"{OD_LAST} select key, value from lt where not deleted and key >= 'cust:0000' and key < 'cust:0000~'")
