@@ -97,6 +97,7 @@ class SentencePieceFst:
                 self.bytes_of[i] = self.unknown_surface
         self.cache_size = cache_size
         self._paths: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         self._arcs: dict[tuple[str, str], bool] = {}
 
     # N
@@ -210,11 +211,14 @@ class SentencePieceFst:
         return tuple(out)
 
     def _path(self, segment: str) -> tuple[int, ...]:
-        if len(segment) > 64:  # rare: not worth a place in the cache
-            return self._path_bpe(segment) if self.kind == BPE else self._path_unigram(segment)
-        if len(self._paths) >= self.cache_size:
-            self._paths.clear()
-        found = self._path_bpe(segment) if self.kind == BPE else self._path_unigram(segment)
+        """The path of a segment that the newer half of the cache doesn't have."""
+        found = self._older.get(segment)
+        if found is None:
+            found = self._path_bpe(segment) if self.kind == BPE else self._path_unigram(segment)
+            if len(segment) > 64:  # rare: not worth a place
+                return found
+        if len(self._paths) >= self.cache_size // 2:  # what wasn't met since the last time goes
+            self._older, self._paths = self._paths, {}
         self._paths[segment] = found
         return found
 
@@ -223,15 +227,12 @@ class SentencePieceFst:
         get, path, out = self._paths.get, self._path, []
         for segment in self.cut.findall(text) if self.cut else [text] if text else []:
             found = get(segment)
-            out += path(segment) if found is None else found
+            if found is None:
+                found = path(segment)
+                get = self._paths.get
+            out += found
         return out
 
-    def forget(self) -> None:
-        """Frees the paths; the worker may go on to other work."""
-        self._paths.clear()
-        if len(self._arcs) > 200_000:
-            self._arcs.clear()
-
     def decode(self, ids: list[int]) -> str:
         table = self.bytes_of
         text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
@@ -275,6 +276,5 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", *, decoded:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 columns = [*batch.columns, lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(back, pa.string())] * decoded, [*batch.schema.names, *added])
-        fst.forget()
 
     return kept.mapInArrow(run, schema)
