@@ -12,12 +12,15 @@ of the pages of a host are concatenated, their suffixes are sorted by their
 first ``run`` tokens (prefix doubling, so equal ranks are common prefixes of at
 least that length), and a stretch that ``pages`` or more different pages have
 is boilerplate; blocks that such stretches cover are removed and unique runs
-stay. A large host is dealt out in groups of about ``GROUP`` pages, each large
-enough to see what all pages of the host repeat.
+stay. A large host is dealt out in parts of about ``GROUP`` pages, each with a
+suffix array. The parts' counts of pages for each distinct run of tokens are
+added up over the whole host, dealt by a 48-bit hash of the run, and the parts
+get back which of their runs are repeated, so the parts decide nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -34,6 +37,10 @@ GROUP = 512
 _CODEC = "zstd"
 #: Hosts above GROUP pages that may be broadcast; with more of them the join is by shuffle.
 MOST_BROADCAST = 100_000
+#: Streams that a task remembers, to deal out their copies.
+MOST_MET = 1_000_000
+#: A span of keys is what this many parts hold.
+PARTS_OF_SPAN = 8
 
 #: Tags and marks.
 _BLOCK_TAGS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -137,50 +144,97 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return [b for b in out if b[0] == best]
 
 
+class Suffixes:
+    """The suffixes of some token streams, sorted by their first ``run`` tokens (those that are as long)."""
+
+    def __init__(self, streams: list[list[str]], run: int) -> None:
+        self.run, self.sizes = run, np.array([len(s) for s in streams], np.int64)
+        self.ids: dict[str, int] = {}
+        ids = self.ids
+        self.flat = np.fromiter((ids.setdefault(t, len(ids)) for s in streams for t in s), np.int64, int(self.sizes.sum()))
+        # Equal streams are one page: a copy is no evidence.
+        kinds: dict[tuple[str, ...], int] = {}
+        self.kind = np.array([kinds.setdefault(tuple(s), len(kinds)) for s in streams], np.int64)
+        self.n_kinds = len(kinds)
+        ends = np.repeat(np.cumsum(self.sizes), self.sizes)
+        n = self.flat.size
+        alive = np.arange(n)  # suffixes that are as long as the sorted length
+        rank, length = self.flat, 1
+        while length < run and alive.size:
+            step = min(length, run - length)
+            alive = alive[alive + length + step <= ends[alive]]
+            if not alive.size:
+                break
+            pair = rank[alive] * (n + 1) + rank[alive + step]
+            _, dense = np.unique(pair, return_inverse=True)
+            rank = np.full(n, -1, np.int64)
+            rank[alive] = dense
+            length += step
+        #: Where the suffixes start, and their ranks: equal ranks are equal in the first ``run`` tokens.
+        self.start = alive if length >= run else alive[:0]
+        self.rank = rank[self.start]
+
+    def holders(self, counted: np.ndarray | None = None) -> np.ndarray:
+        """How many different streams (of those that are counted) have each rank."""
+        of = np.repeat(self.kind, self.sizes)[self.start]
+        pairs = self.rank * (self.n_kinds + 1) + of
+        if counted is not None:
+            pairs = pairs[counted[of]]
+        return np.bincount(np.unique(pairs) // (self.n_kinds + 1), minlength=int(self.rank.max(initial=-1)) + 1)
+
+    def keys(self) -> np.ndarray:
+        """For each rank a number of 48 bits, the same in every process: a multilinear hash of its tokens."""
+        of_id = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little") for t in self.ids], np.uint64)
+        at = np.zeros(int(self.rank.max(initial=-1)) + 1, np.int64)
+        at[self.rank] = self.start
+        found = np.zeros(at.size, np.uint64)
+        factors = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, self.run, np.uint64) | np.uint64(1)
+        for j in range(self.run):
+            found += of_id[self.flat[at + j]] * factors[j]
+        found ^= found >> np.uint64(32)
+        return (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+
+    def cover(self, ranks: np.ndarray) -> list[np.ndarray]:
+        """Which tokens of each stream lie in a stretch that begins with one of these ranks (a mask)."""
+        cover = np.zeros(self.flat.size + 1, np.int64)
+        if ranks.size:
+            start = self.start[ranks[self.rank]]
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + self.run, -1)
+        inside = np.cumsum(cover[:-1]) > 0
+        return np.split(inside, np.cumsum(self.sizes)[:-1]) if self.sizes.size else []
+
+
 def covered(streams: list[list[str]], run: int, pages: int) -> list[np.ndarray]:
     """Which tokens of each stream lie in a stretch of ``run`` tokens or more that ``pages`` different streams have."""
-    sizes = np.array([len(s) for s in streams], np.int64)
-    ids: dict[str, int] = {}
-    flat = np.fromiter((ids.setdefault(t, len(ids)) for s in streams for t in s), np.int64, int(sizes.sum()))
-    # Equal streams are one page: a copy is no evidence.
-    kinds: dict[tuple[str, ...], int] = {}
-    page = np.repeat(np.array([kinds.setdefault(tuple(s), len(kinds)) for s in streams], np.int64), sizes)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    n = flat.size
-    cover = np.zeros(n + 1, np.int64)
-    place = np.arange(n)
-    alive = place  # suffixes that are as long as the sorted length
-    rank, length = flat, 1
-    while length < run and alive.size:
-        step = min(length, run - length)
-        alive = alive[alive + length + step <= ends[alive]]
-        if not alive.size:
-            break
-        pair = rank[alive] * (n + 1) + rank[alive + step]
-        _, dense = np.unique(pair, return_inverse=True)
-        rank = np.full(n, -1, np.int64)
-        rank[alive] = dense
-        length += step
-    if alive.size and length >= run:
-        pairs = np.unique(rank[alive] * (len(kinds) + 1) + page[alive])
-        often = np.bincount(pairs // (len(kinds) + 1)) >= pages
-        start = alive[often[rank[alive]]]
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + run, -1)
-    inside = np.cumsum(cover[:-1]) > 0
-    return np.split(inside, np.cumsum(sizes)[:-1]) if len(streams) else []
-
-
-def main_texts(pages_of_host: list[list[tuple[int, str]]], run: int, pages: int) -> list[str]:
-    """The main text of each page of one group of a host."""
-    tokens = [[t.split(" ") for _, t in page] for page in pages_of_host]
-    marks = covered([[w for b in page for w in b] for page in tokens], run, pages)
+    found = Suffixes(streams, run)
+    return found.cover(found.holders() >= pages)
+
+
+def _streams(pages_of_host: list[list[tuple[int, str]]]) -> list[list[str]]:
+    return [[w for _, t in page for w in t.split(" ")] for page in pages_of_host]
+
+
+def _packed(values: np.ndarray, dtype: type) -> bytes:
+    """Sorted keys as differences, byte planes apart, or counts, compressed."""
+    planes = np.ascontiguousarray(values.astype(dtype).view(np.uint8).reshape(-1, np.dtype(dtype).itemsize).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), _CODEC, asbytes=True)
+
+
+def _unpacked(raw: bytes, dtype: type) -> np.ndarray:
+    n, width = int.from_bytes(raw[:4], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(raw[4:], n * width, _CODEC, asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
+def main_texts(pages_of_host: list[list[tuple[int, str]]], marks: list[np.ndarray]) -> list[str]:
+    """The main text of each page, given which of its tokens are in repeated stretches."""
     out = []
-    for page, words, inside in zip(pages_of_host, tokens, marks, strict=True):
+    for page, inside in zip(pages_of_host, marks, strict=True):
         kept, at = [], 0
-        for (container, text), own in zip(page, words, strict=True):
-            part = inside[at : at + len(own)]
-            at += len(own)
+        for container, text in page:
+            part = inside[at : at + text.count(" ") + 1]
+            at += part.size
             if container >= MAIN or not part.all():
                 kept.append(text)
         out.append("\n".join(kept))
@@ -197,29 +251,96 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host_of(F.col(url)).alias("host"))
     large = rows.groupBy("host").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("host", F.ceil(F.col("k") / GROUP).cast("int").alias("parts"))
     # At most one host for each GROUP pages; its size is looked at before it is broadcast.
-    rows = rows.join(F.broadcast(large) if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else large, "host", "left")
-    spread = F.pmod(F.xxhash64("page_id", F.length("html")), F.coalesce("parts", F.lit(1))).cast("int")
-    rows = rows.select("host", spread.alias("part"), "page_id", "url", "html")
-    cut_schema = T.StructType([*[f for f in rows.schema.fields if f.name != "html"], T.StructField("containers", T.BinaryType()), T.StructField("blocks", T.BinaryType()), T.StructField("size", T.IntegerType())])
+    few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = rows.join(F.broadcast(large) if few else large, "host", "left")
+    rows = rows.select("host", F.coalesce("parts", F.lit(1)).alias("parts"), "page_id", "url", "html")
+    names = [("part", T.IntegerType()), ("evidence", T.BooleanType()), ("containers", T.BinaryType()), ("blocks", T.BinaryType()), ("size", T.IntegerType())]
+    cut_schema = T.StructType([*[f for f in rows.schema.fields if f.name != "html"], *[T.StructField(*n) for n in names]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for batch in batches:
-            containers, texts, sizes = [], [], []
-            for value in batch.column(batch.schema.get_field_index("html")):
+            new: list[list] = [[] for _ in names]
+            for host, parts, value in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("host", "parts", "html")), strict=True):
                 found = blocks(value.as_py() or "")
-                containers.append(bytes(c for c, _ in found))
                 raw = "\n".join(t for _, t in found).encode("utf-8", "replace")
-                texts.append(pa.compress(raw, _CODEC, asbytes=True))  # what is shuffled
-                sizes.append(len(raw))
-            kept = [batch.column(batch.schema.get_field_index(f)) for f in cut_schema.fieldNames()[:-3]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(containers, pa.binary()), pa.array(texts, pa.binary()), pa.array(sizes, pa.int32())], cut_schema.fieldNames())
+                # Equal streams meet in one part and are counted once there. Only the first that a task
+                # has goes there: its other copies are dealt out and aren't counted.
+                part, first = 0, True
+                if (parts := parts.as_py()) > 1:
+                    key = hashlib.blake2b((host.as_py() or "").encode("utf-8", "replace") + b"\n\n" + raw.replace(b"\n", b" "), digest_size=16).digest()
+                    first = key not in met
+                    part = int.from_bytes(key[:8], "little") % parts if first else hash((len(met), len(new[0]))) % parts
+                    if len(met) >= MOST_MET:
+                        met.clear()
+                    met.add(key)
+                for column, x in zip(new, (part, first, bytes(c for c, _ in found), pa.compress(raw, _CODEC, asbytes=True), len(raw)), strict=True):
+                    column.append(x)
+            kept = [batch.column(batch.schema.get_field_index(f)) for f in cut_schema.fieldNames()[: -len(names)]]
+            types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, new, types)], cut_schema.fieldNames())
+
+    def pages_of(table: pa.Table) -> list[list[tuple[int, str]]]:
+        whole = zip(*(table.column(c).to_pylist() for c in ("containers", "blocks", "size")), strict=True)
+        return [list(zip(c, pa.decompress(t, n, _CODEC, asbytes=True).decode().split("\n"), strict=True)) if c else [] for c, t, n in whole]
+
+    counts_schema = T.StructType([rows.schema["host"], *[T.StructField(n, T.IntegerType(), False) for n in ("part", "span")], T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+
+    counts_schema_arrow = pa.schema(zip(counts_schema.fieldNames(), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True))
+
+    def count(table: pa.Table) -> pa.Table:
+        """What a part has of each span of keys, with its number of different counted pages for each."""
+        if not table.column("wanted")[0].as_py():
+            return counts_schema_arrow.empty_table()
+        parts = table.column("parts")[0].as_py()
+        found = Suffixes(_streams(pages_of(table)), run)
+        counted = np.zeros(found.n_kinds, bool)
+        counted[found.kind[table.column("evidence").to_numpy()]] = True
+        keys, holders = found.keys(), found.holders(counted)
+        order = np.argsort(keys)
+        keys, holders = keys[order], holders[order]
+        spans = -(-parts // PARTS_OF_SPAN)
+        cuts = np.searchsorted(keys, [(i << 48) // spans for i in range(spans + 1)])
+        out = [(i, _packed(np.diff(keys[x:y], prepend=np.uint64(0)), np.uint64), _packed(holders[x:y], np.uint32)) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+        whole = [[table.column(c)[0].as_py()] * len(out) for c in ("host", "part")] + [[o[i] for o in out] for i in range(3)]
+        return pa.Table.from_arrays(list(map(pa.array, whole, counts_schema_arrow.types)), counts_schema.fieldNames())
+
+    marks_schema = T.StructType([f for f in counts_schema.fields if f.name in ("host", "part", "keys")])
+
+    def merge(table: pa.Table) -> pa.Table:
+        """Of each part's keys those that enough pages of the whole host have."""
+        each = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        keys, place = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(place, np.concatenate([_unpacked(c, np.uint32) for c in table.column("counts").to_pylist()]), keys.size)
+        often = np.split((total >= repeated)[place], np.cumsum([k.size for k in each])[:-1])
+        out = [(h, p, _packed(np.diff(k[o], prepend=np.uint64(0)), np.uint64)) for h, p, k, o in zip(table.column("host").to_pylist(), table.column("part").to_pylist(), each, often, strict=True) if o.any()]
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], marks_schema.fieldNames())
 
     out_schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType())])
 
-    def decide(table: pa.Table) -> pa.Table:
-        whole = zip(*(table.column(c).to_pylist() for c in ("containers", "blocks", "size")), strict=True)
-        group = [list(zip(c, pa.decompress(t, n, _CODEC, asbytes=True).decode().split("\n"), strict=True)) if c else [] for c, t, n in whole]
-        return pa.Table.from_arrays([table.column("page_id").combine_chunks(), table.column("url").combine_chunks(), pa.array(main_texts(group, run, repeated), pa.string())], out_schema.fieldNames())
+    def decide(table: pa.Table, marks: pa.Table) -> pa.Table:
+        group = pages_of(table)
+        found = Suffixes(_streams(group), run)
+        if table.num_rows and table.column("parts")[0].as_py() > 1:
+            often = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in marks.column("keys").to_pylist()]
+            ranks = np.isin(found.keys(), np.concatenate(often)) if often else np.zeros(0, bool)
+        else:
+            ranks = found.holders() >= repeated
+        return pa.Table.from_arrays([table.column("page_id").combine_chunks(), table.column("url").combine_chunks(), pa.array(main_texts(group, found.cover(ranks)), pa.string())], out_schema.fieldNames())
+
+    # The uses of the pieces are one exchange, as long as nothing is filtered between.
+    pieces = rows.mapInArrow(cut, cut_schema).repartition("host", "part")
+    host_schema = T.StructType([rows.schema["host"]])
+
+    def undecided(table: pa.Table) -> pa.Table:
+        """The host, if it has several parts and repetition decides a block of this one."""
+        some = table.column("parts")[0].as_py() > 1 and any(min(c, default=MAIN) < MAIN for c in table.column("containers").to_pylist())
+        return table.select(["host"]).slice(0, int(some))
 
-    found = rows.mapInArrow(cut, cut_schema).groupBy("host", "part").applyInArrow(decide, out_schema)
+    # Hosts whose pages all name their article have nothing to be counted for.
+    wanted = pieces.groupBy("host", "part").applyInArrow(undecided, host_schema).distinct().withColumn("wanted", F.lit(True))
+    wanted = pieces.join(F.broadcast(wanted) if few else wanted, "host", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    counts = wanted.groupBy("host", "part").applyInArrow(count, counts_schema)
+    marks = counts.groupBy("host", "span").applyInArrow(merge, marks_schema)
+    found = pieces.groupBy("host", "part").cogroup(marks.groupBy("host", "part")).applyInArrow(decide, out_schema)
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -95,3 +95,18 @@ def test_nulls_copies_large_hosts_and_empty_tables(spark, monkeypatch):
     assert hx.extract(df.limit(0)).count() == 0
     monkeypatch.setattr(hx, "MOST_BROADCAST", 0)
     assert hx.extract(df).count() == len(rows)
+
+
+def test_parts_of_a_large_host_decide_as_one(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(30)]
+    pages = [f"<p>{'own words %d ' % i * 5}</p>" + "".join(f"<p>{line}</p>" for line in rng.sample(lines, 2)) for i in range(60)]
+    pages += [f"<nav>{i}</nav>{pages[0]}" for i in range(40)] + [f"<p>{'once more %d ' % i * 5}</p><p>on two different pages only, though one of them is copied often</p>" for i in range(2) for _ in range(9)]
+    rows = [(i, "http://h.test/", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    one = {r.page_id: r.text for r in hx.extract(df).collect()}
+    monkeypatch.setattr(hx, "GROUP", 4)
+    assert {r.page_id: r.text for r in hx.extract(df).collect()} == one
+    holders = {line: len({p for p in pages[:60] if line in p}) for line in lines}
+    assert 0 < sum(k >= 3 for k in holders.values()) < 30
+    assert all((line in one[i]) == (holders[line] < 3) for i in range(60) for line in lines if line in pages[i])
