@@ -2,10 +2,11 @@
 
 A page is cut into blocks at block-level tags. What is marked as a menu,
 header, footer, sidebar, notice, advert, form, script, style or reader comment,
-by its tag, role, class or id, is left out, and the innermost kind of container
-that the page names (``article``, else ``main``, else a class or id such as
-``content``) says where its text is. Inside ``article`` or ``main`` that
-decides: an article stays whole, also if other pages repeat it.
+by its tag, role, class or id, is left out, unless it is marked by a class or id
+only and holds the text. The container that the page names (``article`` and
+``main``, else a class or id such as ``content``) says where its text is, if it
+holds a quarter of it. Inside ``article`` or ``main`` that decides: an article
+stays whole, also if other pages repeat it.
 
 Pages that name no such container are decided by repetition. The token streams
 of the pages of a host are concatenated, their suffixes are sorted by their
@@ -62,46 +63,60 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _MARKS = re.compile(r"[a-z0-9]+")
 
 PLAIN, MARKED, MAIN, ARTICLE = range(4)
+KEPT, OUT, BY_MARK, BY_SUBJECT = range(4)
+#: A container with less than one part in SMALL of the text isn't where the text is.
+SMALL = 4
+#: Names that say what else there is or isn't, such as ``no-sidebar`` or ``nav-open``.
+_NO_MARK = re.compile(r"(?<![a-z0-9_-])(?:no|has|with|without)[-_][a-z0-9_-]+|(?<![a-z0-9])[a-z0-9]+[-_](?:open|opened|closed|collapsed|expanded|enabled|disabled)(?![a-z0-9_-])")
+#: Marks of what may well be longer than the text.
+_SUBJECT = re.compile(r"(?:\w*comment|disqus|repl|respond|related|recommend|cookie|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri|signup|login|ad(?:s|box|slot|unit|sense|block|vert\w*)?$|sponsor|promo)")
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /\t\r\n") else {}
 
 
-def _role(tag: str, attributes: dict[str, str], inside: int) -> tuple[bool, int]:
-    """Is the element left out, and which container does it open (at least ``inside``)."""
+def _role(tag: str, attributes: dict[str, str], inside: int) -> tuple[int, int]:
+    """Is the element left out (OUT), or by its marks (BY_MARK, BY_SUBJECT), and which container does it open (at least ``inside``)."""
     role = attributes.get("role", "").lower()
-    marks = set(_MARKS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+    names = _NO_MARK.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
+    marks = set(_MARKS.findall(names))
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-    marked = bool(marks & _LEFT_OUT_MARKS) or any(map(_LEFT_OUT_FORMS.fullmatch, marks))
-    out = tag in _LEFT_OUT_TAGS or role in _LEFT_OUT_ROLES or hidden or marked and tag not in ("body", "html", "article", "main")
-    out |= tag == "article" and bool(marks & {"comment", "comments", "reply", "ad", "related", "promo"})
+    named = {m for m in marks if m in _LEFT_OUT_MARKS or _LEFT_OUT_FORMS.fullmatch(m)} if tag not in ("body", "html", "article", "main") else set()
+    if tag == "article":
+        named = marks & {"comment", "comments", "reply", "ad", "related", "promo"}
+    out = tag in _LEFT_OUT_TAGS - {"form"} or role in _LEFT_OUT_ROLES or hidden
     if inside < MAIN:  # an article may have a header of its own
-        out |= tag == "header" or bool(marks & {"header", "masthead"}) and tag not in ("body", "html", "article", "main")
+        out |= tag == "header"
+        if tag not in ("body", "html", "article", "main"):
+            named |= marks & {"header", "masthead"}
     level = ARTICLE if tag == "article" or role == "article" else MAIN if tag == "main" or role == "main" else MARKED if tag in ("div", "section", "td") and marks & _CONTAINER_MARKS else PLAIN
-    return out, max(inside, level)
+    kind = OUT if out else BY_SUBJECT if any(map(_SUBJECT.match, named)) else BY_MARK if named or tag == "form" else KEPT
+    return kind, max(inside, level)
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(container, text) of each block that isn't left out, in page order, with white space folded."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, int]] = []
-    text: list[str] = []
-    left_out, inside = False, PLAIN
+    found: list[tuple[int, list[tuple[str, int, bool]]]] = []
+    # Tag, is it left out for good, the element around that marks leave out, container.
+    stack: list[tuple[str, bool, int, int]] = []
+    text: list[tuple[str, int, bool]] = []
+    # Elements that marks leave out: the one around, the container around, do they name a subject.
+    marked: list[tuple[int, int, bool]] = []
+    mains: list[int] = []
+    left_out, around, inside = False, -1, PLAIN
 
     def end() -> None:
         if text:
-            whole = " ".join("".join(text).split())
-            if whole:
-                out.append((inside, whole))
+            found.append((inside, text.copy()))
             text.clear()
 
     def close(tag: str) -> None:
-        nonlocal left_out, inside
-        if any(t == tag for t, _, _ in stack):
+        nonlocal left_out, around, inside
+        if any(e[0] == tag for e in stack):
             while stack.pop()[0] != tag:
                 pass
-            left_out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, PLAIN)
+            left_out, around, inside = stack[-1][1:] if stack else (False, -1, PLAIN)
 
     at = 0
     while True:
@@ -109,7 +124,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if not left_out:
             piece = page[at : m.start()] if m else page[at:]
             if piece:
-                text.append(html.unescape(piece) if "&" in piece else piece)
+                text.append((html.unescape(piece) if "&" in piece else piece, around, any(e[0] == "a" for e in stack[-4:])))
         if m is None:
             break
         at = m.end()
@@ -119,11 +134,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if tag in _BLOCK_TAGS:
             end()
         elif tag == "br" and not left_out:
-            text.append(" ")
+            text.append((" ", around, False))
         if m[1] or m[4]:
             close(tag)
             continue
-        if tag in _ENDS_P and any(t == "p" for t, _, _ in stack):
+        if tag in _ENDS_P and any(e[0] == "p" for e in stack):
             close("p")
         if tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack and stack[-1][0] == tag:
             close(tag)
@@ -136,12 +151,55 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         if tag in _VOID_TAGS:
             continue
-        out_here, level = _role(tag, _attributes(raw), inside)
-        left_out, inside = left_out or out_here, level
-        stack.append((tag, left_out, inside))
+        kind, level = _role(tag, _attributes(raw), inside)
+        left_out = left_out or kind == OUT
+        if kind >= BY_MARK and not left_out:
+            marked.append((around, inside, kind == BY_SUBJECT))
+            around = len(marked) - 1
+        if level == MAIN > inside and not left_out:
+            mains.append(around)
+        inside = level
+        stack.append((tag, left_out, around, inside))
     end()
-    best = max((c for c, _ in out), default=PLAIN)
-    return [b for b in out if b[0] == best]
+    stay = _held(found, marked, mains) if marked else [True]
+    out = []
+    for container, pieces in found:
+        whole = " ".join("".join(p for p, k, _ in pieces if stay[k]).split())
+        if whole:
+            out.append((container, whole))
+    # A container is where the text is unless it holds a small part of it.
+    total = sum(len(t) for _, t in out)
+    for region in (MAIN, MARKED):
+        held = [b for b in out if b[0] >= region]
+        if held and SMALL * sum(len(t) for _, t in held) >= total:
+            return held
+    return out
+
+
+def _held(found: list[tuple[int, list[tuple[str, int, bool]]]], marked: list[tuple[int, int, bool]], mains: list[int]) -> list[bool]:
+    """Of the elements that marks leave out those that stay, because they hold the text: a ``main``,
+    or all articles and more than half of what articles and mains hold (of all text, if there are none).
+    Links don't count as text, and what names its subject stays only for a ``main``."""
+    k = len(marked)
+    sums = np.zeros((k + 1, 3), np.int64)  # of all text, of that in MAIN and ARTICLE, of that in ARTICLE; last row: of the page
+    for container, pieces in found:
+        for piece, around, linked in pieces:
+            if not linked:
+                sums[around] += len("".join(piece.split())) * np.array([1, container >= MAIN, container >= ARTICLE])
+    holds_main = np.zeros(k + 1, bool)
+    holds_main[mains] = True
+    for i in range(k - 1, -1, -1):
+        parent, _, subject = marked[i]
+        holds_main[parent] |= holds_main[i]
+        if not subject:
+            sums[parent] += sums[i]
+    stay: list[bool] = []
+    for i, (parent, level, subject) in enumerate(marked):
+        all_text, named, articles = map(int, sums[i])
+        share = 2 * named > sums[k, 1] and SMALL * named >= sums[k, 0] if sums[k, 1] else 2 * all_text > sums[k, 0]
+        own = holds_main[i] or not subject and share and (level >= ARTICLE or articles == sums[k, 2])
+        stay.append(bool(own) and (parent < 0 or stay[parent]))
+    return [*stay, True]
 
 
 class Suffixes:

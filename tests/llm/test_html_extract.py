@@ -110,3 +110,28 @@ def test_parts_of_a_large_host_decide_as_one(spark, monkeypatch):
     holders = {line: len({p for p in pages[:60] if line in p}) for line in lines}
     assert 0 < sum(k >= 3 for k in holders.values()) < 30
     assert all((line in one[i]) == (holders[line] < 3) for i in range(60) for line in lines if line in pages[i])
+
+
+def test_container_is_where_the_text_is():
+    assert text("<main><h1>Headline</h1><p>long text</p><article class=card><p>teaser</p></article></main>") == "Headline\nlong text\nteaser"
+    long = "a story of some length that no box holds"
+    for box in ("<div class='post'>x", "<div class='entry'>x", "<div id=content>x", "<article>x"):
+        assert text(f"<p>{long}</p>{box}</{box[1:4] if box[1] == 'd' else 'article'}><p>{long}</p>") == f"{long}\nx\n{long}", box
+
+
+def test_marks_do_not_leave_out_what_holds_the_text():
+    for mark in ("layout no-sidebar", "has-comments", "nav-open", "page with_menu", "sidebar", "site-header", "widget"):
+        assert text(f"<div class='{mark}'><article><p>the whole text</p></article><div class=sidebar>s</div></div>") == "the whole text", mark
+        assert text(f"<div class='{mark}'><p>the whole text</p><div class=sidebar>s</div></div><p>x</p>") == "the whole text\nx", mark
+    assert text("<div class=cookie-wrapper><main><p>text</p></main></div>") == "text"
+    assert text("<form><p>all of the page</p><div class=ad>buy</div></form>") == "all of the page"
+
+
+def test_marks_leave_out_what_is_longer_than_the_text():
+    long = "many words that are not what the page is for " * 5
+    for mark in ("comments", "commentlist", "related-posts", "cookie-notice", "ads", "newsletter"):
+        assert text(f"<article><p>a</p></article><div class='{mark}'><article><p>{long}</p></article></div>") == "a", mark
+        assert text(f"<p>a</p><div class='{mark}'><p>{long}</p></div>") == "a", mark
+    assert text(f"<p>a</p><div class=menu><ul><li><a href=/>{long}</a></ul></div>") == "a"
+    assert text(f"<article><p>a</p></article><div class=sidebar><p>{long}</p></div>") == "a"
+    assert set(text("<main>" + "<div class=menu>x" * 3000 + "</main>").split("\n")) == {"x"}  # nested deep
