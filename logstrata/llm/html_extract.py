@@ -5,8 +5,9 @@ header, footer, sidebar, notice, advert, form, script, style or reader comment,
 by its tag, role, class or id, is left out, unless it is marked by a class or id
 only and holds the text. The container that the page names (``article`` and
 ``main``, else a class or id such as ``content``) says where its text is, if it
-holds a quarter of it. Inside ``article`` or ``main`` that decides: an article
-stays whole, also if other pages repeat it.
+holds a quarter of it. Inside ``article`` or ``main`` that decides, and an
+article stays whole, also if other pages repeat it; only what half of the host's
+different pages have, and makes up less than half of this one, is a template's.
 
 Pages that name no such container are decided by repetition. The token streams
 of the pages of a host are concatenated, their suffixes are sorted by their
@@ -42,6 +43,8 @@ MOST_BROADCAST = 100_000
 MOST_MET = 1_000_000
 #: A span of keys is what this many parts hold.
 PARTS_OF_SPAN = 8
+#: A part with fewer different pages gives all its keys.
+FEW_PAGES = 64
 
 #: Tags and marks.
 _BLOCK_TAGS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -213,7 +216,7 @@ class Suffixes:
         # Equal streams are one page: a copy is no evidence.
         kinds: dict[tuple[str, ...], int] = {}
         self.kind = np.array([kinds.setdefault(tuple(s), len(kinds)) for s in streams], np.int64)
-        self.n_kinds = len(kinds)
+        self.n_kinds, self.n_full = len(kinds), sum(map(bool, kinds))
         ends = np.repeat(np.cumsum(self.sizes), self.sizes)
         n = self.flat.size
         alive = np.arange(n)  # suffixes that are as long as the sorted length
@@ -285,17 +288,23 @@ def _unpacked(raw: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
-def main_texts(pages_of_host: list[list[tuple[int, str]]], marks: list[np.ndarray]) -> list[str]:
-    """The main text of each page, given which of its tokens are in repeated stretches."""
+def _most(n: int, pages: int) -> int:
+    """On how many of a host's ``n`` different pages the template's text stands at least."""
+    return max(pages, -(-n // 2))
+
+
+def main_texts(pages_of_host: list[list[tuple[int, str]]], marks: list[np.ndarray], most: list[np.ndarray]) -> list[str]:
+    """The main text of each page, given which of its tokens are in repeated stretches, and in those of most pages."""
     out = []
-    for page, inside in zip(pages_of_host, marks, strict=True):
-        kept, at = [], 0
-        for container, text in page:
-            part = inside[at : at + text.count(" ") + 1]
-            at += part.size
-            if container >= MAIN or not part.all():
-                kept.append(text)
-        out.append("\n".join(kept))
+    for page, often, template in zip(pages_of_host, marks, most, strict=True):
+        sizes = [text.count(" ") + 1 for _, text in page]
+        ends = np.cumsum(sizes).tolist()
+        gone = [bool((template if c >= MAIN else often)[e - n : e].all()) for (c, _), n, e in zip(page, sizes, ends, strict=True)]
+        # What is mostly made of repeated stretches is a copied article, not one with a template around it.
+        whole = [n for (c, _), n in zip(page, sizes, strict=True) if c >= MAIN]
+        cut = [n for (c, _), n, g in zip(page, sizes, gone, strict=True) if g and c >= MAIN]
+        copied = 2 * sum(cut) >= sum(whole)
+        out.append("\n".join(t for (c, t), g in zip(page, gone, strict=True) if not g or copied and c >= MAIN))
     return out
 
 
@@ -342,37 +351,41 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
         whole = zip(*(table.column(c).to_pylist() for c in ("containers", "blocks", "size")), strict=True)
         return [list(zip(c, pa.decompress(t, n, _CODEC, asbytes=True).decode().split("\n"), strict=True)) if c else [] for c, t, n in whole]
 
-    counts_schema = T.StructType([rows.schema["host"], *[T.StructField(n, T.IntegerType(), False) for n in ("part", "span")], T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    counts_schema = T.StructType([rows.schema["host"], *[T.StructField(n, T.IntegerType(), False) for n in ("part", "span")], T.StructField("pages", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
-    counts_schema_arrow = pa.schema(zip(counts_schema.fieldNames(), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True))
+    counts_schema_arrow = pa.schema(zip(counts_schema.fieldNames(), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True))
 
     def count(table: pa.Table) -> pa.Table:
         """What a part has of each span of keys, with its number of different counted pages for each."""
-        if not table.column("wanted")[0].as_py():
+        parts, undecided = table.column("parts")[0].as_py(), table.column("undecided")[0].as_py()
+        if parts == 1:
             return counts_schema_arrow.empty_table()
-        parts = table.column("parts")[0].as_py()
         found = Suffixes(_streams(pages_of(table)), run)
         counted = np.zeros(found.n_kinds, bool)
         counted[found.kind[table.column("evidence").to_numpy()]] = True
         keys, holders = found.keys(), found.holders(counted)
         order = np.argsort(keys)
+        if not undecided and (own := int(counted.sum())) >= FEW_PAGES:
+            # Only what most pages have is asked for; the parts are dealt by a hash, so each has its share of it.
+            order = order[8 * holders[order] >= own]
         keys, holders = keys[order], holders[order]
         spans = -(-parts // PARTS_OF_SPAN)
         cuts = np.searchsorted(keys, [(i << 48) // spans for i in range(spans + 1)])
         out = [(i, _packed(np.diff(keys[x:y], prepend=np.uint64(0)), np.uint64), _packed(holders[x:y], np.uint32)) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
-        whole = [[table.column(c)[0].as_py()] * len(out) for c in ("host", "part")] + [[o[i] for o in out] for i in range(3)]
+        whole = [[table.column(c)[0].as_py()] * len(out) for c in ("host", "part")] + [[o[0] for o in out], [table.column("pages")[0].as_py()] * len(out)] + [[o[i] for o in out] for i in (1, 2)]
         return pa.Table.from_arrays(list(map(pa.array, whole, counts_schema_arrow.types)), counts_schema.fieldNames())
 
-    marks_schema = T.StructType([f for f in counts_schema.fields if f.name in ("host", "part", "keys")])
+    marks_schema = T.StructType([f for f in counts_schema.fields if f.name in ("host", "part", "keys", "counts")])
 
     def merge(table: pa.Table) -> pa.Table:
         """Of each part's keys those that enough pages of the whole host have."""
         each = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
         keys, place = np.unique(np.concatenate(each), return_inverse=True)
         total = np.bincount(place, np.concatenate([_unpacked(c, np.uint32) for c in table.column("counts").to_pylist()]), keys.size)
-        often = np.split((total >= repeated)[place], np.cumsum([k.size for k in each])[:-1])
-        out = [(h, p, _packed(np.diff(k[o], prepend=np.uint64(0)), np.uint64)) for h, p, k, o in zip(table.column("host").to_pylist(), table.column("part").to_pylist(), each, often, strict=True) if o.any()]
-        return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], marks_schema.fieldNames())
+        level = (total >= repeated) + (total >= _most(table.column("pages")[0].as_py(), repeated)).astype(np.uint32)
+        levels = np.split(level[place], np.cumsum([k.size for k in each])[:-1])
+        out = [(h, p, _packed(np.diff(k[v > 0], prepend=np.uint64(0)), np.uint64), _packed(v[v > 0], np.uint32)) for h, p, k, v in zip(table.column("host").to_pylist(), table.column("part").to_pylist(), each, levels, strict=True) if v.any()]
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], marks_schema.fieldNames())
 
     out_schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType())])
 
@@ -380,25 +393,27 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
         group = pages_of(table)
         found = Suffixes(_streams(group), run)
         if table.num_rows and table.column("parts")[0].as_py() > 1:
-            often = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in marks.column("keys").to_pylist()]
-            ranks = np.isin(found.keys(), np.concatenate(often)) if often else np.zeros(0, bool)
+            keys = found.keys()
+            each = [(np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64), _unpacked(c, np.uint32)) for k, c in zip(marks.column("keys").to_pylist(), marks.column("counts").to_pylist(), strict=True)]
+            often, most = (np.isin(keys, np.concatenate([k[c >= v] for k, c in each])) if each else np.zeros(keys.size, bool) for v in (1, 2))
         else:
-            ranks = found.holders() >= repeated
-        return pa.Table.from_arrays([table.column("page_id").combine_chunks(), table.column("url").combine_chunks(), pa.array(main_texts(group, found.cover(ranks)), pa.string())], out_schema.fieldNames())
+            holders = found.holders()
+            often, most = holders >= repeated, holders >= _most(found.n_full, repeated)
+        return pa.Table.from_arrays([table.column("page_id").combine_chunks(), table.column("url").combine_chunks(), pa.array(main_texts(group, found.cover(often), found.cover(most)), pa.string())], out_schema.fieldNames())
 
     # The uses of the pieces are one exchange, as long as nothing is filtered between.
     pieces = rows.mapInArrow(cut, cut_schema).repartition("host", "part")
-    host_schema = T.StructType([rows.schema["host"]])
+    sums_schema = T.StructType([rows.schema["host"], T.StructField("pages", T.LongType()), T.StructField("undecided", T.BooleanType())])
 
-    def undecided(table: pa.Table) -> pa.Table:
-        """The host, if it has several parts and repetition decides a block of this one."""
-        some = table.column("parts")[0].as_py() > 1 and any(min(c, default=MAIN) < MAIN for c in table.column("containers").to_pylist())
-        return table.select(["host"]).slice(0, int(some))
+    def sums(table: pa.Table) -> pa.Table:
+        """Of a part of a large host the number of different pages, and whether a block is in no article or main."""
+        many = int(table.column("parts")[0].as_py() > 1)
+        streams = {pa.decompress(t, n, _CODEC, asbytes=True).replace(b"\n", b" ") for t, n, e in zip(*(table.column(c).to_pylist() for c in ("blocks", "size", "evidence")), strict=True) if many and n and e}
+        found = any(min(c, default=MAIN) < MAIN for c in table.column("containers").to_pylist())
+        return pa.Table.from_arrays([table.column("host").slice(0, many).combine_chunks(), pa.array([len(streams)] * many, pa.int64()), pa.array([found] * many, pa.bool_())], sums_schema.fieldNames())
 
-    # Hosts whose pages all name their article have nothing to be counted for.
-    wanted = pieces.groupBy("host", "part").applyInArrow(undecided, host_schema).distinct().withColumn("wanted", F.lit(True))
-    wanted = pieces.join(F.broadcast(wanted) if few else wanted, "host", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    counts = wanted.groupBy("host", "part").applyInArrow(count, counts_schema)
+    hosts = pieces.groupBy("host", "part").applyInArrow(sums, sums_schema).groupBy("host").agg(F.sum("pages").alias("pages"), F.max("undecided").alias("undecided"))
+    counts = pieces.join(F.broadcast(hosts) if few else hosts, "host", "left").groupBy("host", "part").applyInArrow(count, counts_schema)
     marks = counts.groupBy("host", "span").applyInArrow(merge, marks_schema)
     found = pieces.groupBy("host", "part").cogroup(marks.groupBy("host", "part")).applyInArrow(decide, out_schema)
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -135,3 +135,17 @@ def test_marks_leave_out_what_is_longer_than_the_text():
     assert text(f"<p>a</p><div class=menu><ul><li><a href=/>{long}</a></ul></div>") == "a"
     assert text(f"<article><p>a</p></article><div class=sidebar><p>{long}</p></div>") == "a"
     assert set(text("<main>" + "<div class=menu>x" * 3000 + "</main>").split("\n")) == {"x"}  # nested deep
+
+
+def test_what_most_pages_have_is_left_out_of_articles(spark, monkeypatch):
+    notice = "write to the editors of this paper if you find an error here"
+    pages = [f"<article><p>{'own words %d ' % i * 9}</p><p>{notice}</p><p>{'the end %d ' % i * 9}</p></article>" for i in range(30)]
+    few = "an old saying that three of the writers like to quote in full"
+    pages += [f"<article><p>{'other words %d ' % i * 9}</p><p>{few}</p></article>" for i in range(3)]
+    pages += [f"<article><p>copied here {i}</p><p>{notice}</p></article>" for i in range(3)]
+    df = spark.createDataFrame([(i, "http://h.test/", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    for group in (512, 4):
+        monkeypatch.setattr(hx, "GROUP", group)
+        got = {r.page_id: r.text for r in hx.extract(df).collect()}
+        assert all(notice not in got[i] and got[i].count("\n") == 1 for i in range(30))
+        assert all(few in got[i] for i in range(30, 33)) and all(notice in got[i] for i in range(33, 36))
