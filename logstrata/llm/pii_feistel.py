@@ -23,7 +23,7 @@ from SHA-256 of key, kind, round and the other half. Any such network is a
 bijection of the a*b values. Strings take the same form, with one shift for
 each character inside its class (digits, capitals, small letters).
 
-Dates are read as yyyy-mm-dd, mm/dd/yyyy or dd.mm.yyyy. A value that fails its
+Dates are read as yyyy-mm-dd (also before a time), mm/dd/yyyy or dd.mm.yyyy. A value that fails its
 validation is left alone. Null texts stay null, empty ones empty.
 """
 
@@ -34,15 +34,22 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: Countries by the length of their account numbers, which a following word of four capitals doesn't lengthen.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBAN_OWN = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9_])" for n, names in _IBAN_LENGTHS.items())
+
 #: Longest formats first where one may start inside another; all are tried at each place in this order.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9_])",
-    "phone": r"(?<![A-Za-z0-9_+(.-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9_])",
+    "iban": rf"(?<![A-Za-z0-9_])(?:{_IBAN_OWN}|[A-Z]{{2}}[0-9]{{2}}(?:(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?|[A-Z0-9]{{11,30}}))(?![A-Za-z0-9_])",
+    "phone": r"(?<![A-Za-z0-9_+.-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9_])",
     "ssn": r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])",
     "card": r"(?<![A-Za-z0-9_.-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![A-Za-z0-9_])",
     "ipv4": r"(?<![A-Za-z0-9_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9_]|\.[0-9])",
-    "date": r"(?<![A-Za-z0-9_/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9_/-]|\.[0-9])",
+    "date": r"(?<![A-Za-z0-9_/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?!(?!T[0-9]{2}:[0-9]{2})[A-Za-z0-9_/-]|\.[0-9])",
 }
 #: 1900-01-01 to 2099-12-31 are 17 * 4297 days.
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)

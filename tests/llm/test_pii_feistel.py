@@ -108,3 +108,12 @@ def test_permutations_are_bijections(spark):
 def test_plan_has_no_python(spark):
     plan = pii.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), KEY)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_common_spellings(spark):
+    texts = ["call (212-555-0123) now", "call (1-212-555-0123)", "at 2024-01-15T10:00:00Z", "BE68 5390 0754 7034 IBAN", "GB82 WEST 1234 5698 7654 32 AND MORE", "NO93 8601 1117 947 BANK"]
+    shapes = [r"call \(\d{3}-\d{3}-\d{4}\) now", r"call \(1-\d{3}-\d{3}-\d{4}\)", r"at \d{4}-\d\d-\d\dT10:00:00Z", r"BE\d\d( \d{4}){3} IBAN", r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d AND MORE", r"NO\d\d( \d{4}){2} \d{3} BANK"]
+    for text, shape, r in zip(texts, shapes, replaced(spark, texts), strict=True):
+        assert r.n_replaced == 1 and r.text != text and re.fullmatch(shape, r.text), (text, r.text)
+    kept = ["2024-01-15Tx", "2024-01-15T1", "2024-01-15-1"]
+    assert [r.text for r in replaced(spark, kept)] == kept
