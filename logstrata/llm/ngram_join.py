@@ -1,11 +1,12 @@
-"""Exact Jaccard join of documents on word shingles, by filters under two global token orders.
+"""Exact Jaccard join of documents on word shingles, by filters under three global token orders.
 
 Two sets with Jaccard similarity of at least t share ceil(t * n) of the n
 tokens of either, so under any order of all tokens that both follow, their
-prefixes of n - ceil(t * n) + 1 tokens share one. Both orders here put rare
-tokens first (by a logarithmic class of the document frequency) and differ in
-how they order a class. A candidate pair has to share a prefix token in each
-order and to fit in size; then the whole sets decide.
+prefixes of n - ceil(t * n) + 1 tokens share one. There are three orders here:
+rare tokens first (by a logarithmic class of the document frequency), and the
+same with one or the other half of all tokens, by a hash, before the rest, so
+that their prefixes are made of different tokens. A candidate pair has to share
+a prefix token in each order and to fit in size; then the whole sets decide.
 
 The steps, for texts that may be anything from all different to all alike:
 
@@ -25,13 +26,18 @@ The steps, for texts that may be anything from all different to all alike:
    few seeds. These links give provisional components, in which a group of near
    copies is one star, not all its pairs. Further rounds with other seeds compare
    across components only.
-5. Every prefix token that nodes of two provisional components have makes
-   candidates of the pairs across components. Sizes, the token's positions and
-   1,024-bit parity maps rule out most; those that are left under both orders
-   are verified like the first ones.
-
-Links inside a provisional component can't change any component, so the result
-is that of all pairs.
+5. Nodes that share a prefix token with another component under each order are
+   dealt out by the tokens of the first order. Sizes, the token's positions,
+   1,024-bit parity maps and signatures of the other two prefixes rule pairs
+   out. A bucket gives a forest of what is left over its components; what is
+   verified joins components, and the next round compares across the new ones.
+6. When a round joins nothing, all candidates that are left are verified. Those
+   among nodes with many of them are not listed as pairs: the sets that they
+   connect are compared side by side, in tasks of bounded size.
+
+Two tokens of two sets count as equal if 64 bits of a hash are: 48 travel, the
+others are those of the bucket. For one verified pair of 500-word texts a false
+equal token has a chance below 10^-9.
 """
 
 from __future__ import annotations
@@ -53,7 +59,7 @@ WORDS = 5
 BUFFER, BUCKET, HOT = 1_000_000, 2_000_000, 32
 HOT_CLASS = 255
 #: Seeds of the rounds in which each node is compared to one other for each seed.
-STAR_SEEDS = ((0, 1, 2), (3, 4, 5, 6), (7, 8, 9, 10, 11, 12, 13, 14))
+STAR_SEEDS = ((0, 1, 2), (3, 4, 5, 6))
 #: Rows compared with one node in one task.
 CHUNK = 64
 
@@ -308,9 +314,9 @@ def _shared(buckets: int):
 
 
 #: c counts the shared tokens, of which map is the parity map.
-_NODES = "nid long, n int, c int, tokens binary, map array<long>, prefix1 array<long>, prefix2 array<long>"
+_NODES = "nid long, n int, c int, tokens binary, map array<long>, prefix1 array<long>, prefix2 array<long>, prefix3 array<long>, sign2 binary, sign3 binary"
 _LONGS = pa.list_(pa.int64())
-_NODES_ARROW = pa.schema([("nid", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("tokens", pa.binary()), ("map", _LONGS), ("prefix1", _LONGS), ("prefix2", _LONGS)])
+_NODES_ARROW = pa.schema([("nid", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("tokens", pa.binary()), ("map", _LONGS), *((f"prefix{o}", _LONGS) for o in (1, 2, 3)), ("sign2", pa.binary()), ("sign3", pa.binary())])
 
 
 def parity_map(tokens: np.ndarray) -> np.ndarray:
@@ -319,6 +325,11 @@ def parity_map(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(slots, minlength=1024).astype(np.uint8) & 1).view(np.uint64)
 
 
+def signature(prefix: np.ndarray) -> bytes:
+    """16 bits of each token: prefixes whose signatures share none share no token. Empty for a long prefix, which says nothing."""
+    return np.unique((mix(prefix.view(_U), 5) >> _U(48)).astype(np.uint16)).tobytes() if prefix.size <= SIGNED else b""
+
+
 def least_common(n: np.ndarray | int, percent: int):
     """Tokens that a set of n shares with any partner, at least."""
     return -(-n * percent // 100)
@@ -350,13 +361,15 @@ def _nodes(percent: int):
         start[stays] = np.r_[0, np.cumsum(have[stays])[:-1]]
         kept = np.flatnonzero(stays)
         orders = []
-        for seed in (1, 2):
-            by = np.lexsort((mix(names, seed), rank, own))
-            ordered = names[by].view(np.int64)
+        half = (mix(names, 7) >> _U(63)).astype(np.int8)
+        for seed, turn in ((1, None), (2, 0), (3, 1)):  # all tokens, or either half of them first
+            keys = (mix(names, seed), rank) if turn is None else (mix(names, seed), rank, half ^ turn, rank == HOT_CLASS)
+            ordered = names[np.lexsort((*keys, own))].view(np.int64)
             orders.append([ordered[start[i] : start[i] + prefix[i]] for i in kept])
+        signs = [pa.array([signature(x) for x in o], pa.binary()) for o in orders[1:]]
         sets = [names[start[i] : start[i] + have[i]] for i in kept]
         plain = [pa.array(ids[kept], pa.int64()), pa.array(n[kept], pa.int32()), pa.array(have[kept], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())]
-        return pa.Table.from_arrays([*plain, pa.array([parity_map(x).view(np.int64) for x in sets], _LONGS), *(pa.array(o, _LONGS) for o in orders)], schema=_NODES_ARROW)
+        return pa.Table.from_arrays([*plain, pa.array([parity_map(x).view(np.int64) for x in sets], _LONGS), *(pa.array(o, _LONGS) for o in orders), *signs], schema=_NODES_ARROW)
 
     return run
 
@@ -394,70 +407,169 @@ def star_pairs(nodes: DataFrame, groups: DataFrame | None, seeds: tuple[int, ...
     return both.select(F.col("a.nid").alias("a"), F.col("nid").alias("b")).distinct()
 
 
+#: Tokens of a prefix that a signature holds; of longer ones there is none, and every pair passes it.
+SIGNED = 256
+#: Nodes of a posting list that one task compares with as many others; longer lists are split.
+LONG = 4096
+#: Candidates of a node in one bucket that are given one by one.
+FEW = 16
+#: Rounds in which only a forest of the candidates is verified, before all that are left are.
+FOREST_ROUNDS = 6
+#: Nodes, and bytes of their sets, of one side of a task that compares a dense group.
+SIDE, SIDE_BYTES = 1024, 8_000_000
+
 _NODE = np.dtype([("nid", np.int64), ("g", np.int64), ("n", np.int32), ("c", np.int32), ("map", np.uint64, 16)])
-_POSTING = np.dtype([("t", np.int64), ("node", np.int32), ("at", np.int32), ("o", np.int8)])
+_POSTING = np.dtype([("t", np.int64), ("node", np.int32), ("at", np.int32), ("part", np.int32), ("side", np.int8)])
+
+
+def _needed(n, x, y, percent: int) -> np.ndarray:
+    """Tokens that similar sets of these sizes share: overlap / (sum - overlap) >= percent / 100."""
+    return -(-percent * (n[x].astype(np.int64) + n[y]) // (100 + percent))
+
+
+def _alike(nodes, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs their sizes and parity maps leave, and by how much a pair's maps are above what is needed."""
+    n, c = nodes["n"].astype(np.int64), nodes["c"].astype(np.int64)
+    spare = np.empty(x.size, np.int64)
+    for s in range(0, x.size, 1 << 16):
+        i, j = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
+        apart = np.bitwise_count(nodes["map"][i] ^ nodes["map"][j]).sum(axis=1, dtype=np.int64)
+        # Tokens of one node only aren't in the maps; all others that differ are.
+        spare[s : s + (1 << 16)] = c[i] + c[j] - apart - 2 * _needed(n, i, j, percent)
+    return (spare >= 0) & (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent), spare
+
+
+def forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges (x, y) of ``n`` nodes make a spanning forest, earlier ones first."""
+    label, left, kept = np.arange(n), np.arange(x.size), [np.empty(0, np.int64)]
+    while left.size:
+        low, high = np.minimum(label[x[left]], label[y[left]]), np.maximum(label[x[left]], label[y[left]])
+        left, low, high = (v[low < high] for v in (left, low, high))
+        child, first = np.unique(high, return_index=True)  # each goes below a smaller one, so there is no circle
+        kept.append(left[first])
+        parent = np.arange(n)
+        parent[child] = low[first]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+    return np.sort(np.concatenate(kept))
+
+
+def _joined_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The labels after the edges (x, y), a forest over them."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while v in root:
+            v = root[v]
+        return v
+
+    for i, j in zip(label[x].tolist(), label[y].tolist(), strict=True):
+        a, b = sorted((find(i), find(j)))
+        if a != b:
+            root[b] = a
+    to = np.arange(label.max(initial=0) + 1)
+    for v in root:
+        to[v] = find(v)
+    return to[label]
 
 
 class _Candidates:
-    """Pairs of nodes of one bucket that may be similar, without those that their counts rule out."""
+    """Pairs of nodes of one bucket that may be similar, without those that the filters rule out.
+
+    Unless ``whole``, a spanning forest of them over the groups: what is connected already isn't looked at further, and
+    ``more`` says that there was such a thing.
+    """
 
-    def __init__(self, nodes: np.ndarray, percent: int):
-        self.nodes, self.percent = nodes, percent
+    def __init__(self, nodes: np.ndarray, signs: tuple[list[bytes], ...], percent: int, *, whole: bool):
+        self.nodes, self.signs, self.percent, self.whole = nodes, signs, percent, whole
+        self.met: list[dict[int, frozenset]] = [{} for _ in signs]
         self.waiting: list[np.ndarray] = []
-        self.size = 0
+        self.size, self.most, self.more = 0, 2_000_000 if whole else 100_000, False
         self.passed = np.empty(0, np.int64)
-
-    def needed(self, x, y) -> np.ndarray:
-        """Tokens that similar sets of these sizes share: overlap / (sum - overlap) >= percent / 100."""
-        return -(-self.percent * (self.nodes["n"][x].astype(np.int64) + self.nodes["n"][y]) // (100 + self.percent))
+        self.label = np.unique(nodes["g"], return_inverse=True)[1]
 
     def add(self, x: int, at: int, others: np.ndarray, ats: np.ndarray) -> None:
         n, c = self.nodes["n"], self.nodes["c"]
-        need = self.needed(x, others)
         # Shared tokens stand before this one (tokens of one node apart), are this one, or come after it.
         most = np.minimum(at, ats) + 1 + np.minimum(c[x] - at - 1, c[others] - ats - 1)
-        fits = (most >= need) & (n[others] * 100 >= int(n[x]) * self.percent) & (int(n[x]) * 100 >= n[others] * self.percent)
+        fits = most >= _needed(n, x, others, self.percent)
+        if not self.whole:
+            new = self.label[others] != self.label[x]
+            self.more |= bool((fits & ~new).any())
+            fits &= new
         others = others[fits].astype(np.int64)
         if others.size:
             self.waiting.append(np.minimum(x, others) * len(self.nodes) + np.maximum(x, others))
             self.size += others.size
-            if self.size > 2_000_000:
+            if self.size > self.most:
                 self.settle()
 
+    def _sign(self, order: int, node: int) -> frozenset | None:
+        met = self.met[order]
+        if node not in met:
+            raw = self.signs[order][node]
+            met[node] = frozenset(np.frombuffer(raw, np.uint16).tolist()) if raw else None
+        return met[node]
+
+    def _signed(self, x: int, y: int) -> bool:
+        """May they share a prefix token under each of the other orders?"""
+        for order in range(len(self.signs)):
+            a, b = self._sign(order, x), self._sign(order, y)
+            if a is not None and b is not None and a.isdisjoint(b):
+                return False
+        return True
+
     def settle(self) -> None:
         if not self.waiting:
             return
         pairs = np.unique(np.concatenate(self.waiting))
         self.waiting, self.size = [], 0
-        kept = [self.passed]
-        for s in range(0, pairs.size, 1 << 17):
-            part = pairs[s : s + (1 << 17)]
-            x, y = part // len(self.nodes), part % len(self.nodes)
-            apart = np.bitwise_count(self.nodes["map"][x] ^ self.nodes["map"][y]).sum(axis=1)
-            total = self.nodes["n"][x].astype(np.int64) + self.nodes["n"][y]
-            # Tokens of one node only aren't in the maps; all others that differ are.
-            alone = total - self.nodes["c"][x] - self.nodes["c"][y]
-            kept.append(part[total - alone - apart >= 2 * self.needed(x, y)])
-        self.passed = np.unique(np.concatenate(kept))
-
-    def pairs(self) -> np.ndarray:
+        x, y = pairs // len(self.nodes), pairs % len(self.nodes)
+        fits, spare = _alike(self.nodes, x, y, self.percent)
+        order = np.argsort(-spare[fits], kind="stable")  # those with the most alike maps first
+        pairs = pairs[fits][order]
+        while pairs.size:
+            x, y = pairs // len(self.nodes), pairs % len(self.nodes)
+            chosen = np.arange(x.size) if self.whole else forest(self.label[x], self.label[y], len(self.nodes))
+            good = np.fromiter((self._signed(i, j) for i, j in zip(x[chosen].tolist(), y[chosen].tolist(), strict=True)), bool, chosen.size)
+            if self.whole or good.all():
+                self.passed = np.concatenate([self.passed, pairs[chosen[good]]])
+                break
+            pairs = np.delete(pairs, chosen[~good])
+        if not self.whole and pairs.size:
+            self.more |= chosen.size < pairs.size
+            self.label = _joined_labels(self.label, x[chosen], y[chosen])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         self.settle()
-        ids = self.nodes["nid"][np.stack([self.passed // len(self.nodes), self.passed % len(self.nodes)], 1)] if self.passed.size else np.empty((0, 2), np.int64)
-        return np.unique(np.sort(ids, axis=1), axis=0) if len(ids) else ids
-
-
-def crossing_pairs(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: the candidates that both orders have."""
-    found = candidates(nodes, groups, percent)
-    return found.groupBy("a", "b").agg(F.bit_or("o").alias("o")).where("o = 3").select("a", "b")
-
-
-def candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b, o), a < b: nodes of different groups that share a prefix token under the order o and that sizes,
-    positions and parity maps don't rule out. A pair may come from several buckets."""
-    place = nodes.join(groups, nodes.nid == groups.node, "left").select("nid", "n", "c", F.coalesce("component", "nid").alias("g"), "map", "prefix1", "prefix2")
-    postings = nodes.agg(F.sum(F.size("prefix1") + F.size("prefix2"))).first()[0] or 0
-    buckets = 4 + postings // 250_000  # a pair comes from as many buckets as it shares prefix tokens in
+        found = np.unique(self.passed)
+        return found // len(self.nodes), found % len(self.nodes)
+
+
+def mixed_postings(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of the nodes that share, under every order, a prefix token with a node of another group: their columns, g and
+    ``post``, the tokens of their first prefix that do, each with its place and its number of nodes."""
+    placed = nodes.join(groups, nodes.nid == groups.node, "left").withColumn("g", F.coalesce("component", "nid")).drop("node", "component", "tokens")
+    each = F.expr(f"array({', '.join(f'transform(prefix{o}, (t, i) -> struct({o} as o, i as at, t))' for o in (1, 2, 3))})")
+    postings = placed.select("nid", "g", F.inline(F.flatten(each)))
+    shared = postings.groupBy("o", "t").agg(F.count("*").alias("k"), F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("o", "t", "k")
+    found = join_back(postings, shared, "t", beside=("o",))
+    post = F.collect_list(F.when(F.col("o") == 1, F.struct("at", "t", "k")))
+    own = found.groupBy("nid").agg(F.count_distinct("o").alias("orders"), post.alias("post")).where("orders = 3").select(F.col("nid").alias("__nid"), "post")
+    return placed.drop("prefix1", "prefix2", "prefix3").join(own, placed.nid == own["__nid"]).drop("__nid")
+
+
+def candidates(place: DataFrame, percent: int, *, all_of_them: bool) -> DataFrame:
+    """(a, b, kind) of nodes of different groups that share a prefix token under the first order and that neither sizes,
+    positions, parity maps nor the signatures of the other orders' prefixes rule out.
+
+    Each bucket gives a forest of its candidates over the groups, so never more rows than nodes: kind 0, or 1 if it
+    has more candidates than it gives. With ``all_of_them`` it gives all candidates (kind 0) of nodes
+    with up to ``FEW`` of them; those between two nodes with more are given as a forest over the nodes (kind 2).
+    """
+    sums = place.select(F.sum(F.aggregate("post", F.lit(0).cast("long"), lambda s, p: s + F.ceil(p["k"] / LONG).cast("long"))))
+    buckets = 4 + (sums.first()[0] or 0) // 250_000  # a pair comes from as many buckets as it shares prefix tokens in
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,29 +577,32 @@ def candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             for f in ("nid", "g", "n", "c"):
                 own[f] = batch.column(f).to_numpy()
             own["map"] = batch.column("map").flatten().to_numpy().view(np.uint64).reshape(-1, 16)
-            found = []
-            for o, c in ((1, "prefix1"), (2, "prefix2")):
-                lists = batch.column(c)
-                counts = np.diff(lists.offsets.to_numpy())
-                part = np.empty(int(counts.sum()), _POSTING)
-                part["o"], part["t"] = o, lists.flatten().to_numpy()
-                part["node"] = np.repeat(np.arange(len(counts)), counts)
-                part["at"] = np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts)
-                found.append(part)
-            rows = np.concatenate(found)
-            at = (mix(rows["t"].astype(np.int64).view(_U), 3) % _U(buckets)).astype(np.int64)
+            signs = [batch.column(c).to_pylist() for c in ("sign2", "sign3")]
+            lists = batch.column("post")
+            fields, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            node, t, k = np.repeat(np.arange(len(counts)), counts), fields.field("t").to_numpy(), fields.field("k").to_numpy()
+            parts = -(-k // LONG)
+            mine = (mix(own["nid"][node].view(_U) ^ t.view(_U), 5) % parts.astype(_U)).astype(np.int64)
+            # A list in several parts: each pair of parts meets in one place.
+            again = np.repeat(np.arange(t.size), parts)
+            other = np.arange(again.size) - np.repeat(np.cumsum(parts) - parts, parts)
+            rows = np.empty(again.size, _POSTING)
+            rows["t"], rows["node"], rows["at"] = t[again], node[again], fields.field("at").to_numpy()[again]
+            low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
+            rows["part"], rows["side"] = low * parts[again] + high, mine[again] > other
+            rows["side"][low == high] = -1
+            at = mix(t[again].view(_U) + rows["part"].astype(_U) * _U(0x9E3779B97F4A7C15), 3) % _U(buckets)
             order = np.argsort(at, kind="stable")
-            rows, ends = rows[order], _slices(at[order], buckets)
-            out: list[list] = [[], [], []]
-            for b in range(buckets):
-                part = rows[ends[b] : ends[b + 1]]
-                if part.size:
-                    there, part["node"] = np.unique(part["node"], return_inverse=True)
-                    for c, v in zip(out, (b, own[there].tobytes(), part.tobytes()), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "nodes", "rows"])
-
-    pairs_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("o", pa.int32())])
+            rows, at = rows[order], at[order].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: at.size])
+            out: list[list] = [[], [], [], [], []]
+            for i, j in zip(first, [*first[1:], at.size], strict=True):
+                part = rows[i:j]
+                there, part["node"] = np.unique(part["node"], return_inverse=True)
+                for c, v in zip(out, (int(at[i]), own[there].tobytes(), part.tobytes(), *([s[x] for x in there] for s in signs)), strict=True):
+                    c.append(v)
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bucket", "nodes", "rows", "sign2", "sign3"])
 
     def pair(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(v.as_py(), _NODE) for v in table.column("nodes")]
@@ -497,25 +612,89 @@ def candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             part["node"] += before
             before += own.size
         known, rows = np.concatenate(blobs), np.concatenate(parts)
+        signs = tuple([x for v in table.column(c).to_pylist() for x in v] for c in ("sign2", "sign3"))
         del table, blobs, parts
         g = known["g"]
-        rows = rows[np.lexsort((g[rows["node"]], rows["t"], rows["o"]))]
-        first = np.flatnonzero(np.r_[True, (rows["t"][1:] != rows["t"][:-1]) | (rows["o"][1:] != rows["o"][:-1])])
-        last = np.r_[first[1:], rows.size] - 1
-        mixed = g[rows["node"][first]] != g[rows["node"][last]]
-        found = {o: _Candidates(known, percent) for o in (1, 2)}
-        for i, j in zip(first[mixed], last[mixed] + 1, strict=True):
+        rows = rows[np.lexsort((g[rows["node"]], rows["side"], rows["part"], rows["t"]))]
+        first = np.flatnonzero(np.r_[True, (rows["t"][1:] != rows["t"][:-1]) | (rows["part"][1:] != rows["part"][:-1])])
+        found = _Candidates(known, signs, percent, whole=all_of_them)
+        for i, j in zip(first, np.r_[first[1:], rows.size], strict=True):
             own = rows[i:j]
             who, at = own["node"], own["at"]
-            ends = np.searchsorted(g[who], g[who], "right")  # partners stand after the own group
-            take = found[int(own["o"][0])]
-            for x in np.flatnonzero(ends < own.size):
-                take.add(int(who[x]), int(at[x]), who[ends[x] :], at[ends[x] :])
-        both = [(o, c.pairs()) for o, c in found.items()]
-        a, b = (np.concatenate([p[:, k] for _, p in both]) for k in (0, 1))
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.concatenate([np.full(len(p), o, np.int32) for o, p in both]))], schema=pairs_schema)
+            if own["side"][0] < 0:
+                ends = np.searchsorted(g[who], g[who], "right")  # partners stand after the own group
+                for x in np.flatnonzero(ends < own.size):
+                    found.add(int(who[x]), int(at[x]), who[ends[x] :], at[ends[x] :])
+            else:
+                cut = int(np.searchsorted(own["side"], 1))
+                for x in range(cut):
+                    far = g[who[cut:]] != g[who[x]]
+                    if far.any():
+                        found.add(int(who[x]), int(at[x]), who[cut:][far], at[cut:][far])
+        x, y = found.pairs()
+        if all_of_them:
+            many = np.bincount(np.r_[x, y], minlength=g.size) > FEW
+            dense = many[x] & many[y]
+            inside = np.flatnonzero(dense)[forest(x[dense], y[dense], g.size)]
+            keep = np.r_[np.flatnonzero(~dense), inside]
+            kind = np.repeat([0, 2], [keep.size - inside.size, inside.size])
+        else:
+            keep, kind = np.arange(x.size), np.full(x.size, int(found.more))
+        a, b = known["nid"][x[keep]], known["nid"][y[keep]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "kind": pa.array(kind, pa.int32())})
+
+    return place.select("nid", "g", "n", "c", "map", "sign2", "sign3", "post").mapInArrow(deal, "bucket int, nodes binary, rows binary, sign2 array<binary>, sign3 array<binary>").groupBy("bucket").applyInArrow(pair, "a long, b long, kind int")
+
+
+def dense_links(pairs: DataFrame, nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b): links that, with the groups, join all that are similar among the nodes that ``pairs`` connect.
+
+    The members of such a connected set are dealt out in sides of a bounded size, and every two sides are compared once,
+    where a side isn't all of one group. A task gives a forest of its links only.
+    """
+    areas = components(pairs, scratch, "dense").select(F.col("node").alias("nid"), F.col("component").alias("area"))
+    placed = areas.join(groups, areas.nid == groups.node, "left").select("nid", "area", F.coalesce("component", "nid").alias("g"))
+    placed = scratch.table(placed.join(nodes.select("nid", F.length("tokens").alias("bytes")), "nid"), "dense-nodes")
+    # Large groups have sides of their own; the others share sides.
+    size = F.ceil(F.greatest(F.count("*") / SIDE, F.sum("bytes") / SIDE_BYTES)).cast("long")
+    own = placed.groupBy("area", "g").agg(size.alias("sides"))
+    large = own.where("sides > 1")
+    keyed = placed.join(large.select(F.col("area").alias("__area"), F.col("g").alias("__g"), "sides"), (placed.area == F.col("__area")) & (placed.g == F.col("__g")), "left").drop("__area", "__g")
+    rest = keyed.where("sides is null").groupBy("area").agg(size.alias("others")).select(F.col("area").alias("__area"), "others")
+    keyed = keyed.join(rest, keyed.area == rest["__area"], "left").drop("__area")
+    alone = F.col("sides").isNotNull()
+    side = F.when(alone, F.xxhash64("g", F.pmod(F.xxhash64("nid"), "sides"))).otherwise(F.pmod(F.xxhash64("g"), "others"))
+    keyed = scratch.table(keyed.select("nid", "area", "g", side.alias("side"), F.when(alone, F.col("g")).alias("only")), "dense-sides")
+    sides = keyed.select("area", "side", "only").distinct()
+    left, right = sides.select("area", F.col("side").alias("i"), F.col("only").alias("x")), sides.select("area", F.col("side").alias("j"), F.col("only").alias("y"))
+    meet = left.join(right, "area").where("i <= j and (x is null or y is null or x != y)").select("area", "i", "j")
+    one = meet.select("area", "i", "j", F.col("i").alias("side"), F.lit(0).alias("at"))
+    two = meet.where("i < j").select("area", "i", "j", F.col("j").alias("side"), F.lit(1).alias("at"))
+    members = keyed.join(one.unionByName(two), ["area", "side"]).select("area", "i", "j", "at", "nid", "g")
+    members = members.join(nodes.select("nid", "n", "c", "map", "tokens"), "nid")
 
-    return place.mapInArrow(deal, "bucket int, nodes binary, rows binary").groupBy("bucket").applyInArrow(pair, "a long, b long, o int")
+    def compare(table: pa.Table) -> pa.Table:
+        known = np.zeros(table.num_rows, _NODE)
+        for f in ("nid", "g", "n", "c"):
+            known[f] = table.column(f).to_numpy()
+        known["map"] = table.column("map").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 16)
+        at, sets = table.column("at").to_numpy(), [np.frombuffer(v.as_py(), _U) for v in table.column("tokens")]
+        _, group = np.unique(known["g"], return_inverse=True)
+        label = group.copy()
+        hits: list[tuple[int, int]] = []
+        two = bool(at.any())
+        for x in np.flatnonzero(at == 0):
+            y = np.flatnonzero((at == 1) & (label != label[x])) if two else x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+            y = y[_alike(known, np.full(y.size, x), y, percent)[0]]
+            for other in y:
+                if label[other] != label[x]:
+                    common = np.intersect1d(sets[x], sets[other], assume_unique=True).size
+                    if common * 100 >= percent * (int(known["n"][x]) + int(known["n"][other]) - common):
+                        hits.append((int(known["nid"][x]), int(known["nid"][other])))
+                        label[label == label[other]] = label[x]
+        return pa.table({"a": pa.array([a for a, _ in hits], pa.int64()), "b": pa.array([b for _, b in hits], pa.int64())})
+
+    return members.groupBy("area", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -552,6 +731,32 @@ def _free(spark) -> None:
     spark._jvm.System.gc()
 
 
+def _crossing_links(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b): the groups as links and all that join them further."""
+    def as_links(groups: DataFrame) -> DataFrame:
+        return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    turn, full = 0, FOREST_ROUNDS == 0
+    while True:
+        place = scratch.table(mixed_postings(nodes, groups), f"place-{turn}")
+        found = scratch.table(candidates(place, percent, all_of_them=full), f"candidates-{turn}")
+        scratch.drop(f"place-{turn}")
+        _free(nodes.sparkSession)
+        kinds = {r.kind for r in found.select("kind").distinct().collect()}  # three at most
+        if not kinds:
+            return as_links(groups)
+        links = scratch.table(verified(found.where("kind < 2").select("a", "b").distinct(), nodes, percent), f"far-{turn}")
+        joined = links.unionByName(as_links(groups))
+        if 2 in kinds:
+            return joined.unionByName(dense_links(found.where("kind = 2").select("a", "b"), nodes, groups, scratch, percent))
+        if 1 not in kinds:
+            return joined  # every candidate has been verified
+        turn, some = turn + 1, links.limit(1).count()
+        full = turn >= FOREST_ROUNDS or not some
+        if some:
+            groups = scratch.table(components(joined, scratch, f"round-{turn}"), f"round-groups-{turn}")
+
+
 def join_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """All columns but the text, with n_shingles, group and component_id, the least doc_id reachable by links.
 
@@ -582,9 +787,7 @@ def join_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         _free(spark)
         if not some:
             break
-    far = scratch.table(verified(crossing_pairs(nodes, groups, percent), nodes, percent), "far")
-    _free(spark)
-    links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
+    links = _crossing_links(nodes, groups, scratch, percent)
     final = scratch.table(components(links, scratch, "all-components"), "final")
     scratch.drop("nodes")
     placed = rows.join(final, rows.nid == final.node, "left").withColumn("group", F.coalesce("component", "nid")).drop("node", "component", "nid")

@@ -136,3 +136,75 @@ def test_one_of_each(spark):
     left = sorted(map(str, nj.one_of_each(again).collect()))
     assert len(left) == 5  # one of a b c, other words, no id, and the rows without words
     assert nj.one_of_each(again.limit(0)).count() == 0
+
+
+def variants(n, edits, size=70):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(size)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(edits):
+            copy[rng.randrange(size)] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def least_reachable(rows):
+    """As ``brute`` says, for one group of near copies of unique ids."""
+    sets = [nj.shingles(nj.split_words(t)) for _, t in rows]
+    owner = np.repeat(np.arange(len(rows)), [s.size for s in sets])
+    tokens, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    table = np.zeros((len(rows), tokens.size), np.float32)
+    table[owner, at] = 1
+    table = table[:, count > 1]
+    both, n = table @ table.T, np.array([s.size for s in sets])
+    linked = (100 * both >= 80 * (n[:, None] + n - both)) | np.eye(len(rows), dtype=bool)
+    label = np.arange(len(rows))
+    while ((new := np.array([label[row].min() for row in linked])) != label).any():
+        label = new
+    return [(k, int(s.size), int(c)) for (k, _), s, c in zip(rows, sets, label, strict=True)]
+
+
+def test_candidates_of_a_large_group_of_near_copies_are_few(spark, monkeypatch):
+    """2.3 million links between 5,000 texts; a bucket gives no more candidates than it has nodes."""
+    counts = []
+    real = nj.Scratch.table
+
+    def table(self, df, name):
+        out = real(self, df, name)
+        if name.startswith("candidates"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj.Scratch, "table", table)
+    rows = variants(5000, 1)
+    assert run(spark, rows) == least_reachable(rows)
+    assert 0 < sum(counts) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_dense_groups_are_compared_side_by_side(spark, monkeypatch, edits):
+    for name, value in (("FOREST_ROUNDS", 0), ("FEW", 3), ("SIDE", 60), ("LONG", 90), ("STAR_SEEDS", ((0,),))):
+        monkeypatch.setattr(nj, name, value)
+    rows = variants(400, edits) + [(400 + i, t) for i, t in variants(150, 1)]
+    assert run(spark, rows) == least_reachable(rows)
+
+
+def test_forests():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(1, 30))
+        x, y = rng.integers(0, n, (2, int(rng.integers(0, 60))))
+        kept = nj.forest(x, y, n)
+        whole, part = (nj._joined_labels(np.arange(n), x[k], y[k]) for k in (np.arange(x.size), kept))
+        assert (whole == part).all() and kept.size == n - np.unique(whole).size
+
+
+def test_signatures_rule_out_only_what_shares_nothing():
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 2**62, 50) for _ in range(2))
+    sets = [set(np.frombuffer(nj.signature(v), np.uint16).tolist()) for v in (a, b, np.r_[a[:1], b])]
+    assert sets[0] & sets[2] and len(sets[0] & sets[1]) < 3
+    assert nj.signature(np.arange(nj.SIGNED + 1)) == b""
