@@ -26,12 +26,12 @@ The steps, for texts that may be anything from all different to all alike:
    few seeds. These links give provisional components, in which a group of near
    copies is one star, not all its pairs. Further rounds with other seeds compare
    across components only.
-5. Nodes that share a prefix token with another component under each order are
-   dealt out by the tokens of the first order. Sizes, the token's positions,
+5. Nodes that share a prefix token with another component are dealt out by the
+   tokens of the first order. Sizes, the token's positions,
    1,024-bit parity maps and signatures of the other two prefixes rule pairs
    out. A bucket gives a forest of what is left over its components; what is
    verified joins components, and the next round compares across the new ones.
-6. When a round joins nothing, all candidates that are left are verified. Those
+6. When a round joins little, all candidates that are left are verified. Those
    among nodes with many of them are not listed as pairs: the sets that they
    connect are compared side by side, in tasks of bounded size.
 
@@ -314,9 +314,9 @@ def _shared(buckets: int):
 
 
 #: c counts the shared tokens, of which map is the parity map.
-_NODES = "nid long, n int, c int, tokens binary, map array<long>, prefix1 array<long>, prefix2 array<long>, prefix3 array<long>, sign2 binary, sign3 binary"
+_NODES = "nid long, n int, c int, tokens binary, map array<long>, prefix1 array<long>, sign2 binary, sign3 binary"
 _LONGS = pa.list_(pa.int64())
-_NODES_ARROW = pa.schema([("nid", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("tokens", pa.binary()), ("map", _LONGS), *((f"prefix{o}", _LONGS) for o in (1, 2, 3)), ("sign2", pa.binary()), ("sign3", pa.binary())])
+_NODES_ARROW = pa.schema([("nid", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("tokens", pa.binary()), ("map", _LONGS), ("prefix1", _LONGS), ("sign2", pa.binary()), ("sign3", pa.binary())])
 
 
 def parity_map(tokens: np.ndarray) -> np.ndarray:
@@ -369,7 +369,7 @@ def _nodes(percent: int):
         signs = [pa.array([signature(x) for x in o], pa.binary()) for o in orders[1:]]
         sets = [names[start[i] : start[i] + have[i]] for i in kept]
         plain = [pa.array(ids[kept], pa.int64()), pa.array(n[kept], pa.int32()), pa.array(have[kept], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())]
-        return pa.Table.from_arrays([*plain, pa.array([parity_map(x).view(np.int64) for x in sets], _LONGS), *(pa.array(o, _LONGS) for o in orders), *signs], schema=_NODES_ARROW)
+        return pa.Table.from_arrays([*plain, pa.array([parity_map(x).view(np.int64) for x in sets], _LONGS), pa.array(orders[0], _LONGS), *signs], schema=_NODES_ARROW)
 
     return run
 
@@ -415,6 +415,8 @@ LONG = 4096
 FEW = 16
 #: Rounds in which only a forest of the candidates is verified, before all that are left are.
 FOREST_ROUNDS = 6
+#: A round of which fewer than one in so many candidates is a link is the last but one.
+LAST_YIELD = 10
 #: Nodes, and bytes of their sets, of one side of a task that compares a dense group.
 SIDE, SIDE_BYTES = 1024, 8_000_000
 
@@ -548,19 +550,15 @@ class _Candidates:
 
 
 def mixed_postings(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of the nodes that share, under every order, a prefix token with a node of another group: their columns, g and
-    ``post``, the tokens of their first prefix that do, each with its place and its number of nodes."""
-    placed = nodes.join(groups, nodes.nid == groups.node, "left").withColumn("g", F.coalesce("component", "nid")).drop("node", "component", "tokens")
-    each = F.expr(f"array({', '.join(f'transform(prefix{o}, (t, i) -> struct({o} as o, i as at, t))' for o in (1, 2, 3))})")
-    postings = placed.select("nid", "g", F.inline(F.flatten(each)))
-    shared = postings.groupBy("o", "t").agg(F.count("*").alias("k"), F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("o", "t", "k")
-    found = join_back(postings, shared, "t", beside=("o",))
-    post = F.collect_list(F.when(F.col("o") == 1, F.struct("at", "t", "k")))
-    own = found.groupBy("nid").agg(F.count_distinct("o").alias("orders"), post.alias("post")).where("orders = 3").select(F.col("nid").alias("__nid"), "post")
-    return placed.drop("prefix1", "prefix2", "prefix3").join(own, placed.nid == own["__nid"]).drop("__nid")
-
-
-def candidates(place: DataFrame, percent: int, *, all_of_them: bool) -> DataFrame:
+    """Of the nodes that share a token of their first prefix with a node of another group: nid, g and ``post``, those
+    tokens, each with its place and its number of nodes."""
+    placed = nodes.join(groups, nodes.nid == groups.node, "left").withColumn("g", F.coalesce("component", "nid")).select("nid", "g", "prefix1")
+    shared = placed.select("g", F.explode("prefix1").alias("t")).groupBy("t").agg(F.count("*").alias("k"), F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("t", "k")
+    found = join_back(placed.select("nid", "g", F.posexplode("prefix1").alias("at", "t")), shared, "t")
+    return found.groupBy("nid", "g").agg(F.collect_list(F.struct("at", "t", "k")).alias("post"))
+
+
+def candidates(place: DataFrame, nodes: DataFrame, percent: int, *, all_of_them: bool) -> DataFrame:
     """(a, b, kind) of nodes of different groups that share a prefix token under the first order and that neither sizes,
     positions, parity maps nor the signatures of the other orders' prefixes rule out.
 
@@ -643,7 +641,8 @@ def candidates(place: DataFrame, percent: int, *, all_of_them: bool) -> DataFram
         a, b = known["nid"][x[keep]], known["nid"][y[keep]]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "kind": pa.array(kind, pa.int32())})
 
-    return place.select("nid", "g", "n", "c", "map", "sign2", "sign3", "post").mapInArrow(deal, "bucket int, nodes binary, rows binary, sign2 array<binary>, sign3 array<binary>").groupBy("bucket").applyInArrow(pair, "a long, b long, kind int")
+    whole = place.join(nodes.select(F.col("nid").alias("__nid"), "n", "c", "map", "sign2", "sign3"), place.nid == F.col("__nid")).drop("__nid")
+    return whole.mapInArrow(deal, "bucket int, nodes binary, rows binary, sign2 array<binary>, sign3 array<binary>").groupBy("bucket").applyInArrow(pair, "a long, b long, kind int")
 
 
 def dense_links(pairs: DataFrame, nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -738,9 +737,9 @@ def _crossing_links(nodes: DataFrame, groups: DataFrame, scratch: Scratch, perce
 
     turn, full = 0, FOREST_ROUNDS == 0
     while True:
-        place = scratch.table(mixed_postings(nodes, groups), f"place-{turn}")
-        found = scratch.table(candidates(place, percent, all_of_them=full), f"candidates-{turn}")
-        scratch.drop(f"place-{turn}")
+        # Groups only grow, so a node that has no partner outside its group in one round has none later.
+        place = scratch.table(mixed_postings(nodes if turn == 0 else nodes.join(place.select("nid"), "nid", "left_semi"), groups), f"place-{turn}")
+        found = scratch.table(candidates(place, nodes, percent, all_of_them=full), f"candidates-{turn}")
         _free(nodes.sparkSession)
         kinds = {r.kind for r in found.select("kind").distinct().collect()}  # three at most
         if not kinds:
@@ -751,8 +750,8 @@ def _crossing_links(nodes: DataFrame, groups: DataFrame, scratch: Scratch, perce
             return joined.unionByName(dense_links(found.where("kind = 2").select("a", "b"), nodes, groups, scratch, percent))
         if 1 not in kinds:
             return joined  # every candidate has been verified
-        turn, some = turn + 1, links.limit(1).count()
-        full = turn >= FOREST_ROUNDS or not some
+        turn, some = turn + 1, links.count()
+        full = turn >= FOREST_ROUNDS or some * LAST_YIELD < found.count()
         if some:
             groups = scratch.table(components(joined, scratch, f"round-{turn}"), f"round-groups-{turn}")
 
