@@ -73,12 +73,12 @@ def range_bench(spark: SparkSession, root: str, n: int = 10_000) -> DataFrame:
 
 
 def demo(spark: SparkSession, root: str) -> None:
-    rows = [("user:1001", 1, '{"name":"Ada"}'), ("user:1002", 2, '{"name":"Bob"}'), ("user:1003", 3, '{"name":"Cyd"}'), ("product:101", 4, '{"name":"lamp"}'), ("product:102", 5, '{"name":"desk"}'), ("user:1001", 6, '{"name":"Ada","age":36}'), ("product:102", 7, None)]
+    rows = [("bird:heron", 1, '{"legs":"long"}'), ("bird:robin", 2, '{"legs":"thin"}'), ("bird:stork", 3, '{"legs":"red"}'), ("tree:alder", 4, '{"leaf":"round"}'), ("tree:birch", 5, '{"leaf":"small"}'), ("bird:heron", 6, '{"legs":"long","neck":"long"}'), ("tree:birch", 7, None)]
     log = spark.createDataFrame([(k, s, v, v is None) for k, s, v in rows], "key string, seq long, value string, deleted boolean")
     with KVTable(spark, f"{root}/demo") as table:
         table.flush(log.where("seq <= 4"))
         table.flush(log.where("seq > 4"))
-        for title, found in (("users", table.prefix_scan("user:")), ("products", table.prefix_scan("product:")), ("[user:1001, user:1003)", table.range_scan("user:1001", "user:1003")), ("all", table.range_scan())):
+        for title, found in (("birds", table.prefix_scan("bird:")), ("trees", table.prefix_scan("tree:")), ("[bird:heron, bird:stork)", table.range_scan("bird:heron", "bird:stork")), ("all", table.range_scan())):
             print(title, found.count())
             found.select("key", shorten(F.col("value"), 24).alias("value")).show(3, truncate=False)
         table.statistics().show()
@@ -97,8 +97,10 @@ def main(argv: list[str] | None = None) -> None:
     for p in (b, d, r):
         p.add_argument("--root", default=None)
     args = parser.parse_args(argv)
-    args.root = args.root or tempfile.mkdtemp(prefix="logstrata-")
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.root is None and not spark.sparkContext.master.startswith("local"):
+        parser.error("--root has to name a folder that driver and executors share")
+    args.root = args.root or tempfile.mkdtemp(prefix="logstrata-")
     if args.what == "bench":
         bench(spark, args)
     elif args.what == "ranges":

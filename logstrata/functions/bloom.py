@@ -29,7 +29,7 @@ def may_contain(probes: DataFrame, bits: int, hashes: int, words: DataFrame, key
     at = at.select(key, F.floor(F.col("bit") / 32).alias("word"), (F.col("bit") % 32).cast("int").alias("shift"))
     hit = F.coalesce(F.expr("shiftright(mask, shift)").bitwiseAND(1), F.lit(0))
     found = at.join(words, "word", "left").groupBy(key).agg((F.min(hit) == 1).alias("may_contain"))
-    return probes.join(found, key)
+    return probes.join(found, key, "left").withColumn("may_contain", F.coalesce("may_contain", F.lit(False)))  # a null key is in no set
 
 
 def encode(bits: int, hashes: int, words: dict[int, int]) -> bytes:

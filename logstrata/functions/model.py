@@ -32,6 +32,10 @@ class Corrupt(ValueError):
     """A record whose checksum or length doesn't hold, in the mode that fails on it."""
 
 
+class LateOperation(ValueError):
+    """An operation that is older than a tombstone which a compaction has dropped."""
+
+
 class DiskFull(RuntimeError):
     """A write beyond the disk budget."""
 

@@ -30,7 +30,7 @@ def checked(log: DataFrame, *, order: str, payload: str, crc: str, mode: str = "
     if mode == "skip":
         return log.where(good)
     if mode == "fail":
-        return log.withColumn(crc, F.when(good, F.col(crc)).otherwise(F.raise_error(F.lit("checksum mismatch")).cast("long")))
+        return log.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("checksum mismatch")).cast("boolean")))  # a filter, which no choice of columns prunes
     if mode != "truncate":
         raise ValueError(f"no mode {mode!r}")
     first = log.where(~good).agg(F.min(order).alias("__bad"))

@@ -113,11 +113,14 @@ def pick_files(manifest: DataFrame, level: int) -> DataFrame:
     return own.unionByName(below)
 
 
-def oldest_half(segments: DataFrame, order: str = "file_num") -> DataFrame:
-    """Closed segments to merge: the oldest half (rounded up, two at least) of more than three, else all of two or three."""
+def oldest_half(segments: DataFrame, order: str = "max_seq") -> DataFrame:
+    """Closed segments to merge: the oldest half (rounded up, two at least) of more than three, else all of two or three.
+
+    Age is that of the rows, not of the file: a merged segment is written last and has the oldest rows.
+    """
     n = segments.count()
     take = 0 if n < 2 else max(2, -(-n // 2)) if n > 3 else n
-    return segments.orderBy(order).limit(take)
+    return segments.orderBy(order, "file_num").limit(take)
 
 
 def hash_compaction_due(segments: DataFrame, logical_bytes: int, *, max_segments: int = MAX_SEGMENTS) -> DataFrame:

@@ -243,10 +243,14 @@ def merge_by_priority(spark, sf_dir):
     return resolve.merge_by_priority([resolve.latest(log.where("seq >= 9000")), resolve.latest(log.where("seq < 9000"))])
 
 
-@query(f"{MANIFEST_SQL}, {last_sql('files', 'lt', 'level = 0')} select key, seq, value, deleted from lt")
+@query(
+    f"{MANIFEST_SQL}, hull as (select min(min_key) as lo, max(max_key) as hi from mf where level = 0), picked as (select level, file_num from mf, hull where level = 0 or level = 1 and max_key >= lo and min_key <= hi),"
+    f" own as (select files.* from files join picked using (level, file_num)), {last_sql('own', 'lt')} select key, seq, value, deleted from lt"
+)
 def compaction_l0(spark, sf_dir):
-    newest = _levels(events_log(spark, sf_dir), 1000).where("level = 0").select("key", "seq", "value", "deleted")
-    return resolve.compact([newest], bottom=False)
+    """All runs of level 0 and those of level 1 that they overlap, merged; deeper levels may hold what tombstones hide."""
+    rows, picked = _levels(events_log(spark, sf_dir), 1000), R.pick_files(_manifest(spark, sf_dir), 0).select("level", "file_num")
+    return resolve.compact([rows.join(picked, ["level", "file_num"], "left_semi").select("key", "seq", "value", "deleted")], bottom=False)
 
 
 @query(f"{EV_LAST} select key, seq, value, deleted from lt where not deleted")
@@ -382,16 +386,22 @@ def index_rebuild(spark, sf_dir):
 def truncate_damaged(spark, sf_dir):
     """Records up to the first whose checksum is wrong: that of a large purchase was damaged."""
     events = table(spark, sf_dir, "events")
+    return recover.checked(_damaged_file(spark, events), order="event_id", payload="props", crc="crc").select("event_id", "props")
+
+
+def _damaged_file(spark, events):
+    """Payloads with checksums in a file; after the checksum was taken, payloads of large purchases lost their last character."""
     bad = (F.col("event_type") == "purchase") & (F.col("value") > 60)
-    log = events.select("event_id", "props", (S.crc32(F.col("props")) + bad.cast("long")).alias("crc"))
-    return recover.checked(log, order="event_id", payload="props", crc="crc").select("event_id", "props")
+    path = f"{_root(spark, 'log')}/log"
+    sound = events.select("event_id", "props", S.crc32(F.col("props")).alias("crc"), bad.alias("bad"))
+    sound.select("event_id", F.when(F.col("bad"), F.expr("left(props, length(props) - 1)")).otherwise(F.col("props")).alias("props"), "crc").write.parquet(path)
+    return spark.read.parquet(path)
 
 
-@query()
+@query("select event_id, props from events where not (event_type = 'purchase' and value > 60)")
 def crc_check(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    log = events.select("event_id", "props", S.crc32(F.col("props")).alias("crc"))
-    return recover.checked(log, order="event_id", payload="props", crc="crc", mode="skip")
+    """The records whose checksum holds, when the others are skipped."""
+    return recover.checked(_damaged_file(spark, table(spark, sf_dir, "events")), order="event_id", payload="props", crc="crc", mode="skip").select("event_id", "props")
 
 
 # --- scalars ------------------------------------------------------------------------------------------------
@@ -454,13 +464,13 @@ def display_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.shorten(F.col("p_name"), 12).alias("shown"))
 
 
-@query()
+@query(f"{OD_LAST} select 'cust:' || lpad(cast(c_custkey as varchar), 8, '0') as key from customer where key in (select key from lt where not deleted)")
 def bloom_membership(spark, sf_dir):
-    """Customers against a filter of the keys with orders: no key with orders is ever missed."""
+    """Customers with orders: a filter of the keys with orders sorts out most others, and the keys decide on the rest."""
     held = resolve.live(orders_log(spark, sf_dir)).select("key")
     bits, hashes, words = bloom.build(held)
     probes = table(spark, sf_dir, "customer").select(customer_key(F.col("c_custkey")).alias("key"))
-    return bloom.may_contain(probes, bits, hashes, words)
+    return bloom.may_contain(probes, bits, hashes, words).where("may_contain").join(held, "key", "left_semi").select("key")
 
 
 # --- statistics ---------------------------------------------------------------------------------------------
@@ -575,11 +585,14 @@ def global_row_numbers(spark, sf_dir):
 
 
 def _root(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share; a temporary one only in local mode, where they are one process."""
     import tempfile
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logstrata-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or tempfile.mkdtemp(prefix="logstrata-")
     root = f"{shared.rstrip('/')}/logstrata-{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -600,6 +613,19 @@ def stored_snapshot(spark, sf_dir):
     return kv.snapshot()
 
 
+@query(f"{EV_LAST} select key, seq, value, deleted from lt where not deleted")
+def compaction_append(spark, sf_dir):
+    """Eight runs, the oldest half merged three times between them: no dropped tombstone brings a deleted key back."""
+    from logstrata.sources.table import KVTable
+
+    kv, log = KVTable(spark, _root(spark, "append"), layout="append"), events_log(spark, sf_dir)
+    for part in range(8):
+        kv.flush(log.where(f"seq % 4 = {part} and seq < 4000" if part < 4 else f"seq >= {1500 * part - 2000} and seq < {1500 * part - 500 if part < 7 else 1 << 62}"))
+        if part in (3, 5, 7):
+            kv.compact(force=True)
+    return kv.snapshot()
+
+
 @query(f"{EV_LAST} select key, seq, value, deleted from lt where not deleted")
 def stream_upsert(spark, sf_dir):
     """The log as a stream of one batch for each file, stored and read back."""

@@ -4,7 +4,9 @@ Two frames, little-endian. A segment record is crc, unix seconds, key size and
 value size (20 bytes: 4, 8, 4, 4), then key and value; the crc covers all after
 it, and an empty value is a delete. A log record is crc, sequence, key size,
 value size and a delete mark (21 bytes: 4, 8, 4, 4, 1), then key and value.
-A file is decoded by one task; files are bounded by rotation.
+A file is decoded by one task; files are bounded by rotation. Keys and values are
+opaque bytes: ``binary`` gives them as such, else they must be UTF-8 and a record
+that isn't is an error.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ def log_record(seq: int, key: bytes, value: bytes, deleted: bool) -> bytes:
 
 
 def _frames(raw: bytes, kind: str, mode: str) -> Iterator[tuple[int, tuple, bytes, bytes]]:
-    """(offset, header, key, value) up to the end or the first damaged frame; ``fail`` raises there."""
+    """(offset, header, key, value) up to the end or the first damaged frame; ``fail`` raises there, ``skip`` goes on
+    after a frame that is whole and has a wrong checksum."""
     head = _SEGMENT if kind == "segment" else _LOG
     at = 0
     while at < len(raw):
@@ -49,6 +52,9 @@ def _frames(raw: bytes, kind: str, mode: str) -> Iterator[tuple[int, tuple, byte
         if not whole or end > len(raw) or zlib.crc32(raw[at + 4 : end]) != fields[0]:
             if mode == "fail":
                 raise Corrupt(f"damaged record at byte {at}")
+            if mode == "skip" and whole and end <= len(raw):
+                at = end
+                continue
             return
         body = at + head.size
         yield at, fields, raw[body : body + fields[2]], raw[body + fields[2] : end]
@@ -59,29 +65,64 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
-def read_segments(spark: SparkSession, path: str, *, mode: str = "truncate") -> DataFrame:
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    return _files(spark, path, "*.seg").withColumn("number", F.regexp_extract("path", r"/(\d+)\.seg$", 1)).where("number != ''")
+
+
+def _typed(schema: str, binary: bool) -> str:
+    return schema.replace("key string, value string", "key binary, value binary") if binary else schema
+
+
+def _plain(raw: bytes, binary: bool) -> bytes | str:
+    if binary:
+        return raw
+    try:
+        return raw.decode()
+    except UnicodeDecodeError as e:
+        raise Corrupt("a key or value isn't UTF-8; read it as binary") from e
+
+
+def read_segments(spark: SparkSession, path: str, *, mode: str = "truncate", binary: bool = False) -> DataFrame:
     """Records of ``<number>.seg`` files; other names are ignored. The order of writing is (file_num, offset)."""
-    files = _files(spark, path, "*.seg").withColumn("number", F.regexp_extract("path", r"/(\d+)\.seg$", 1)).where("number != ''")
+    files = _segments(spark, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, raw in zip(batch.number, batch.content, strict=True):
-                rows = [(int(number), at, segment_size(k, v), h[1], k.decode("utf-8", "replace"), v.decode("utf-8", "replace") if v else None, not v) for at, h, k, v in _frames(bytes(raw), "segment", mode)]
+                rows = [(int(number), at, segment_size(k, v), h[1], _plain(k, binary), _plain(v, binary) if v else None, not v) for at, h, k, v in _frames(bytes(raw), "segment", mode)]
                 yield pd.DataFrame(rows, columns=["file_num", "offset", "size", "ts", "key", "value", "deleted"])
 
-    return files.select("number", "content").mapInPandas(run, SEGMENT_SCHEMA)
+    return files.select("number", "content").mapInPandas(run, _typed(SEGMENT_SCHEMA, binary))
+
+
+def read_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """The segment records at ``places`` (file_num, offset, size), such as those of an index: ts, key, value (binary) and
+    ``ok``, does the checksum hold. One row of places for each file meets the file; only the bytes of a record are cut out."""
+    files = _segments(spark, path).select(F.col("number").cast("long").alias("file_num"), "content")
+    wanted = places.groupBy("file_num").agg(F.collect_list(F.struct("offset", "size")).alias("at"))  # bounded by a file's records
+    cut = F.expr("transform(at, p -> struct(p.offset as offset, p.size as size, substring(content, cast(p.offset as int) + 1, cast(p.size as int)) as record))")
+    found = wanted.join(files, "file_num").select("file_num", F.inline(cut))
+
+    def number(start: int, width: int):
+        digits = F.concat(*[F.hex(F.expr(f"substring(record, {start + i}, 1)")) for i in reversed(range(width))])
+        return F.conv(digits, 16, 10).cast("long")
+
+    n = number(13, 4).cast("int")
+    sized = found.withColumn("n", n).withColumn("ok", (F.octet_length("record") == F.col("size")) & (number(1, 4) == F.crc32(F.expr("substring(record, 5)"))))
+    value = F.expr("substring(record, 21 + n)")
+    return sized.select("file_num", "offset", "size", number(5, 8).alias("ts"), F.expr("substring(record, 21, n)").alias("key"), F.when(F.octet_length(value) > 0, value).alias("value"), "ok")
 
 
-def read_log(spark: SparkSession, path: str, *, mode: str = "fail", glob: str = "*.wal") -> DataFrame:
+def read_log(spark: SparkSession, path: str, *, mode: str = "fail", glob: str = "*.wal", binary: bool = False) -> DataFrame:
     """Records of write-ahead log files as an op log."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, raw in zip(batch.path, batch.content, strict=True):
-                rows = [(name, h[1], k.decode("utf-8", "replace"), None if h[4] else v.decode("utf-8", "replace"), bool(h[4])) for _, h, k, v in _frames(bytes(raw), "log", mode)]
+                rows = [(name, h[1], _plain(k, binary), None if h[4] else _plain(v, binary), bool(h[4])) for _, h, k, v in _frames(bytes(raw), "log", mode)]
                 yield pd.DataFrame(rows, columns=["file", "seq", "key", "value", "deleted"])
 
-    return _files(spark, path, glob).mapInPandas(run, LOG_SCHEMA)
+    return _files(spark, path, glob).mapInPandas(run, _typed(LOG_SCHEMA, binary))
 
 
 def as_ops(segments: DataFrame) -> DataFrame:

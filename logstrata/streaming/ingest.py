@@ -3,7 +3,9 @@
 Each micro-batch becomes one run (the batch boundary stands for a frozen
 buffer), numbered after those before it, and compaction is looked at after it.
 The checkpoint of the query restarts it where it stopped; a batch that was
-flushed before a crash is recognised by its last sequence and not stored twice.
+flushed before a crash is recognised by its number in the manifest and not stored
+twice. Late operations are stored like others; the table refuses only what is
+older than a dropped tombstone (``lateness`` says how long those are kept).
 """
 
 from __future__ import annotations
@@ -18,16 +20,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from logstrata.sources.table import KVTable
 
 
-def store_batch(table: KVTable, batch: DataFrame, *, compact: bool = True) -> None:
-    fresh = batch.where(batch.seq > table.last_seq())
-    table.flush(fresh)
+def store_batch(table: KVTable, batch: DataFrame, *, number: tuple[str, int] | None = None, compact: bool = True) -> None:
+    """``number``: the stream and the number of its batch; without it, every call stores its rows."""
+    table.flush(batch, batch=number)
     while compact and table.compact():
         pass
 
 
 def upsert_stream(ops: DataFrame, table: KVTable, checkpoint: str, *, compact: bool = True, available_now: bool = True) -> StreamingQuery:
-    """Starts storing a stream of op-log rows whose ``seq`` grows from batch to batch."""
-    writer = ops.writeStream.foreachBatch(lambda batch, _: store_batch(table, batch, compact=compact)).option("checkpointLocation", checkpoint)
+    """Starts storing a stream of op-log rows, in any order of ``seq``. The checkpoint folder names the stream."""
+    writer = ops.writeStream.foreachBatch(lambda batch, number: store_batch(table, batch, number=(checkpoint, number), compact=compact)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

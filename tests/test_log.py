@@ -170,3 +170,10 @@ def test_checksums(spark):
     assert of("skip") == [1, 3]
     with pytest.raises(Exception, match="checksum"):
         of("fail")
+
+
+def test_fail_mode_fails_whatever_columns_are_read(spark):
+    log = spark.createDataFrame([(1, "a", 3904355907), (2, "b", 0)], "id long, p string, crc long")
+    with pytest.raises(Exception, match="checksum mismatch"):
+        checked(log, order="id", payload="p", crc="crc", mode="fail").select("id", "p").collect()
+    assert checked(log.where("id = 1"), order="id", payload="p", crc="crc", mode="fail").select("id").count() == 1

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from logstrata.functions.model import Closed, Corrupt, DiskFull
+from logstrata.functions.model import Closed, Corrupt, DiskFull, LateOperation
 from logstrata.sources import records
 from logstrata.sources.manifest import Manifest
 from logstrata.sources.table import LAYOUTS, KVTable
@@ -61,19 +61,38 @@ def test_manifest(spark, tmp_path):
 
 
 def test_segments(spark, tmp_path):
-    one = records.segment_record(5, b"key1", b"value1") + records.segment_record(6, b"key2", b"")
-    (tmp_path / "100.seg").write_bytes(one)
-    (tmp_path / "200.seg").write_bytes(records.segment_record(7, b"key1", b"new") + one[:-1])
-    (tmp_path / "12345.seg").write_bytes(b"")
-    for stray in ("readme.txt", "temp.dat", "not-a-segment.seg2"):
+    gull, tern, auk = records.segment_record(5, b"gull", b"grey"), records.segment_record(6, b"tern", b""), records.segment_record(7, b"gull", b"white")
+    (tmp_path / "3.seg").write_bytes(gull + tern)
+    (tmp_path / "8.seg").write_bytes(auk + gull + tern[:-1])
+    (tmp_path / "40.seg").write_bytes(b"")
+    for stray in ("8.seg.old", "x8.seg", "seg"):
         (tmp_path / stray).write_text("x")
     found = records.read_segments(spark, str(tmp_path))
     assert found.count() == 4
     from logstrata.operators.resolve import live
 
-    assert as_dict(live(records.as_ops(found))) == {"key1": "value1"}
+    assert as_dict(live(records.as_ops(found))) == {"gull": "grey"}
     with pytest.raises(Exception, match="damaged"):
         records.read_segments(spark, str(tmp_path), mode="fail").collect()
+    hurt = bytearray(gull)
+    hurt[-1] ^= 1
+    (tmp_path / "40.seg").write_bytes(bytes(hurt) + tern)
+    assert records.read_segments(spark, str(tmp_path), mode="skip").where("file_num = 40").count() == 1
+    places = found.select("file_num", "offset", "size").unionByName(spark.createDataFrame([(40, 0, len(gull)), (3, 1, 9)], "file_num long, offset long, size long"))
+    at = {(r.file_num, r.offset): r for r in records.read_at(spark, str(tmp_path), places).collect()}
+    assert len(at) == 6 and [k for k, r in at.items() if not r.ok] == [k for k in at if k in ((40, 0), (3, 1))]
+    assert (bytes(at[8, 0].key), bytes(at[8, 0].value), at[8, 0].ts) == (b"gull", b"white", 7)
+    assert at[3, len(gull)].value is None
+
+
+def test_opaque_bytes(spark, tmp_path):
+    raws = [b"\xff\x00", b"\xfe\x00", "é".encode()]
+    (tmp_path / "1.seg").write_bytes(b"".join(records.segment_record(1, r, r) for r in raws))
+    (tmp_path / "1.wal").write_bytes(b"".join(records.log_record(i, r, r, False) for i, r in enumerate(raws)))
+    for read in (records.read_segments, records.read_log):
+        assert sorted(bytes(r.key) for r in read(spark, str(tmp_path), binary=True).collect()) == sorted(raws)
+        with pytest.raises(Exception, match="UTF-8"):
+            read(spark, str(tmp_path)).collect()
 
 
 def test_log_files(spark, tmp_path):
@@ -96,10 +115,67 @@ def test_streams(spark, tmp_path):
         stream = spark.readStream.schema(frame(spark, []).schema).parquet(str(source))
         upsert_stream(stream, table, str(tmp_path / "cp")).awaitTermination()
         assert as_dict(table.snapshot()) == snapshot(ops[:b])
-    store_batch(table, frame(spark, ops[20:41]))  # the same batch again
+    files = len(table._files())
+    store_batch(table, frame(spark, ops[20:41]), number=(str(tmp_path / "cp"), 1))  # the same batch again
+    assert as_dict(table.snapshot()) == snapshot(ops) and len(table._files()) == files
+
+
+def test_late_operations_are_stored(spark, tmp_path):
+    ops = log(("a", "1"), ("b", "2"), ("c", "3"), ("a", "4"))
+    table = KVTable(spark, str(tmp_path / "t"))
+    store_batch(table, frame(spark, [ops[0], ops[3]]), number=("s", 0))
+    store_batch(table, frame(spark, ops[1:3]), number=("s", 1))
     assert as_dict(table.snapshot()) == snapshot(ops)
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_random_schedules_of_flushes_merges_and_late_rows(spark, tmp_path, layout):
+    """Out of order by up to ``lateness`` operations, with many half merges."""
+    rng = random.Random(layout + "!")
+    ops = log(*[(f"k{rng.randrange(8)}", f"v{i}") if rng.random() < 0.5 else (f"k{rng.randrange(8)}",) for i in range(100)])
+    order = sorted(range(100), key=lambda i: i + rng.randrange(20))
+    table = KVTable(spark, str(tmp_path / layout), layout=layout, l0_runs=2, max_segments=4, lateness=100)
+    tight = KVTable(spark, str(tmp_path / "tight"), layout=layout, l0_runs=2, max_segments=4)
+    for a in range(0, 100, 10):
+        part = [ops[i] for i in order[a : a + 10]]
+        table.flush(frame(spark, part))
+        tight.flush(frame(spark, ops[a : a + 10]))
+        if rng.random() < 0.7:
+            table.compact(force=True)
+            tight.compact(force=True)
+        assert as_dict(table.snapshot()) == snapshot(sorted((ops[i] for i in order[: a + 10]), key=lambda r: r[1]))
+        assert as_dict(tight.snapshot()) == snapshot(ops[: a + 10])
+    if layout == "clustered":
+        assert not any(f.n_tombstones for f in tight._files())
+
+
+def test_deleted_keys_stay_deleted_through_half_merges(spark, tmp_path):
+    ops = log(("k", "1"), ("a", "2"), ("b", "3"), ("c", "4"), ("k",), ("d", "6"), ("e", "7"), ("f", "8"))
+    table = KVTable(spark, str(tmp_path / "t"), layout="append")
+    for op in ops:
+        table.flush(frame(spark, [op]))
+    for _ in range(4):
+        table.compact(force=True)
+        assert as_dict(table.snapshot()) == snapshot(ops)
+
+
+def test_operations_older_than_a_dropped_tombstone_are_refused(spark, tmp_path):
+    table = KVTable(spark, str(tmp_path / "t"), l0_runs=1)
+    table.flush(frame(spark, [("k", 10, None, True), ("a", 11, "x", False)]))
+    table.flush(frame(spark, [("a", 12, "y", False)]))
+    table.compact(force=True)
+    assert [r.deleted for r in table.ops().collect()] == [False]
+    with pytest.raises(LateOperation):
+        table.flush(frame(spark, [("k", 5, "old", False)]))
+    assert as_dict(KVTable(spark, str(tmp_path / "t")).snapshot()) == {"a": "y"}
+    kept = KVTable(spark, str(tmp_path / "kept"), lateness=10)
+    kept.flush(frame(spark, [("k", 10, None, True)]))
+    kept.flush(frame(spark, [("a", 12, "y", False)]))
+    kept.compact(force=True)
+    kept.flush(frame(spark, [("k", 5, "old", False)]))
+    assert as_dict(kept.snapshot()) == {"a": "y"}
+
+
 def test_unordered_stream(spark, tmp_path):
     ops = log(*[(f"k{i % 3}", f"v{i}") for i in range(9)])
     seen = []
