@@ -4,19 +4,22 @@ Documents of equal text are one atomic group. Groups stand in the order of
 their MD5, and each shard takes a contiguous run of them. The capacity of a
 shard is the smallest for which a greedy pass (fill a shard until the next
 group doesn't fit) needs no more than the wanted number of shards; it is found
-by binary search, and the greedy cuts at that capacity are the result. So no
-contiguous partition in this order has a smaller largest shard.
+by binary search, so no contiguous partition in this order has a smaller largest
+shard. What that capacity leaves free is shared out: a group above the even share
+gets a shard of its own if that costs nothing, and the rest of the shards are
+dealt to the two sides by the same rule; and where greedy cuts need fewer shards
+than there are, the first is kept and the rest is partitioned again. So a shard
+stays empty only if there are fewer groups than shards.
 
 The driver holds sums for the 65,536 blocks of groups that share the first 16
-bits of their MD5, whatever the corpus. A greedy step needs the groups of one
-block only, where its cut falls; those are fetched as the search needs them.
-Rows learn their shard by comparing their MD5 with the cuts.
+bits of their MD5, whatever the corpus. Where a cut falls inside a block, the
+block is opened: its groups are fetched if they are at most ``FETCH``, else its
+own sums by the next 16 bits. Rows learn their shard by comparing their MD5 with
+the cuts.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,87 +27,166 @@ from pyspark.sql.window import Window
 
 from logstrata.llm.scratch import Scratch
 
-BLOCKS = 1 << 16
+#: Rows that one look at the groups brings to the driver, at most.
+FETCH = 1 << 16
 #: Rows of a group that are numbered together, and the largest number of such parts.
 PART_ROWS, MOST_PARTS = 512, 1 << 16
+#: Hexadecimal digits of a key that one level of sums takes.
+DIGITS = 4
+
+
+class Span:
+    """The children of one prefix of keys in order: sums of sub-blocks, or groups (``leaf``)."""
+
+    def __init__(self, found, before: tuple[int, int], leaf: bool):
+        found = found.sort_values("child")
+        self.keys, self.first, self.leaf = list(found["child"]), list(found["first"]), leaf
+        self.bytes, self.rows, self.groups, self.largest = (found[c].to_numpy(np.int64) for c in ("bytes", "n", "groups", "largest"))
+        self.ends, self.row_ends = before[0] + np.cumsum(self.bytes), before[1] + np.cumsum(self.rows)
+
+    def before(self, i: int) -> tuple[int, int]:
+        return int(self.ends[i] - self.bytes[i]), int(self.row_ends[i] - self.rows[i])
 
 
 class Line:
-    """The groups in order, as sums over blocks and the exact rows of those blocks that were fetched."""
-
-    def __init__(self, groups: DataFrame, kept: int = 1 << 22):
-        self.groups, self.kept = groups, kept
-        sums = groups.groupBy("block").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.max("bytes").alias("largest")).toPandas()
-        self.bytes, self.rows = np.zeros(BLOCKS, np.int64), np.zeros(BLOCKS, np.int64)
-        self.bytes[sums.block], self.rows[sums.block] = sums.bytes, sums.n
-        self.ends = np.cumsum(self.bytes)
-        self.row_ends = np.cumsum(self.rows)
-        self.total = int(self.ends[-1])
-        self.largest = int(sums.largest.max()) if len(sums) else 0
-        self.detail: dict[int, tuple[np.ndarray, np.ndarray, list[bytes]]] = {}
-
-    def fetch(self, blocks: list[int]) -> None:
-        wanted = [b for b in dict.fromkeys(blocks) if b not in self.detail]
-        if not wanted:
-            return
-        if sum(len(x[2]) for x in self.detail.values()) > self.kept:
-            self.detail.clear()
-        found = self.groups.where(F.col("block").isin(wanted)).select("block", "g", "bytes", "n").toPandas()
-        found["g"] = found["g"].map(bytes)
-        found = found.sort_values("g")
-        for b in wanted:
-            own = found[found.block == b]
-            before, rows = self.ends[b] - self.bytes[b], self.row_ends[b] - self.rows[b]
-            self.detail[b] = (before + np.cumsum(own["bytes"].to_numpy(np.int64)), rows + np.cumsum(own["n"].to_numpy(np.int64)), list(own["g"]))
-
-    def cut(self, start: int, capacity: int) -> int:
-        """The end of the shard that starts after ``start`` bytes."""
+    """The groups (key, bytes, n) in order of their keys, as sums that are opened where a cut falls. Places are bytes before."""
+
+    def __init__(self, groups: DataFrame):
+        self.groups = groups
+        self.opened: dict[str, Span] = {}
+        self.root = self._sums("", (0, 0))
+        self.total = int(self.root.ends[-1]) if self.root.keys else 0
+
+    def _sums(self, prefix: str, before: tuple[int, int]) -> Span:
+        child = F.substring("key", 1, len(prefix) + DIGITS).alias("child")
+        inside = self.groups.where(F.col("key").startswith(prefix)) if prefix else self.groups
+        return Span(inside.groupBy(child).agg(F.min("key").alias("first"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.count("*").alias("groups"), F.max("bytes").alias("largest")).toPandas(), before, False)
+
+    def prepare(self, places: list[int], around: int = 6) -> None:
+        """Opens blocks around some places in one go, as far as they have no more than ``FETCH`` groups together."""
+        root, wanted, size = self.root, {}, 0
+        for far in range(around + 1):
+            for at in np.searchsorted(root.ends, places, "right"):
+                for i in {max(0, at - far), min(len(root.keys) - 1, at + far)}:
+                    if root.groups[i] > 1 and root.keys[i] not in wanted and root.keys[i] not in self.opened and size + root.groups[i] <= FETCH:
+                        wanted[root.keys[i]] = i
+                        size += int(root.groups[i])
+        if wanted:
+            found = self._fetched(F.substring("key", 1, DIGITS).isin(list(wanted)))
+            for key, own in found.groupby(found["child"].str[:DIGITS]):
+                self.opened[key] = Span(own, root.before(wanted[key]), True)
+
+    def _fetched(self, which):
+        return self.groups.where(which).select(F.col("key").alias("child"), F.col("key").alias("first"), "bytes", "n", F.lit(1).alias("groups"), F.col("bytes").alias("largest")).toPandas()
+
+    def open(self, span: Span, i: int) -> Span:
+        key = span.keys[i]
+        if key not in self.opened:
+            if sum(len(s.keys) for s in self.opened.values()) > 32 * FETCH:
+                self.opened.clear()
+            fits = span.groups[i] <= FETCH
+            self.opened[key] = Span(self._fetched(F.col("key").startswith(key)), span.before(i), True) if fits else self._sums(key, span.before(i))
+        return self.opened[key]
+
+    def _at(self, place: int) -> tuple[Span, int]:
+        """The smallest child known that holds the byte after a place, or begins there."""
+        span = self.root
+        while True:
+            i = int(np.searchsorted(span.ends, place, "right"))
+            if span.before(i)[0] == place or span.leaf or span.groups[i] == 1:
+                return span, i
+            span = self.open(span, i)
+
+    def cut(self, start: int, capacity: int, end: int) -> int:
+        """The end of the shard that starts at ``start``: before the first group that doesn't fit, ``end`` at most."""
         goal = start + capacity
-        if goal >= self.total:
-            return self.total
-        b = int(np.searchsorted(self.ends, goal, "right"))  # the block that holds the byte after the goal
-        before = int(self.ends[b] - self.bytes[b])
-        if before == goal:
-            return goal
-        self.fetch([b])
-        ends = self.detail[b][0]
-        at = int(np.searchsorted(ends, goal, "right"))
-        return int(ends[at - 1]) if at else before
-
-    def cuts(self, capacity: int, shards: int) -> list[int] | None:
-        """The ends of the shards, or None if they are too many."""
-        found = [0]
-        while found[-1] < self.total:
-            if len(found) > shards:
+        if goal >= end:
+            return end
+        span, i = self._at(goal)
+        return span.before(i)[0]
+
+    def cuts(self, start: int, end: int, capacity: int, shards: int) -> list[int] | None:
+        """The ends of the shards of [start, end), or None if they are too many."""
+        found = [start]
+        while found[-1] < end:
+            at = self.cut(found[-1], capacity, end)
+            if at <= found[-1] or len(found) > shards:
                 return None
-            found.append(self.cut(found[-1], capacity))
+            found.append(at)
         return found[1:]
 
-    def partition(self, shards: int) -> list[int]:
-        low = max(self.largest, -(-self.total // shards))
-        # Around even cuts, where an even corpus has them all: one job for many blocks.
-        even = np.searchsorted(self.ends, [low * i for i in range(1, shards)], "right")
-        self.fetch([int(b) for e in even for b in range(max(0, e - 6), min(BLOCKS, e + 7)) if self.bytes[b]])
-        high = low
-        while self.cuts(high, shards) is None:  # a shard at most one group over the even size
-            high = min(self.total, high + max(1, self.largest))
+    def least(self, start: int, end: int, shards: int) -> int:
+        """The smallest capacity for [start, end)."""
+        low = high = max(1, -(-(end - start) // shards))
+        step = max(1, low >> 10)
+        while self.cuts(start, end, high, shards) is None:
+            low, high, step = high + 1, min(end - start, high + step), 2 * step
         while low < high:
             middle = (low + high) // 2
-            if self.cuts(middle, shards) is None:
+            if self.cuts(start, end, middle, shards) is None:
                 low = middle + 1
             else:
                 high = middle
-        return self.cuts(high, shards) if self.total else []
+        return high
+
+    def largest(self, start: int, end: int, more_than: int) -> tuple[int, int] | None:
+        """A largest group of [start, end), where it starts and ends, if it has more than so many bytes."""
+        best: tuple[int, int] | None = None
+        looked = [self.root]
+        while looked:
+            span = looked.pop()
+            for i in np.flatnonzero((span.largest > more_than) & (span.ends > start) & (span.ends - span.bytes < end)):
+                if span.largest[i] <= more_than:
+                    continue
+                if span.leaf or span.groups[i] == 1:
+                    best, more_than = (span.before(i)[0], int(span.ends[i])), int(span.largest[i])
+                else:
+                    looked.append(self.open(span, i))
+        return best
+
+    def partition(self, start: int, end: int, shards: int) -> list[int]:
+        """The ends of the shards of [start, end)."""
+        done: list[int] = []
+        while start < end:
+            capacity = self.least(start, end, shards)
+            even = -(-(end - start) // shards)
+            big = self.largest(start, end, even) if capacity > even and shards > 1 else None
+            dealt = self._dealt([(start, big[0]), (big[1], end)], shards - 1, capacity) if big else None
+            if big and dealt:
+                return done + self.partition(start, big[0], dealt[0]) + [big[1]] + self.partition(big[1], end, dealt[1])
+            found = self.cuts(start, end, capacity, shards)
+            if len(found) == shards:
+                return done + found
+            done.append(found[0])
+            start, shards = found[0], shards - 1
+        return done
+
+    def _dealt(self, sides: list[tuple[int, int]], shards: int, capacity: int) -> list[int] | None:
+        """How many shards each of two sides gets so that the larger of their capacities is least; None if that is above ``capacity``."""
+        (a, b), (c, d) = sides
+        if a == b or c == d:
+            share = [0 if a == b else shards, 0 if c == d else shards]
+            rest = (c, d) if a == b else (a, b)
+            return share if rest[0] == rest[1] or shards and self.least(*rest, shards) <= capacity else None
+        if shards < 2:
+            return None
+        low, high = 1, shards - 1  # the least number for the left that makes it no worse than the right
+        while low < high:
+            middle = (low + high) // 2
+            if self.least(a, b, middle) <= self.least(c, d, shards - middle):
+                high = middle
+            else:
+                low = middle + 1
+        worst = {n: max(self.least(a, b, n), self.least(c, d, shards - n)) for n in {low, max(1, low - 1)}}
+        n = min(worst, key=lambda k: (worst[k], k))
+        return [n, shards - n] if worst[n] <= capacity else None
 
-    def first_after(self, cut: int) -> tuple[bytes | None, int]:
+    def first_after(self, cut: int) -> tuple[str | None, int]:
         """The key of the first group after a cut, and the number of rows before it."""
         if cut >= self.total:
-            return None, int(self.row_ends[-1])
-        b = int(np.searchsorted(self.ends, cut, "right"))
-        self.fetch([b])
-        ends, rows, keys = self.detail[b]
-        at = bisect_right(ends.tolist(), cut)
-        return keys[at], int(rows[at - 1]) if at else int(self.row_ends[b] - self.rows[b])
+            return None, int(self.root.row_ends[-1])
+        span, i = self._at(cut)
+        return span.first[i], span.before(i)[1]
 
 
 def minimax_shards(docs: DataFrame, shards: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,7 +195,7 @@ def minimax_shards(docs: DataFrame, shards: int, *, doc_id: str = "doc_id", text
     Size is the UTF-8 length plus 1. Null texts are a group of their own, with size 1 and a null
     text_crc32. Slots number the rows of a shard from 0 in the order of groups, inside a group by
     parts of rows and then by doc_id. Repeated rows are separate rows. No rows give no rows. Shards
-    at the end stay empty if fewer reach the smallest capacity.
+    at the end stay empty if there are fewer groups than shards.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
@@ -122,14 +204,15 @@ def minimax_shards(docs: DataFrame, shards: int, *, doc_id: str = "doc_id", text
         F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.coalesce(F.unhex(F.md5(raw)), F.lit(b"")).alias("g")
     )
     rows = scratch.table(sized, "rows")
-    block = F.coalesce(F.conv(F.substring(F.hex("g"), 1, 4), 16, 10).cast("int"), F.lit(0))
-    groups = scratch.table(rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).withColumn("block", block), "groups")
+    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    groups = scratch.table(groups.withColumn("key", F.hex("g")).withColumn("block", F.substring("key", 1, DIGITS)), "groups")
     line = Line(groups)
-    cuts = line.partition(shards)
+    line.prepare([line.total * i // shards for i in range(1, shards)])
+    cuts = line.partition(0, line.total, shards)
     starts = [(None, 0), *[line.first_after(c) for c in cuts[:-1]]]
     # Of the 65,536 blocks: rows before each.
-    before = spark.createDataFrame([(int(b), int(line.row_ends[b] - line.rows[b])) for b in np.flatnonzero(line.rows)], "block int, rows_before long")
-    shard = sum((F.col("g") >= F.lit(key)).cast("int") for key, _ in starts[1:]) if len(starts) > 1 else F.lit(0)
+    before = spark.createDataFrame([(k, line.root.before(i)[1]) for i, k in enumerate(line.root.keys)], "block string, rows_before long")
+    shard = sum((F.col("key") >= F.lit(key)).cast("int") for key, _ in starts[1:]) if len(starts) > 1 else F.lit(0)
     start = F.element_at(F.array(*[F.lit(n).cast("long") for _, n in starts]), F.col("shard") + 1)
     in_block = Window.partitionBy("block").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("earlier", F.coalesce(F.sum("n").over(in_block), F.lit(0)))

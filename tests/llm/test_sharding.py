@@ -70,6 +70,62 @@ def test_one_text_holds_most_rows(spark, monkeypatch):
     check(spark, ["the same"] * 300 + [f"text {i}" for i in range(100)], 8)
 
 
+def test_a_large_group_leaves_no_shard_empty(spark):
+    """40 % of the rows have one text: the others still spread evenly over the other shards."""
+    rows = check(spark, ["the same text"] * 400 + [f"text {i:08d}" for i in range(600)], 16)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.shard] += r.size
+    rest = sorted(sizes.values())[:-1]
+    even = 600 * 14 / 15  # sides of the large group have shards of their own
+    assert len(sizes) == 16 and rest[-1] <= 1.1 * even and rest[0] >= 0.7 * even
+
+
+def test_shards_that_greedy_cuts_leave_over_are_used(spark):
+    rows = check(spark, [c * 6 for c in "abcd"], 3)
+    assert {r.shard for r in rows} == {0, 1, 2}
+    assert len({r.shard for r in check(spark, [str(i) * (1 + 40 * (i % 5 == 0)) for i in range(40)], 16)}) == 16
+
+
+def test_crowded_blocks_are_opened_by_sums(spark, monkeypatch):
+    """Keys with long common prefixes, and no more than a few rows at a time."""
+    most = []
+
+    class Counted(sharding.Span):
+        def __init__(self, found, before, leaf):
+            most.append((len(found), leaf))
+            super().__init__(found, before, leaf)
+
+    monkeypatch.setattr(sharding, "FETCH", 8)
+    monkeypatch.setattr(sharding, "Span", Counted)
+    rng = random.Random(2)
+    groups = sorted((f"{'0000' if rng.random() < 0.5 else 'AAAA'}{rng.choice(['0000', '1111'])}{i:024X}", rng.randrange(1, 30), 1) for i in range(300))
+    line = sharding.Line(spark.createDataFrame(groups, "key string, bytes long, n long"))
+    for shards in (1, 5, 16):
+        cuts = line.partition(0, line.total, shards)
+        ends = [sum(b for _, b, _ in groups[: i + 1]) for i in range(300)]
+        assert set(cuts) <= set(ends) and cuts[-1] == ends[-1] and len(cuts) == shards
+        best = line.least(0, line.total, shards)
+        assert max(b - a for a, b in zip([0, *cuts], cuts)) == best
+        needed = lambda cap: sum(1 for _ in _greedy([b for _, b, _ in groups], cap))
+        assert needed(best) <= shards < needed(best - 1)
+        for c in cuts[:-1]:
+            assert line.first_after(c) == (groups[ends.index(c) + 1][0], ends.index(c) + 1)
+    assert max(n for n, leaf in most if leaf) <= 8
+
+
+def _greedy(sizes, capacity):
+    filled = 0
+    for s in sizes:
+        if s > capacity:
+            yield from range(10**6)
+        if filled + s > capacity:
+            yield filled
+            filled = 0
+        filled += s
+    yield filled
+
+
 def test_odd_rows(spark):
     check(spark, [None, "", "", None, "x" * 100_000, "a", "ä"], 16)
     check(spark, ["a", "a", "a", "b"], 2, ids=[1, 1, 1, None])
