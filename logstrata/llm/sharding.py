@@ -8,7 +8,7 @@ by binary search, so no contiguous partition in this order has a smaller largest
 shard. What that capacity leaves free is shared out: a group above the even share
 gets a shard of its own if that costs nothing, and the rest of the shards are
 dealt to the two sides by the same rule; and where greedy cuts need fewer shards
-than there are, the first is kept and the rest is partitioned again. So a shard
+than there are, the first takes an even share and the rest is partitioned again. So a shard
 stays empty only if there are fewer groups than shards.
 
 The driver holds sums for the 65,536 blocks of groups that share the first 16
@@ -38,14 +38,15 @@ DIGITS = 4
 class Span:
     """The children of one prefix of keys in order: sums of sub-blocks, or groups (``leaf``)."""
 
-    def __init__(self, found, before: tuple[int, int], leaf: bool):
+    def __init__(self, found, before: tuple[int, int, int], leaf: bool):
         found = found.sort_values("child")
         self.keys, self.first, self.leaf = list(found["child"]), list(found["first"]), leaf
         self.bytes, self.rows, self.groups, self.largest = (found[c].to_numpy(np.int64) for c in ("bytes", "n", "groups", "largest"))
-        self.ends, self.row_ends = before[0] + np.cumsum(self.bytes), before[1] + np.cumsum(self.rows)
+        self.ends, self.row_ends, self.group_ends = (b + np.cumsum(x) for b, x in zip(before, (self.bytes, self.rows, self.groups), strict=True))
 
-    def before(self, i: int) -> tuple[int, int]:
-        return int(self.ends[i] - self.bytes[i]), int(self.row_ends[i] - self.rows[i])
+    def before(self, i: int) -> tuple[int, int, int]:
+        """Bytes, rows and groups before a child."""
+        return int(self.ends[i] - self.bytes[i]), int(self.row_ends[i] - self.rows[i]), int(self.group_ends[i] - self.groups[i])
 
 
 class Line:
@@ -54,10 +55,10 @@ class Line:
     def __init__(self, groups: DataFrame):
         self.groups = groups
         self.opened: dict[str, Span] = {}
-        self.root = self._sums("", (0, 0))
+        self.root = self._sums("", (0, 0, 0))
         self.total = int(self.root.ends[-1]) if self.root.keys else 0
 
-    def _sums(self, prefix: str, before: tuple[int, int]) -> Span:
+    def _sums(self, prefix: str, before: tuple[int, int, int]) -> Span:
         child = F.substring("key", 1, len(prefix) + DIGITS).alias("child")
         inside = self.groups.where(F.col("key").startswith(prefix)) if prefix else self.groups
         return Span(inside.groupBy(child).agg(F.min("key").alias("first"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.count("*").alias("groups"), F.max("bytes").alias("largest")).toPandas(), before, False)
@@ -157,8 +158,10 @@ class Line:
             found = self.cuts(start, end, capacity, shards)
             if len(found) == shards:
                 return done + found
-            done.append(found[0])
-            start, shards = found[0], shards - 1
+            # Not more than the even share: greedy cuts of the rest at this capacity need one shard more at most.
+            first = self.cut(start, even, end)
+            done.append(first if first > start else found[0])
+            start, shards = done[-1], shards - 1
         return done
 
     def _dealt(self, sides: list[tuple[int, int]], shards: int, capacity: int) -> list[int] | None:
@@ -170,17 +173,27 @@ class Line:
             return share if rest[0] == rest[1] or shards and self.least(*rest, shards) <= capacity else None
         if shards < 2:
             return None
-        low, high = 1, shards - 1  # the least number for the left that makes it no worse than the right
+        groups = [self._groups_before(y) - self._groups_before(x) for x, y in sides]
+        if sum(groups) <= shards:
+            return groups
+        # The least number for the left that makes it no worse than the right; neither gets more shards than groups.
+        low, high = max(1, shards - groups[1]), min(shards - 1, groups[0])
         while low < high:
             middle = (low + high) // 2
             if self.least(a, b, middle) <= self.least(c, d, shards - middle):
                 high = middle
             else:
                 low = middle + 1
-        worst = {n: max(self.least(a, b, n), self.least(c, d, shards - n)) for n in {low, max(1, low - 1)}}
+        worst = {n: max(self.least(a, b, n), self.least(c, d, shards - n)) for n in {low, max(1, shards - groups[1], low - 1)}}
         n = min(worst, key=lambda k: (worst[k], k))
         return [n, shards - n] if worst[n] <= capacity else None
 
+    def _groups_before(self, place: int) -> int:
+        if place >= self.total:
+            return int(self.root.group_ends[-1])
+        span, i = self._at(place)
+        return span.before(i)[2]
+
     def first_after(self, cut: int) -> tuple[str | None, int]:
         """The key of the first group after a cut, and the number of rows before it."""
         if cut >= self.total:
