@@ -13,8 +13,10 @@ Pages that name no such container are decided by repetition. The token streams
 of the pages of a host are concatenated, their suffixes are sorted by their
 first ``run`` tokens (prefix doubling, so equal ranks are common prefixes of at
 least that length), and a stretch that ``pages`` or more different pages have
-is boilerplate; blocks that such stretches cover are removed and unique runs
-stay. A large host is dealt out in parts of about ``GROUP`` pages, each with a
+is boilerplate: it is removed, and unique runs stay, also inside a block. (Common
+prefixes of ``run`` tokens are all that this needs of a suffix array: a token is in
+a repeated stretch of that length or more exactly if it is in one of that length.)
+A large host is dealt out in parts of about ``GROUP`` pages, each with a
 suffix array. The parts' counts of pages for each distinct run of tokens are
 added up over the whole host, dealt by a 48-bit hash of the run, and the parts
 get back which of their runs are repeated, so the parts decide nothing.
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +111,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     marked: list[tuple[int, int, bool]] = []
     mains: list[int] = []
     left_out, around, inside = False, -1, PLAIN
+    opened: Counter[str] = Counter()  # of the stack's tags
 
     def end() -> None:
         if text:
@@ -116,9 +120,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
     def close(tag: str) -> None:
         nonlocal left_out, around, inside
-        if any(e[0] == tag for e in stack):
-            while stack.pop()[0] != tag:
-                pass
+        if opened[tag]:
+            last = ""
+            while last != tag:
+                last = stack.pop()[0]
+                opened[last] -= 1
             left_out, around, inside = stack[-1][1:] if stack else (False, -1, PLAIN)
 
     at = 0
@@ -141,7 +147,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if m[1] or m[4]:
             close(tag)
             continue
-        if tag in _ENDS_P and any(e[0] == "p" for e in stack):
+        if tag in _ENDS_P and opened["p"]:
             close("p")
         if tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack and stack[-1][0] == tag:
             close(tag)
@@ -163,6 +169,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             mains.append(around)
         inside = level
         stack.append((tag, left_out, around, inside))
+        opened[tag] += 1
     end()
     stay = _held(found, marked, mains) if marked else [True]
     out = []
@@ -293,18 +300,36 @@ def _most(n: int, pages: int) -> int:
     return max(pages, -(-n // 2))
 
 
-def main_texts(pages_of_host: list[list[tuple[int, str]]], marks: list[np.ndarray], most: list[np.ndarray]) -> list[str]:
-    """The main text of each page, given which of its tokens are in repeated stretches, and in those of most pages."""
+def _unique_runs(words: list[str], gone: np.ndarray, run: int) -> str:
+    """A block without the stretches of ``run`` tokens or more that are gone. What is shorter only goes on from the block before."""
+    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+    keep = np.ones(gone.size, bool)
+    for i, j in zip(edges[::2], edges[1::2], strict=True):
+        keep[i:j] = j - i < run
+    return " ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k)
+
+
+def main_texts(pages_of_host: list[list[tuple[int, str]]], marks: list[np.ndarray], most: list[np.ndarray], run: int) -> list[str]:
+    """The main text of each page, given which of its tokens are in repeated stretches, and in those of most pages: its
+    tokens without these stretches, unique runs inside a block staying."""
     out = []
     for page, often, template in zip(pages_of_host, marks, most, strict=True):
-        sizes = [text.count(" ") + 1 for _, text in page]
-        ends = np.cumsum(sizes).tolist()
-        gone = [bool((template if c >= MAIN else often)[e - n : e].all()) for (c, _), n, e in zip(page, sizes, ends, strict=True)]
+        ends = np.cumsum([text.count(" ") + 1 for _, text in page]).tolist()
+        kept: list[str] = []
         # What is mostly made of repeated stretches is a copied article, not one with a template around it.
-        whole = [n for (c, _), n in zip(page, sizes, strict=True) if c >= MAIN]
-        cut = [n for (c, _), n, g in zip(page, sizes, gone, strict=True) if g and c >= MAIN]
-        copied = 2 * sum(cut) >= sum(whole)
-        out.append("\n".join(t for (c, t), g in zip(page, gone, strict=True) if not g or copied and c >= MAIN))
+        named, cut = 0, 0
+        for (c, t), e in zip(page, ends, strict=True):
+            if c >= MAIN:
+                named += t.count(" ") + 1
+                cut += int(template[e - t.count(" ") - 1 : e].sum())
+        copied = 2 * cut >= named
+        for (c, t), e in zip(page, ends, strict=True):
+            gone = (template if c >= MAIN else often)[e - t.count(" ") - 1 : e]
+            if c >= MAIN and copied or not gone.any():
+                kept.append(t)
+            elif not gone.all():
+                kept.append(_unique_runs(t.split(" "), gone, run))
+        out.append("\n".join(kept))
     return out
 
 
@@ -399,7 +424,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
         else:
             holders = found.holders()
             often, most = holders >= repeated, holders >= _most(found.n_full, repeated)
-        return pa.Table.from_arrays([table.column("page_id").combine_chunks(), table.column("url").combine_chunks(), pa.array(main_texts(group, found.cover(often), found.cover(most)), pa.string())], out_schema.fieldNames())
+        return pa.Table.from_arrays([table.column("page_id").combine_chunks(), table.column("url").combine_chunks(), pa.array(main_texts(group, found.cover(often), found.cover(most), run), pa.string())], out_schema.fieldNames())
 
     # The uses of the pieces are one exchange, as long as nothing is filtered between.
     pieces = rows.mapInArrow(cut, cut_schema).repartition("host", "part")

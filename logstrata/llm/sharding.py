@@ -66,6 +66,8 @@ class Line:
     def prepare(self, places: list[int], around: int = 6) -> None:
         """Opens blocks around some places in one go, as far as they have no more than ``FETCH`` groups together."""
         root, wanted, size = self.root, {}, 0
+        if not root.keys:
+            return
         for far in range(around + 1):
             for at in np.searchsorted(root.ends, places, "right"):
                 for i in {max(0, at - far), min(len(root.keys) - 1, at + far)}:

@@ -72,6 +72,26 @@ def test_repetition_decides_where_nothing_is_named(spark):
     assert all(t.startswith(f"story {i} ") and "\n" not in t for i, t in got.items())
 
 
+def test_unique_runs_inside_a_block_stay(spark):
+    tail = "printed with the kind permission of the owner of this fine site"
+    lead = "you are reading the paper of the town by the river"
+    pages = [f"<p>{lead} {i} is the story of day {i * 7} {tail}</p><p>{'own words %d ' % i * 5}</p>" for i in range(5)]
+    df = spark.createDataFrame([(i, "http://h.test/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in hx.extract(df).collect()}
+    assert got == {i: f"{i} is the story of day {i * 7}\n" + " ".join(["own words %d" % i] * 5) for i in range(5)}
+    off = {r.page_id: r.text for r in hx.extract(df, repeated=6).collect()}  # nothing is on six pages
+    assert all(lead in off[i] and tail in off[i] for i in range(5))
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert text("<div>" * 100_000 + "deep<p>x" * 2) == "deep\nxdeep\nx"
+    assert text("<p><b>" * 50_000 + "deep") == "deep"
+    assert time.perf_counter() - began < 20
+
+
 def test_articles_stay_whole_though_repeated(spark):
     body = "the same article with quite a few words in it that others copy"
     rows = [(i, "http://h.test/", f"<nav>menu</nav><article><p>{body} {i % 3}</article>", "x") for i in range(9)]
