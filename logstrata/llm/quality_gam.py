@@ -190,8 +190,10 @@ def _vectors(batch: pa.RecordBatch, text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000) -> Gam:
-    """Learns from at most ``max_rows`` labelled rows outside the held-out fold. Rows without a label or text are not learnt from."""
+    """Learns from at most ``max_rows`` labelled documents outside the held-out fold. Rows without a label or text are not
+    learnt from; of several labels of one id the least counts, and of several texts the one with the least features."""
     usable = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0.0, 1.0) & ~held_out(F.col("_id")))
+    usable = usable.groupBy("_id").agg(F.min("_y").alias("_y"))
     spread = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
     there = usable.count()
     if there > max_rows:
@@ -199,17 +201,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         usable = usable.where(spread < math.ceil((1 << 30) * 1.1 * max_rows / there)).orderBy(spread, "_id", "_y").limit(max_rows)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     rows = rows.join(F.broadcast(usable), "_id")  # of max_rows rows at most
-    schema = T.StructType([T.StructField(f, T.DoubleType()) for f in ("_id", "_y", *FEATURES)])
+    schema = T.StructType([rows.schema["_id"], *[T.StructField(f, T.DoubleType()) for f in ("_y", *FEATURES)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).cast(pa.float64()) for c in ("_id", "_y")]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("_id", "_y")]
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, _vectors(batch, "_text").T)], schema.fieldNames())
 
-    found = rows.mapInArrow(run, schema).toArrow()
-    data = np.column_stack([c.to_numpy() for c in found.columns]) if found.num_rows else np.zeros((0, 2 + len(FEATURES)))
+    # One row for each id before anything comes to the driver: max_rows at most.
+    found = rows.mapInArrow(run, schema).groupBy("_id").agg(F.min(F.struct("_y", *FEATURES)).alias("row")).select("row.*").toArrow()
+    data = np.column_stack([c.to_numpy() for c in found.columns]) if found.num_rows else np.zeros((0, 1 + len(FEATURES)))
     data = data[np.lexsort(data.T[::-1])]  # the order of rows must not change the sums
-    return train(data[:, 2:], data[:, 1])
+    return train(data[:, 1:], data[:, 0])
 
 
 def score(docs: DataFrame, model: Gam, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
