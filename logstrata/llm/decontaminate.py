@@ -8,12 +8,19 @@ whole, so every such place has an exact piece hit. An Aho-Corasick automaton
 finds all hits of all pieces in one pass over a text; each is verified with
 Myers' bit-parallel edit distance, first on up to 64 characters beside the
 piece (their distance can't exceed k either) and then on the whole item.
+
+A benchmark of more than ``block_chars`` characters is searched for in blocks, one
+after the other, with the rows written down between them, so that a worker holds
+the automaton of one block only.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -21,27 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logstrata.llm.scratch import Scratch
+
 _OTHER = re.compile(r"[\W_]+")
-HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-_ARROW_HIT = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+HIT = ("item_id", "distance", "start", "end")
 
 
 def normalise(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def places(text: str, start: int, end: int) -> tuple[int, int]:
-    """Where characters [start, end) of normalise(text) stand in ``text``; for matches only."""
+def origins(text: str) -> list[int]:
+    """For each character of normalise(text) where it stands in ``text``."""
     at: list[int] = []
     for i, c in enumerate(text):
-        low = c.lower()
-        if _OTHER.match(low[:1]):
-            if at and at[-1] >= 0:
+        for low in c.lower():  # some characters become two, the second of which may be a mark
+            if not _OTHER.match(low):
+                at.append(i)
+            elif at and at[-1] >= 0:
                 at.append(-1 - i)
-        else:
-            at.extend([i] * len(_OTHER.sub(" ", low)))
-    found = [x if x >= 0 else -1 - x for x in at[start:end]]
-    return (found[0], found[-1] + 1) if found else (0, 0)
+    return [x if x >= 0 else -1 - x for x in at]
 
 
 def masks(pattern: str) -> dict[str, int]:
@@ -80,8 +86,8 @@ class Matcher:
 
     SIDE = 64
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items: list[tuple[int, str, int, dict[str, int], dict[str, int]]] = []
+    def __init__(self, items: list[tuple], rate: float):
+        self.items: list[tuple] = []
         self.sides: dict[tuple[int, int, int], dict[str, int]] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
@@ -107,19 +113,21 @@ class Matcher:
             found = self.sides[n, a, b] = masks(self.items[n][1][a:b])
         return found
 
-    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
+    def hits(self, text: str) -> list[tuple]:
         """(item_id, distance, start, end) for each place, with offsets into ``text``. Of overlapping places of one item the nearest, then the first, stays."""
         if not len(self.automaton):
             return []
         plain = normalise(text)
         found: dict[int, list[tuple[int, int, int]]] = {}
+        exact: dict[int, tuple[int, int]] = {}  # the last place of each item without edits
         for last, (size, owners) in self.automaton.iter(plain):
             begin, stop = last + 1 - size, last + 1
             for n, offset in owners:
                 item_id, item, k, peq, reverse = self.items[n]
                 m, after = len(item), offset + size
                 mine = found.setdefault(n, [])
-                if any(s <= begin and stop <= e and d == 0 for d, s, e in mine):
+                s, e = exact.get(n, (0, 0))
+                if s <= begin and stop <= e:
                     continue
                 if m - after >= offset:  # the longer side of the piece
                     side = min(self.SIDE, m - after)
@@ -138,20 +146,30 @@ class Matcher:
                 back = window[:end][::-1]
                 start = end - search(reverse, m, back[: m + distance])[1]
                 mine.append((distance, low + start, low + end))
+                if not distance:
+                    exact[n] = mine[-1][1:]
         out = []
+        at_of = origins(text) if any(found.values()) else []
         for n, mine in found.items():
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # in order, apart
             for distance, s, e in sorted(set(mine)):
-                if all(e <= a or b <= s for a, b in taken):
-                    taken.append((s, e))
-                    out.append((self.items[n][0], distance, *places(text, s, e)))
+                at = bisect_left(taken, (s, e))
+                if (not at or taken[at - 1][1] <= s) and (at == len(taken) or e <= taken[at][0]):
+                    insort(taken, (s, e))
+                    out.append((self.items[n][0], distance, at_of[s], at_of[e - 1] + 1))
         return sorted(out, key=lambda h: (h[2], h[0], h[1], h[3]))
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, chars: int) -> Iterator[list[tuple[int, str]]]:
+@lru_cache(maxsize=1)
+def _matcher(block: bytes, rate: float) -> Matcher:
+    """Once per Python worker and block."""
+    return Matcher(pickle.loads(block), rate)
+
+
+def blocks(benchmark: DataFrame, item_id: str, text: str, chars: int) -> Iterator[list[tuple]]:
     """The items in blocks of at most ``chars`` characters (or one item), in the order of their ids."""
     block, size = [], 0
-    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long"), text).distinct().orderBy(item_id, text)
+    rows = benchmark.where(F.col(text).isNotNull()).select(item_id, text).distinct().orderBy(item_id, text)
     for row in rows.toLocalIterator():
         if block and size + len(row[1]) > chars:
             yield block
@@ -167,25 +185,32 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, tex
 
     A column of that name is replaced. Null and empty texts have no hits; null items and those
     without a letter or digit hit nothing; equal texts under two ids hit under both. Every text is
-    searched whole, inside the scan and without a shuffle. Items go to the tasks in blocks of
-    ``block_chars``; more items mean more passes over the rows, not larger tasks.
+    searched whole, inside the scan and without a shuffle. Items, whose ids may be of any type, go to
+    the tasks in blocks of ``block_chars``; more items mean more passes over the rows, not larger tasks.
     """
-    kept = docs.drop(hits).withColumn(hits, F.lit(None).cast(T.ArrayType(HIT)))
-    for block in blocks(benchmark, item_id, item_text, block_chars):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
+    kind = benchmark.schema[item_id].dataType
+    type_of = T.ArrayType(T.StructType([T.StructField(n, kind if n == "item_id" else T.IntegerType()) for n in HIT]))
+    kept = docs.drop(hits).withColumn(hits, F.lit(None).cast(type_of))
+    scratch: Scratch | None = None
+    for nth, block in enumerate(blocks(benchmark, item_id, item_text, block_chars)):
+        if nth:
+            scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
+            kept = scratch.table(kept, f"after-{nth}")
+            scratch.drop(f"after-{nth - 1}")
+
+        def run(batches: Iterator[pa.RecordBatch], block=pickle.dumps(block)) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(block, rate)
             for batch in batches:
                 at, to = batch.schema.get_field_index(text), batch.schema.get_field_index(hits)
                 found = []
                 for value, before in zip(batch.column(at), batch.column(to).to_pylist(), strict=True):
                     value = value.as_py()
-                    mine = [dict(zip(HIT.names, h, strict=True)) for h in matcher.hits(value)] if value else []
+                    mine = [dict(zip(HIT, h, strict=True)) for h in matcher.hits(value)] if value else []
                     found.append((before or []) + mine)
-                yield batch.set_column(to, batch.schema.field(to).name, pa.array(found, pa.list_(_ARROW_HIT)))
+                yield batch.set_column(to, batch.schema.field(to).name, pa.array(found, batch.schema.field(to).type))
 
         kept = kept.mapInArrow(run, kept.schema)
-    return kept.withColumn(hits, F.coalesce(hits, F.array().cast(T.ArrayType(HIT))))
+    return kept.withColumn(hits, F.coalesce(hits, F.array().cast(type_of)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:

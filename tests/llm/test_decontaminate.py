@@ -81,3 +81,29 @@ def test_very_long_text():
     item = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30))
     filler = " ".join("".join(rng.choices("ijklmnop", k=5)) for _ in range(60_000))
     assert [h[:2] for h in dc.Matcher([(1, item)], 0.08).hits(filler + " " + item)] == [(1, 0)]
+
+
+def test_offsets_after_characters_whose_lower_case_has_a_mark():
+    for text in ("İ abc def", "İİ  abc", "x İ-abc İabcİ", "ẞ abc Σ abcΣ"):
+        plain = dc.normalise(text)
+        for at in (i for i in range(len(plain)) if plain.startswith("abc", i)):
+            own = dc.origins(text)[at : at + 3]
+            assert text[own[0] : own[-1] + 1].lower() == "abc", (text, at)
+
+
+def test_ids_of_any_type_and_many_blocks(spark):
+    items = [(f"item-{i}", " ".join(f"{w}{i}" for w in ("the", "same", "words", "again", "and", "again"))) for i in range(5)]
+    bench = spark.createDataFrame([*items, (None, "an item without an id at all")], "item_id string, text string")
+    docs = spark.createDataFrame([(str(i), f"before {t} after {t}") for i, t in items] + [("x", "an item without an id at all"), ("none", None)], "doc_id string, text string")
+    one = sorted(map(str, dc.matches(docs, bench).collect()))
+    assert len(one) == 11 and one == sorted(map(str, dc.matches(docs, bench, block_chars=30).collect()))
+    assert [r.doc_id for r in dc.clean(docs, bench, block_chars=30).collect()] == ["none"]
+
+
+def test_long_repetitive_texts_take_linear_time():
+    import time
+
+    matcher = dc.Matcher([(1, "ab ab ab ab ab ab ab ab ab ab ab ab")], 0.08)
+    began = time.perf_counter()
+    assert len(matcher.hits("ab " * 60_000)) == 4000
+    assert time.perf_counter() - began < 60
