@@ -1,27 +1,32 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a ``.model`` file and composed lazily with
-each input:
+Three machines are compiled from a ``.model`` file into arrays:
 
 * the normaliser N: the dummy prefix, optional white-space folding and the
   escape of spaces to U+2581. Models with a compiled character map are refused
   unless their rule set is ``identity``.
-* the pieces P: one arc per vocabulary piece, matched through a dictionary of
-  surface forms, weighted in the tropical semiring.
+* the pieces P: states and arcs of a trie over characters (a hash table from
+  state and symbol to the next state), with the piece that ends in a state.
 * byte fallback B: one arc for a character that no piece spells, which emits
   the byte pieces of its UTF-8 form (or the unknown id where the model has no
   bytes).
 
-The encoding is the tropical shortest path through input o N o (P | B).
+Composing them with an input gives a lattice: a node for each place between two
+characters and an arc for each piece that is spelled there. Its shortest path in
+the tropical semiring is the encoding: the cost of a node is the least sum of the
+cost of a node before and the weight of the arc between. All segments of a batch
+of texts are composed and searched together, place by place.
 
-For unigram models the weight of an arc is the negated piece score. BPE models
-don't minimise a sum of scores: they merge by priority. Here P remembers the
-last piece as its state, and has an arc from state p to piece q only if merging
-the text pq from characters gives exactly (p, q). A path of such arcs exists
-for each prefix exactly once, and it is the BPE result: the first merge across
-a boundary would also have happened in the text of those two pieces alone,
-because merges are ordered by (score, position) and those inside the two pieces
-don't depend on the rest. So every position holds one state, and arcs weigh 1.
+For unigram models the weight of an arc is the negated piece score, in single
+precision as in the library. BPE models don't minimise a sum of scores: they
+merge by priority. Here the weight depends on the piece before: an arc weighs
+0 if BPE leaves a boundary between the two pieces, and is infinite if a merge
+would cross it. That is decided by the two pieces alone, because merges are
+ordered by (score, position) and those inside a piece don't depend on the rest:
+undoing the later of the last merges of either side, step by step, shows whether
+a pair across the boundary would have been merged before. A text has one path
+of finite cost, for each prefix as well, so a node needs the best piece before
+it only; and that path is the BPE result.
 
 Texts are cut before each U+2581 that follows another character, where no piece
 of the vocabulary spans the cut; the paths of equal segments are kept in a
@@ -31,9 +36,9 @@ bounded cache. A vocabulary with such a piece is not cut.
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +51,196 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 
-def _single(x: float) -> float:
-    return struct.unpack("f", struct.pack("f", x))[0]
+class Table:
+    """A hash table from non-negative integers to integers, looked up for whole arrays; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * max(1, keys.size) - 1).bit_length() + 1)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        left = np.arange(keys.size)
+        at = self._slot(keys)
+        while left.size:
+            free = self.keys[at[left]] < 0
+            slots, first = np.unique(at[left][free], return_index=True)
+            placed = left[free][first]
+            self.keys[slots], self.values[slots] = keys[placed], values[placed]
+            left = np.setdiff1d(left, placed)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while left.size:
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[left]]
+            same = there == keys[left]
+            out[left[same]] = self.values[at[left[same]]]
+            left = left[~same & (there >= 0)]
+        return out
+
+
+class Pieces:
+    """P: the trie of the pieces over symbols (numbered characters), and the weights of its arcs.
+
+    Pieces are numbered from 0, first those of the vocabulary; a character that is part of a piece and none itself is a
+    piece without an id. ``other`` stands for all characters that are in no piece.
+    """
+
+    def __init__(self, id_of: dict[str, int], score: list[float], *, merges: bool):
+        self.symbol = {c: i for i, c in enumerate(sorted({c for p in id_of for c in p}))}
+        self.symbol_of = np.full(0x110000, len(self.symbol), np.int32)  # by code point
+        self.symbol_of[[ord(c) for c in self.symbol]] = list(self.symbol.values())
+        names = [*id_of, *(c for c in self.symbol if c not in id_of)]
+        self.known, self.other = len(id_of), len(names)
+        self.ids = np.array([*id_of.values(), *[-1] * (len(names) - self.known + 1)], np.int64)
+        self.score = np.array([*(score[i] for i in id_of.values()), *[0.0] * (len(names) - self.known + 1)], np.float32)
+        number = {p: i for i, p in enumerate(names)}
+        self.alone = np.full(len(self.symbol) + 1, self.other)  # the piece of one symbol
+        for c, i in self.symbol.items():
+            self.alone[i] = number[c]
+        self.left, self.right = (np.full(len(names) + 1, -1, np.int64) for _ in range(2))
+        spelled = np.ones(len(names), bool)
+        if merges:
+            for piece, i in id_of.items():
+                n = number[piece]
+                if len(piece) > 1:
+                    last = self._last_merge(piece, id_of, score)
+                    spelled[n] = last is not None  # else merging never gives this piece
+                    if last:
+                        self.left[n], self.right[n] = (number[x] for x in last)
+            # The order of merges; characters are there from the start.
+            many = np.flatnonzero(self.left >= 0)
+            self.rank = np.full(len(names) + 1, -1, np.int64)
+            self.rank[many] = np.unique([-score[id_of[names[n]]] for n in many], return_inverse=True)[1]
+            if (self.rank[many] < np.maximum(self.rank[self.left[many]], self.rank[self.right[many]])).any():
+                raise ValueError("the scores of a BPE model have to be an order of merges: no whole before its parts")
+            pairs = {number[p[:k]] * (len(names) + 1) + number[p[k:]]: number[p] for p in (names[n] for n in many) for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+            self.merged = Table(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
+        keys, final, states = {}, [-1], 1
+        for n, piece in enumerate(names):
+            if n >= self.known or not spelled[n]:
+                continue
+            state = 0
+            for c in piece:
+                key = state * (len(self.symbol) + 1) + self.symbol[c]
+                if key not in keys:
+                    keys[key] = states
+                    final.append(-1)
+                    states += 1
+                state = keys[key]
+            final[state] = n
+        self.final, self.arcs = np.array(final, np.int64), Table(np.array(list(keys), np.int64), np.array(list(keys.values()), np.int64))
+
+    @staticmethod
+    def _last_merge(piece: str, id_of: dict[str, int], score: list[float]) -> tuple[str, str] | None:
+        """The two parts whose merge is the last one in the text of a piece, or None if merging ends before."""
+        parts = list(piece)
+        while True:
+            best = None
+            for k in range(len(parts) - 1):
+                i = id_of.get(parts[k] + parts[k + 1])
+                if i is not None and (best is None or score[i] > best[0]):
+                    best = (score[i], k)
+            if best is None:
+                return None
+            k = best[1]
+            if len(parts) == 2:
+                return parts[0], parts[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    def stay_apart(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Does merging the text of p and q leave the boundary between them?"""
+        width = self.other + 1
+        pairs, back = np.unique(p * width + q, return_inverse=True)
+        p, q = pairs // width, pairs % width
+        apart = np.ones(pairs.size, bool)
+        limit = np.full(pairs.size, np.iinfo(np.int64).max)
+        todo = np.arange(pairs.size)
+        while todo.size:
+            a, b = p[todo], q[todo]
+            both = self.merged.get(a * width + b)
+            crossed = (both >= 0) & (self.rank[both] < limit[todo])
+            apart[todo[crossed]] = False
+            todo, a, b = todo[~crossed], a[~crossed], b[~crossed]
+            # Before the later of the two last merges, the boundary had the inner part of its piece on that side. Of equal
+            # ones the left one was first.
+            ra, rb = self.rank[a], self.rank[b]
+            first = (ra > rb) & (self.left[a] >= 0) | (self.left[b] < 0)
+            done = (self.left[a] < 0) & (self.left[b] < 0)
+            limit[todo] = np.where(first, ra, rb + 1)
+            p[todo], q[todo] = np.where(first & ~done, self.right[a], a), np.where(~first & ~done, self.left[b], b)
+            todo = todo[~done]
+        return apart[back]
+
+
+class Lattice:
+    """Segments composed with P and B: nodes are places between characters, in the order of segments and places."""
+
+    def __init__(self, pieces: Pieces, segments: list[str]):
+        sizes = np.array([len(s) for s in segments], np.int64)
+        none = len(pieces.symbol)
+        text = pieces.symbol_of[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        owner = np.repeat(np.arange(sizes.size), sizes)
+        ends = np.cumsum(sizes)
+        self.first = ends - sizes + np.arange(sizes.size)  # the first node of each segment; it has one node more than characters
+        place = np.arange(text.size) - np.repeat(ends - sizes, sizes)
+        self.nodes = text.size + sizes.size
+        room = np.repeat(ends, sizes)
+        source, target, piece, spelled = [], [], [], np.zeros(text.size, bool)
+        state, at, d = np.zeros(text.size, np.int64), np.arange(text.size), 0
+        while at.size:  # all arcs that begin anywhere, a character further each time
+            state = pieces.arcs.get(state * (none + 1) + text[at + d])
+            alive = state >= 0
+            state, at, d = state[alive], at[alive], d + 1
+            found = pieces.final[state] >= 0
+            source.append(at[found])
+            target.append(at[found] + d)
+            piece.append(pieces.final[state][found])
+            if d == 1:
+                spelled[at[found]] = True
+            inside = at + d < room[at]
+            state, at = state[inside], at[inside]
+        bare = np.flatnonzero(~spelled)  # B
+        source, target, piece = (np.concatenate(x) for x in ([*source, bare], [*target, bare + 1], [*piece, pieces.alone[text[bare]]]))
+        base, end = np.concatenate([owner, [0]]), place[target - 1] + 1
+        order = np.lexsort((source, target, end))
+        source, target, self.piece = source[order], target[order], piece[order]
+        self.source, self.target = source + base[source], target + base[target - 1]
+        self.cuts = np.concatenate([[0], np.flatnonzero(np.diff(end[order])) + 1, [order.size]]) if order.size else np.zeros(1, np.int64)
+        self.last = self.first + sizes
+
+    def shortest(self, weight) -> tuple[np.ndarray, np.ndarray]:
+        """(node before, piece) of each node on its path of least cost; ``weight(piece before, piece)`` gives arrays of
+        single precision. Of equal sums the longest piece."""
+        cost, before, piece = np.full(self.nodes, np.inf, np.float32), np.full(self.nodes, -1, np.int64), np.full(self.nodes, -1, np.int64)
+        cost[self.first] = 0
+        for i, j in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            source, target, arc = self.source[i:j], self.target[i:j], self.piece[i:j]
+            total = cost[source] + weight(piece[source], arc)
+            group = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+            least = np.repeat(np.minimum.reduceat(total, group), np.diff(np.concatenate([group, [target.size]])))
+            hit = np.flatnonzero((total == least) & (total < np.inf))
+            hit = hit[np.concatenate([[True], target[hit][1:] != target[hit][:-1]])[: hit.size]]
+            cost[target[hit]], before[target[hit]], piece[target[hit]] = total[hit], source[hit], arc[hit]
+        return before, piece
+
+    def paths(self, weight) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of the segments' paths, the places where they end, and where the paths begin and end in these."""
+        before, piece = self.shortest(weight)
+        at, who, steps = self.last.copy(), np.arange(self.first.size), []
+        while at.size:
+            on = at > self.first[who]
+            at, who = at[on], who[on]
+            steps.append((who, piece[at], at - self.first[who]))
+            at = before[at]
+        who, pieces, ends = (np.concatenate([s[k] for s in steps][::-1]) if steps else np.empty(0, np.int64) for k in range(3))
+        order = np.argsort(who, kind="stable")
+        return pieces[order], ends[order], np.searchsorted(who[order], np.arange(self.first.size + 1))
 
 
 class SentencePieceFst:
@@ -69,22 +262,15 @@ class SentencePieceFst:
         self.dummy_prefix = spec.add_dummy_prefix
         self.fold_space = spec.remove_extra_whitespaces
         self.escape = spec.escape_whitespaces
-        self.id_of = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
-        self.score = [p.score for p in proto.pieces]
-        self.byte_ids: list[int] | None = [0] * 256
+        id_of = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        score = [p.score for p in proto.pieces]
         found = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.byte_ids = [found[f"<0x{b:02X}>"] for b in range(256)] if len(found) == 256 else None
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.unknown_surface = proto.trainer_spec.unk_surface.encode()
-        self._trie: dict = {}
-        for piece in self.id_of:
-            node = self._trie
-            for char in piece:
-                node = node.setdefault(char, {})
-            node[""] = piece
-        self.longest = max((len(p) for p in self.id_of), default=1)
-        self.min_score = min((self.score[i] for i in self.id_of.values()), default=0.0)
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.id_of)
+        self.pieces = Pieces(id_of, score, merges=self.kind == BPE)
+        self.weights = np.where(self.pieces.ids >= 0, -self.pieces.score, np.float32(10.0) - np.float32(min((score[i] for i in id_of.values()), default=0.0))).astype(np.float32)
+        inner = any(SPACE in p.lstrip(SPACE) for p in id_of)
         self.cut = None if inner else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         #: What each id spells when decoded.
         self.bytes_of = [b""] * len(proto.pieces)
@@ -98,7 +284,6 @@ class SentencePieceFst:
         self.cache_size = cache_size
         self._paths: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
-        self._arcs: dict[tuple[str, str], bool] = {}
 
     # N
     def normalise(self, text: str) -> str:
@@ -108,130 +293,64 @@ class SentencePieceFst:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
-    # P: arcs of a BPE model
-    def _merged(self, text: str) -> list[str]:
-        """Merges by (score, position) from single characters; for short texts only."""
-        parts = list(text)
-        while True:
-            best = None
-            for k in range(len(parts) - 1):
-                i = self.id_of.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best[0]):
-                    best = (self.score[i], k)
-            if best is None:
-                return parts
-            k = best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-
-    def _arc(self, last: str, piece: str) -> bool:
-        key = (last, piece)
-        found = self._arcs.get(key)
-        if found is None:
-            if len(self._arcs) >= 2 * self.cache_size:
-                self._arcs.clear()
-            found = self._arcs[key] = self._merged(last + piece) == [*([last] if last else []), piece]
+    def _weight(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        if self.kind == UNIGRAM:
+            return self.weights[piece]
+        found = np.zeros(piece.size, np.float32)
+        inner = np.flatnonzero(before >= 0)
+        found[inner[~self.pieces.stay_apart(before[inner], piece[inner])]] = np.inf
         return found
 
-    def _path_bpe(self, text: str) -> tuple[int, ...]:
-        """Depth first, longest arc first: a position is reached with one state only, so at most
-        once, and the accepting path is the only one."""
-        n, trie, arcs, id_of = len(text), self._trie, self._arcs, self.id_of
-        dead: set[int] = set()
-        path: list[str] = []
-        open_arcs: list[list[str]] = []
-        i = 0
-        while i < n:
-            node, found = trie, []
-            for j in range(i, n):
-                node = node.get(text[j])
-                if node is None:
-                    break
-                if "" in node:
-                    found.append(node[""])
-            if text[i] not in id_of:
-                found.append(text[i])  # B
-            last = path[-1] if path else ""
-            while True:
-                while found:
-                    piece = found.pop()
-                    if i + len(piece) in dead:
-                        continue
-                    fits = arcs.get((last, piece))
-                    if fits or fits is None and self._arc(last, piece):
-                        break
-                else:  # no arc leaves this state
-                    dead.add(i)
-                    piece = path.pop()
-                    i -= len(piece)
-                    found = open_arcs.pop()
-                    last = path[-1] if path else ""
-                    continue
-                break
-            path.append(piece)
-            open_arcs.append(found)
-            i += len(piece)
-        out: list[int] = []
-        for piece in path:
-            k = id_of.get(piece)
-            if k is None:
-                out.extend(self._emit(piece))
-            else:
-                out.append(k)
-        return tuple(out)
-
-    def _emit(self, piece: str) -> list[int]:
-        i = self.id_of.get(piece)
-        if i is not None:
-            return [i]
-        return [self.unknown] if self.byte_ids is None else [self.byte_ids[b] for b in piece.encode()]
-
-    def _path_unigram(self, text: str) -> tuple[int, ...]:
-        n, id_of, longest = len(text), self.id_of, self.longest
-        cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        unknown_cost = _single(10.0 - self.min_score)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                k = id_of.get(text[i:j])
-                weight = -self.score[k] if k is not None else unknown_cost if i == j - 1 else None
-                # Sums are of single precision: among equal ones, it decides as the library does.
-                total = None if weight is None else _single(cost[i] + weight)
-                if total is not None and total < cost[j]:
-                    cost[j], back[j] = total, i
-        cuts = [n]
-        while cuts[-1]:
-            cuts.append(back[cuts[-1]])
-        cuts.reverse()
-        out: list[int] = []
-        unknown = False
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            known = text[i:j] in id_of
-            if known or self.byte_ids is not None or not unknown:  # a run of unknowns is one id
-                out.extend(self._emit(text[i:j]))
+    def _emit(self, segment: str, pieces: list[int], ends: list[int]) -> tuple[int, ...]:
+        """The ids of a path with characters without a piece: these become bytes, or one unknown for a run of them."""
+        out, unknown = [], False
+        for n, end in zip(pieces, ends, strict=True):
+            known = n >= 0
+            if known:
+                out.append(n)
+            elif self.byte_ids is not None:
+                out.extend(self.byte_ids[b] for b in segment[end - 1].encode())
+            elif not unknown or self.kind == BPE:
+                out.append(self.unknown)
             unknown = not known
         return tuple(out)
 
-    def _path(self, segment: str) -> tuple[int, ...]:
-        """The path of a segment that the newer half of the cache doesn't have."""
-        found = self._older.get(segment)
-        if found is None:
-            found = self._path_bpe(segment) if self.kind == BPE else self._path_unigram(segment)
-            if len(segment) > 64:  # rare: not worth a place
-                return found
-        if len(self._paths) >= self.cache_size // 2:  # what wasn't met since the last time goes
-            self._older, self._paths = self._paths, {}
-        self._paths[segment] = found
+    def _search(self, segments: list[str]) -> dict[str, tuple[int, ...]]:
+        """The paths of segments, searched together; the cache takes the short ones."""
+        found: dict[str, tuple[int, ...]] = {}
+        for at in range(0, len(segments), 20_000):
+            part = segments[at : at + 20_000]
+            pieces, ends, stops = Lattice(self.pieces, part).paths(self._weight)
+            ids = self.pieces.ids[pieces]
+            plain, stops = ids.tolist(), stops.tolist()
+            found.update(zip(part, (tuple(plain[a:b]) for a, b in zip(stops, stops[1:], strict=False)), strict=True))
+            for n in np.unique(np.searchsorted(stops, np.flatnonzero(ids < 0), "right") - 1).tolist():
+                a, b = stops[n], stops[n + 1]
+                found[part[n]] = self._emit(part[n], plain[a:b], ends[a:b].tolist())
+        for s, path in found.items():
+            if len(s) <= 64:  # longer ones are rare: not worth a place
+                if len(self._paths) >= self.cache_size // 2:  # what wasn't met since the last time goes
+                    self._older, self._paths = self._paths, {}
+                self._paths[s] = path
         return found
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        cut = [self.cut.findall(t) if self.cut else [t] if t else [] for t in map(self.normalise, texts)]
+        here: dict[str, tuple[int, ...]] = {}
+        new: list[str] = []
+        for s in dict.fromkeys(chain.from_iterable(cut)):
+            path = self._paths.get(s)
+            if path is None and (path := self._older.get(s)) is not None:
+                self._paths[s] = path
+            if path is None:
+                new.append(s)
+            else:
+                here[s] = path
+        here.update(self._search(new))
+        return [list(chain.from_iterable(map(here.__getitem__, own))) for own in cut]
+
     def encode(self, text: str) -> list[int]:
-        text = self.normalise(text)
-        get, path, out = self._paths.get, self._path, []
-        for segment in self.cut.findall(text) if self.cut else [text] if text else []:
-            found = get(segment)
-            if found is None:
-                found = path(segment)
-                get = self._paths.get
-            out += found
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes_of
@@ -265,8 +384,9 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", *, decoded:
                 batch = whole.slice(at, 256)
                 ids, ends, same, back = [], [0], [], []
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                encoded = iter(fst.encode_all([t for t in texts if t is not None]))
                 for value in texts:
-                    mine = [] if value is None else fst.encode(value)
+                    mine = [] if value is None else next(encoded)
                     ids.append(np.array(mine, dtype=np.int32))
                     ends.append(ends[-1] + len(mine))
                     plain = None if value is None else fst.decode(mine)

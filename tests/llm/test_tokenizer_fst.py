@@ -69,6 +69,9 @@ def test_unsupported_models_fail():
     proto.trainer_spec.model_type = 3
     with pytest.raises(ValueError):
         fst.SentencePieceFst(proto.SerializeToString())
+    for scores in ([-5, -5, -2, -1],):  # a whole that is merged before its part
+        with pytest.raises(ValueError, match="order of merges"):
+            fst.Pieces({p: i for i, p in enumerate(("a", "b", "ab", "aba"))}, scores, merges=True)
 
 
 def test_rows(spark, model):
@@ -85,3 +88,66 @@ def test_rows(spark, model):
             assert (r.n_ids, r.decoded_text) == (len(r.ids), theirs.decode(theirs.encode(t)))
             assert r.round_trip == (r.decoded_text == t)
     assert fst.encode_decode(df.limit(0), model).count() == 0
+
+
+def merged(text, score):
+    """Merging as it is defined: the best score, then the leftmost, until nothing merges."""
+    parts = list(text)
+    while True:
+        found = [(-score[parts[k] + parts[k + 1]], k) for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in score]
+        if not found:
+            return parts
+        k = min(found)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_shortest_paths_of_random_vocabularies():
+    """Against merging, and against all ways to spell a text; with pieces that merging never gives and
+    characters that are in pieces only."""
+    import itertools
+    from collections import Counter
+
+    tested = Counter()
+    for seed in range(150):
+        rng, ties = random.Random(seed), 1 + 2 * (seed % 2)
+        names = rng.sample("abc", 2)  # one character is in pieces only
+        for _ in range(rng.randrange(1, 20)):
+            names.append(rng.choice([*names, *"abc"]) + rng.choice([*names, *"abc"]))
+        names = list(dict.fromkeys(n for n in names if len(n) < 7))
+        score = {p: -float(i // ties) for i, p in enumerate(names)}
+        id_of, scores = {p: i for i, p in enumerate(names)}, [score[p] for p in names]
+        texts = ["".join(rng.choices("abcd", k=rng.randrange(1, 9))) for _ in range(30)]
+        for merges in (True, False):
+            try:
+                pieces = fst.Pieces(id_of, scores, merges=merges)
+            except ValueError:
+                continue  # refused
+            tested[merges, ties] += 1
+
+            def weight(before, piece, pieces=pieces, merges=merges):
+                if not merges:
+                    return fst.np.where(pieces.ids[piece] >= 0, -pieces.score[piece], 10.0).astype("f4")
+                inner = before >= 0
+                out = fst.np.zeros(piece.size, "f4")
+                out[inner] = fst.np.where(pieces.stay_apart(before[inner], piece[inner]), 0, fst.np.inf)
+                return out
+
+            _, ends, stops = fst.Lattice(pieces, texts).paths(weight)
+            for text, a, b in zip(texts, stops, stops[1:], strict=False):
+                got = [text[i:j] for i, j in itertools.pairwise([0, *ends[a:b].tolist()])]
+                if merges:
+                    assert got == merged(text, score), (seed, text)
+                else:
+                    cost = lambda parts, score=score: sum(-score[p] if p in score else 10 if len(p) == 1 else 1e9 for p in parts)
+                    every = ([text[i:j] for i, j in itertools.pairwise([0, *cuts, len(text)])] for n in range(len(text)) for cuts in itertools.combinations(range(1, len(text)), n))
+                    assert cost(got) == min(map(cost, every)), (seed, text)
+    assert len(tested) == 4 and min(tested.values()) > 30
+
+
+def test_hash_tables():
+    rng = fst.np.random.default_rng(5)
+    keys = fst.np.unique(rng.integers(0, 1 << 40, 5000))
+    table = fst.Table(keys, fst.np.arange(keys.size))
+    assert (table.get(keys) == fst.np.arange(keys.size)).all()
+    assert (table.get(keys + 1)[~fst.np.isin(keys + 1, keys)] == -1).all()
+    assert fst.Table(keys[:0], keys[:0]).get(keys).max() == -1
