@@ -590,7 +590,7 @@ def _root(spark: SparkSession, name: str) -> str:
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
+    if shared is None and (spark.sparkContext.master + "[").split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     shared = shared or tempfile.mkdtemp(prefix="logstrata-")
     root = f"{shared.rstrip('/')}/logstrata-{name}-{uuid.uuid4().hex}"
