@@ -58,14 +58,19 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-#: Of the pseudonyms; a deployment passes its own secret.
+#: Of the pseudonyms, where the session doesn't set ``PII_KEY_CONF``; a deployment sets its own secret.
 PII_KEY = "an example key, not a secret"
+PII_KEY_CONF = "spark.logstrata.pii.key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_KEY_CONF, PII_KEY)
 
 
 def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logstrata.llm.pii_feistel import pseudonymise
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op7_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

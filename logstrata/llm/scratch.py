@@ -2,8 +2,8 @@
 
 A stage whose result is read more than once is written there as Parquet: that
 cuts its lineage, survives lost executors and is computed once. The folder is
-the session's ``spark.checkpoint.dir``; only where that is unset (local tests)
-a temporary folder of the driver is set as the checkpoint folder.
+the session's ``spark.checkpoint.dir``; only where that is unset and the session
+is in local mode (tests) a temporary folder is set as the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def folder(spark: SparkSession) -> str:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if found is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="logstrata-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")
