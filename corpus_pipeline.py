@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstrata.llm import decontaminate, ngram_join, pii_feistel, quality_gam, tokenizer_fst
-from logstrata.llm.registry import PII_KEY, TOKENIZERS, table
+from logstrata.llm.registry import TOKENIZERS, pii_key, table
 from logstrata.llm.scratch import Scratch
 
 
@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data; n_chars follows a text that changed."""
-    changed = pii_feistel.pseudonymise(docs, PII_KEY, count="__changed")
+    changed = pii_feistel.pseudonymise(docs, pii_key(spark), count="__changed")
     n_chars = F.when(F.col("__changed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return changed.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
