@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logstrata.llm.scratch import Scratch
+from logstrata.llm.scratch import Scratch, give_back
 
 _OTHER = re.compile(r"[\W_]+")
 HIT = ("item_id", "distance", "start", "end")
@@ -208,6 +208,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, tex
                     mine = [dict(zip(HIT, h, strict=True)) for h in matcher.hits(value)] if value else []
                     found.append((before or []) + mine)
                 yield batch.set_column(to, batch.schema.field(to).name, pa.array(found, batch.schema.field(to).type))
+            give_back()
 
         kept = kept.mapInArrow(run, kept.schema)
     return kept.withColumn(hits, F.coalesce(hits, F.array().cast(type_of)))

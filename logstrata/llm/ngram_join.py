@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.llm.components import components
-from logstrata.llm.scratch import Scratch, join_back, partitions
+from logstrata.llm.scratch import Scratch, give_back, join_back, partitions
 
 WORDS = 5
 #: Tokens of a task's buffer, tokens of a bucket on average, documents of a buffer that make a token hot.
@@ -133,6 +133,7 @@ def measure(docs: DataFrame, text: str) -> DataFrame:
             kept = [batch.column(batch.schema.get_field_index(f.name)) for f in others]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], out.fieldNames())
         _words.clear()  # the worker goes on to other tasks
+        give_back()
 
     return docs.mapInArrow(run, out)
 
@@ -246,6 +247,7 @@ def deal_tokens(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(buffer.deal(), _DEAL_ARROW)
         yield pa.RecordBatch.from_pylist(buffer.deal(), _DEAL_ARROW)
         _words.clear()  # the worker goes on to other tasks
+        give_back()
 
     return docs.select(text).mapInArrow(run, _DEAL)
 
@@ -308,7 +310,10 @@ def _shared(buckets: int):
                 own = keys[part]
                 first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 rows.append({"home": int(h), "keys": own[first].tobytes(), "counts": np.diff(np.r_[first, own.size]).astype(np.int32).tobytes(), "names": names[part].tobytes(), "classes": rank[part].tobytes()})
-        return pa.Table.from_pylist(rows, _BACK_ARROW)
+        out = pa.Table.from_pylist(rows, _BACK_ARROW)
+        del rows
+        give_back()
+        return out
 
     return run
 
@@ -603,6 +608,7 @@ def candidates(place: DataFrame, nodes: DataFrame, percent: int, *, all_of_them:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bucket", "nodes", "rows", "sign2", "sign3"])
 
     def pair(table: pa.Table) -> pa.Table:
+        give_back()
         blobs = [np.frombuffer(v.as_py(), _NODE) for v in table.column("nodes")]
         parts = [np.frombuffer(v.as_py(), _POSTING).copy() for v in table.column("rows")]
         before = 0

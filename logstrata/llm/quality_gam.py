@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logstrata.llm.scratch import give_back
+
 FEATURES = (
     "log_bytes", "log_words", "bytes_per_word", "upper_share", "digit_share", "symbols_per_word", "pipes_per_word", "shouts_per_word",
     "marks_per_word", "stops_per_word", "distinct_words", "top_word_share", "repeated_lines", "words_per_line", "wide_share", "entropy", "longest_word",
@@ -207,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("_id", "_y")]
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, _vectors(batch, "_text").T)], schema.fieldNames())
+        give_back()
 
     # One row for each id before anything comes to the driver: max_rows at most.
     found = rows.mapInArrow(run, schema).groupBy("_id").agg(F.min(F.struct("_y", *FEATURES)).alias("row")).select("row.*").toArrow()
@@ -226,6 +229,7 @@ def score(docs: DataFrame, model: Gam, *, doc_id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(_vectors(batch, text)))], schema.fieldNames())
+        give_back()
 
     scored = kept.mapInArrow(run, schema)
     return scored.withColumns({"held_out": held_out(F.col(doc_id)), "predicted": (F.col("score") >= threshold).cast("int")})

@@ -8,9 +8,12 @@ is in local mode (tests) a temporary folder is set as the checkpoint folder.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,5 +66,14 @@ def join_back(rows: DataFrame, summary: DataFrame, key: str, *, beside: tuple[st
     return rows.withColumn("__join_key", other).join(summary.withColumn("__join_key", other).drop(key), ["__join_key", *beside], how).drop("__join_key")
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system: the worker lives on between tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

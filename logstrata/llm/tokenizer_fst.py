@@ -45,6 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from logstrata.llm.scratch import give_back
+
 SPACE = "▁"
 #: Piece types of the public model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -246,7 +248,7 @@ class Lattice:
 class SentencePieceFst:
     """The compiled machines of one model."""
 
-    def __init__(self, model: bytes, cache_size: int = 300_000):
+    def __init__(self, model: bytes, cache_size: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -318,8 +320,8 @@ class SentencePieceFst:
     def _search(self, segments: list[str]) -> dict[str, tuple[int, ...]]:
         """The paths of segments, searched together; the cache takes the short ones."""
         found: dict[str, tuple[int, ...]] = {}
-        for at in range(0, len(segments), 20_000):
-            part = segments[at : at + 20_000]
+        for at in range(0, len(segments), 4_000):
+            part = segments[at : at + 4_000]
             pieces, ends, stops = Lattice(self.pieces, part).paths(self._weight)
             ids = self.pieces.ids[pieces]
             plain, stops = ids.tolist(), stops.tolist()
@@ -396,5 +398,6 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", *, decoded:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 columns = [*batch.columns, lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(back, pa.string())] * decoded, [*batch.schema.names, *added])
+        give_back()
 
     return kept.mapInArrow(run, schema)
