@@ -68,7 +68,7 @@ def _grams(host: str, path: str, sizes: tuple[int, ...], buckets: int) -> np.nda
     return np.fromiter(sorted(found), np.int64, len(found))
 
 
-def train(block: list[str], allow: list[str], *, sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 16, prior: float = 0.3, l2: float = 0.0002, rounds: int = 3000, rate: float = 2.0) -> UrlModel:
+def train(block: list[str], allow: list[str], *, sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 16, prior: float = 0.3, l2: float = 5e-6, rounds: int = 12_000, rate: float = 8.0) -> UrlModel:
     """Full-batch descent with a ridge penalty and even odds; rows of both labels weigh the same in sum.
 
     Then the intercept gives the odds of ``prior``, a share of bad URLs in a crawl: a URL of unseen

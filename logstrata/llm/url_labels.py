@@ -1,109 +1,32 @@
-"""A small table of invented URLs with labels, from which the URL filter learns."""
+"""A labelled table of invented URLs, from which the URL filter learns, made by a rule from two lists of words.
 
-#: Rows that a crawl should not keep.
-BLOCK = """
-http://casino-palace.test/en/12
-https://www.casino-royal-win.test/fr/881?page=2
-https://blog.lucky-casino.test/de/4.html
-http://online-casino.test/es/77/
-http://win-big-casino.test/
-https://m.casinowin.test/en/3#top
-https://www.poker-room.test/en/901
-http://free-poker.test/de/18
-https://slots-jackpot.test/en/5
-http://www.jackpot-win.test/fr/61/
-https://free-bets.test/en/44
-http://m.bets-today.test/es/9.html
-https://sports-betting.test/en/7?utm_source=feed
-http://blog.best-bets.test/fr/310
-https://cheap-pills.test/en/450
-http://www.pills-online.test/de/71/
-https://blog.discount-pills.test/es/8
-http://buy-viagra-pills.test/en/2
-https://cheap-pharmacy.test/en/66
-http://www.cheap-meds.test/fr/15
-https://spam-farm.test/en/728
-http://www.link-farm.test/de/3
-https://blog.spam-links.test/en/91.html
-http://seo-spam.test/es/20
-https://m.spamblog.test/fr/6#top
-http://content-farm.test/en/17
-https://ads-track.test/en/584
-http://www.ads-server.test/fr/40
-https://m.ad-tracker.test/en/33
-http://track-click.test/de/2?utm_source=feed
-https://click-ads.test/en/61
-http://popup-ads.test/es/5
-https://adult-x.test/en/57
-http://www.adult-cams.test/de/12
-https://blog.xxx-adult.test/fr/8
-http://free-porn-x.test/en/4
-https://porn-tube.test/es/1
-http://m.sex-cams.test/en/90
-https://xxx-video.test/en/2.html
-http://free-prize-win.test/en/3
-https://www.lottery-winner.test/fr/22
-http://payday-loans.test/en/10
-https://fast-cash-loans.test/de/7
-http://www.crack-keygen.test/en/1
-https://warez-download.test/en/81
-http://torrent-crack.test/es/6
-""".split()
+Each word stands in several hosts, beside words a fixed number of places on, so that a
+host that is held out is made of words that others have. No host is taken from a crawl.
+"""
 
-#: Rows that a crawl should keep.
-ALLOW = """
-https://www.daily-news.test/en/12
-http://news.harbour.test/fr/881?page=2
-https://blog.gardening.test/de/4.html
-http://wiki.orchard.test/es/77/
-http://library.test/
-https://m.weather.test/en/3#top
-https://www.university.test/en/901
-http://physics.university.test/de/18
-https://museum.test/en/5
-http://www.townhall.test/fr/61/
-https://recipes.test/en/44
-http://m.railways.test/es/9.html
-https://docs.compiler.test/en/7?utm_source=feed
-http://blog.thinking.test/fr/310
-https://thether.test/en/450
-http://www.onther.test/de/71/
-https://blog.theration.test/es/8
-http://thinder.test/en/2
-https://eronter.test/en/66
-http://www.thesting.test/fr/15
-https://thention.test/en/728
-http://www.thorest.test/de/3
-https://blog.andering.test/en/91.html
-http://thatre.test/es/20
-https://m.hesting.test/fr/6#top
-http://therand.test/en/17
-https://thandes.test/en/584
-http://www.tionent.test/fr/40
-https://m.theble.test/en/33
-http://rivers.test/de/2?utm_source=feed
-https://history.test/en/61
-http://school.test/es/5
-https://astronomy.test/en/57
-http://www.bakery.test/de/12
-https://blog.travels.test/fr/8
-http://mathematics.test/en/4
-https://journal.test/es/1
-http://m.hospital.test/en/90
-https://archive.test/en/2.html
-http://painting.test/en/3
-https://www.theatre.test/fr/22
-http://engineer.test/en/10
-https://forest.test/de/7
-http://www.parliament.test/en/1
-https://handbook.test/en/81
-http://concert.test/es/6
-https://blog.thertion.test/es/978?page=2
-http://ththed.test/en/453
-https://www.ththen.test/en/148
-http://thering.test/en/328/
-https://m.ththth.test/en/25
-http://theran.test/fr/10
-https://tionsh.test/fr/825
-http://therwh.test/de/180/
-""".split()
+from __future__ import annotations
+
+#: Subjects of hosts that a crawl should not keep, and of those that it should.
+BAD = "casino poker slots jackpot roulette bingo bets betting wager lottery viagra cialis pills pharmacy meds steroids spam seo backlinks linkfarm ads popup tracker clicks banners adult porn xxx sex cams nude escort payday loans fastcash crack keygen warez torrent serials phishing malware replica prize winner giveaway cheap free win".split()
+GOOD = (
+    "news weather garden library museum university school history physics mathematics chemistry biology astronomy geology poetry novel theatre concert orchestra painting sculpture cinema travel railway harbour airport hospital clinic recipes kitchen bakery orchard farmers forest river mountain island parliament council townhall court journal archive handbook manual compiler kernel "
+    "database science health sports football cycling chess language dictionary grammar festival market craft pottery weaving carpenter engineer bridge energy climate ocean birds insects"
+).split()
+#: Words that either kind of host has.
+NEUTRAL = "new old online today world my the city club blog".split()
+_SCHEMES, _FRONTS, _PATHS = ("http://", "https://"), ("", "www.", "m.", "blog."), ("/en/{}", "/fr/{}?page=2", "/de/{}.html", "/es/{}/", "/", "/en/{}#top", "/{}", "/de/{}?utm_source=feed", "/news/{}")
+
+
+def rows(words: list[str], top: str = "test") -> list[str]:
+    """Six URLs for each word: alone, beside neutral words, and beside or run together with words of its list."""
+    found = []
+    for i, word in enumerate(words):
+        near, far = words[(i + 7) % len(words)], words[(i + 19) % len(words)]
+        hosts = (word, f"{NEUTRAL[i % len(NEUTRAL)]}-{word}", f"{word}-{NEUTRAL[(i + 3) % len(NEUTRAL)]}", f"{word}-{near}", f"{far}{word}", f"{word}{NEUTRAL[(i + 6) % len(NEUTRAL)]}")
+        for j, host in enumerate(hosts):
+            n = 6 * i + j
+            found.append(_SCHEMES[n % 2] + _FRONTS[n // 2 % 4] + host + "." + top + _PATHS[n % len(_PATHS)].format(7 * n % 31))
+    return found
+
+
+BLOCK, ALLOW = rows(BAD), rows(GOOD)
