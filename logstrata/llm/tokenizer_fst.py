@@ -137,6 +137,9 @@ class Pieces:
                 state = keys[key]
             final[state] = n
         self.final, self.arcs = np.array(final, np.int64), Table(np.array(list(keys), np.int64), np.array(list(keys.values()), np.int64))
+        self.root = self.arcs.get(np.arange(len(self.symbol) + 1))
+        # Pairs met before, where their hash has room: the pair, doubled, plus whether its boundary stays.
+        self.met = np.full(1 << 18, -1, np.int64)
 
     @staticmethod
     def _last_merge(piece: str, id_of: dict[str, int], score: list[float]) -> tuple[str, str] | None:
@@ -158,8 +161,20 @@ class Pieces:
     def stay_apart(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Does merging the text of p and q leave the boundary between them?"""
         width = self.other + 1
-        pairs, back = np.unique(p * width + q, return_inverse=True)
-        p, q = pairs // width, pairs % width
+        pairs = p * width + q
+        slot = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        known = self.met[slot]
+        out = (known & 1).astype(bool)
+        new = np.flatnonzero(known >> 1 != pairs)
+        if new.size:
+            fresh, back = np.unique(pairs[new], return_inverse=True)
+            found = self._stay_apart(fresh // width, fresh % width, width)
+            out[new] = found[back]
+            self.met[slot[new]] = pairs[new] << 1 | out[new]
+        return out
+
+    def _stay_apart(self, p: np.ndarray, q: np.ndarray, width: int) -> np.ndarray:
+        pairs = p
         apart = np.ones(pairs.size, bool)
         limit = np.full(pairs.size, np.iinfo(np.int64).max)
         todo = np.arange(pairs.size)
@@ -177,7 +192,7 @@ class Pieces:
             limit[todo] = np.where(first, ra, rb + 1)
             p[todo], q[todo] = np.where(first & ~done, self.right[a], a), np.where(~first & ~done, self.left[b], b)
             todo = todo[~done]
-        return apart[back]
+        return apart
 
 
 class Lattice:
@@ -196,7 +211,7 @@ class Lattice:
         source, target, piece, spelled = [], [], [], np.zeros(text.size, bool)
         state, at, d = np.zeros(text.size, np.int64), np.arange(text.size), 0
         while at.size:  # all arcs that begin anywhere, a character further each time
-            state = pieces.arcs.get(state * (none + 1) + text[at + d])
+            state = pieces.arcs.get(state * (none + 1) + text[at + d]) if d else pieces.root[text]
             alive = state >= 0
             state, at, d = state[alive], at[alive], d + 1
             found = pieces.final[state] >= 0
@@ -248,7 +263,7 @@ class Lattice:
 class SentencePieceFst:
     """The compiled machines of one model."""
 
-    def __init__(self, model: bytes, cache_size: int = 200_000):
+    def __init__(self, model: bytes, cache_size: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -318,10 +333,10 @@ class SentencePieceFst:
         return tuple(out)
 
     def _search(self, segments: list[str]) -> dict[str, tuple[int, ...]]:
-        """The paths of segments, searched together; the cache takes the short ones."""
+        """The paths of segments, searched together."""
         found: dict[str, tuple[int, ...]] = {}
-        for at in range(0, len(segments), 4_000):
-            part = segments[at : at + 4_000]
+        for at in range(0, len(segments), 8_000):
+            part = segments[at : at + 8_000]
             pieces, ends, stops = Lattice(self.pieces, part).paths(self._weight)
             ids = self.pieces.ids[pieces]
             plain, stops = ids.tolist(), stops.tolist()
@@ -329,27 +344,23 @@ class SentencePieceFst:
             for n in np.unique(np.searchsorted(stops, np.flatnonzero(ids < 0), "right") - 1).tolist():
                 a, b = stops[n], stops[n + 1]
                 found[part[n]] = self._emit(part[n], plain[a:b], ends[a:b].tolist())
-        for s, path in found.items():
-            if len(s) <= 64:  # longer ones are rare: not worth a place
-                if len(self._paths) >= self.cache_size // 2:  # what wasn't met since the last time goes
-                    self._older, self._paths = self._paths, {}
-                self._paths[s] = path
         return found
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         cut = [self.cut.findall(t) if self.cut else [t] if t else [] for t in map(self.normalise, texts)]
-        here: dict[str, tuple[int, ...]] = {}
-        new: list[str] = []
-        for s in dict.fromkeys(chain.from_iterable(cut)):
-            path = self._paths.get(s)
-            if path is None and (path := self._older.get(s)) is not None:
-                self._paths[s] = path
-            if path is None:
-                new.append(s)
-            else:
-                here[s] = path
-        here.update(self._search(new))
-        return [list(chain.from_iterable(map(here.__getitem__, own))) for own in cut]
+        if len(self._paths) >= self.cache_size // 2:  # what wasn't met since the last time goes
+            self._older, self._paths = self._paths, {}
+        new = set(chain.from_iterable(cut)).difference(self._paths)
+        again = new.intersection(self._older)
+        self._paths.update(zip(again, map(self._older.__getitem__, again), strict=True))
+        found = self._search(list(new - again))
+        self._paths.update(found)
+        get = self._paths.__getitem__
+        out = [list(chain.from_iterable(map(get, own))) for own in cut]
+        for s in found:
+            if len(s) > 64:  # rare: not worth a place
+                del self._paths[s]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
@@ -366,6 +377,18 @@ def compiled(model: bytes) -> SentencePieceFst:
     return SentencePieceFst(model)
 
 
+def _portions(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``chars`` characters at most, or one text."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > chars:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    yield part
+
+
 def encode_decode(docs: DataFrame, model: bytes, text: str = "text", *, decoded: bool = False) -> DataFrame:
     """Adds ``ids`` array<int>, ``n_ids`` and ``round_trip`` (does decoding give the text back),
     with ``decoded`` also ``decoded_text``.
@@ -382,11 +405,11 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", *, decoded:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = compiled(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 ids, ends, same, back = [], [0], [], []
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                encoded = iter(fst.encode_all([t for t in texts if t is not None]))
+                encoded = chain.from_iterable(map(fst.encode_all, _portions([t for t in texts if t is not None])))
                 for value in texts:
                     mine = [] if value is None else next(encoded)
                     ids.append(np.array(mine, dtype=np.int32))
