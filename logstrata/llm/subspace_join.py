@@ -9,13 +9,15 @@ block is range-joined under its budget, and the union of what is found is
 verified by the cosine in double precision. A pair is counted in the first
 block that is within budget, so nothing is collected to be made distinct.
 
-The range join of a block lays a grid on its first coordinates, halved at the
-median of the sample that fixes the grid (any cuts give the same result). A
-vector is a target in its own cell and a probe in each cell after its own that
-is within reach of it. The number of halved coordinates grows with the number
-of vectors, so cells keep their size. A crowded cell (many near copies) is
-dealt out in chunks of targets. Tasks return counts of links per vector and a
-spanning forest of their links, never the pairs.
+The range join of a block lays a grid on its coordinates, cut at quantiles of the
+sample that fixes the grid (any cuts give the same result): first each coordinate
+in two, then in four and so on. A vector is a target in its own cell and a probe
+in each cell after its own that is within reach of it, found coordinate by
+coordinate within what the budget leaves. The number of cuts grows with the
+number of vectors, so cells keep their size. Cells are dealt out in chunks of
+targets and chunks of what these are compared with, so a task holds a bounded
+number of vectors whatever crowds there are. Tasks return counts of links per
+vector and a spanning forest of their links, never the pairs.
 
 Equal vectors are one class with a weight, so copies cost nothing further.
 """
@@ -34,10 +36,8 @@ from logstrata.llm.components import components
 from logstrata.llm.scratch import Scratch, join_back
 
 BLOCK = 8
-#: Targets of a task on average, and at most.
-CELL, CHUNK = 1024, 2048
-#: Halved coordinates of a block at most.
-MOST_CUTS = 6
+#: Targets of a cell on average, targets of a task at most, and other vectors that a task compares them with on average.
+CELL, CHUNK, OTHERS = 1024, 2048, 8192
 _SLACK = 1e-9
 
 
@@ -81,28 +81,42 @@ def _units(raw: list[bytes]) -> np.ndarray:
 class Grid:
     """Of one vector length: the blocks, their budgets and the cells of their grids."""
 
-    def __init__(self, size: int, threshold: float, cuts: np.ndarray):
+    def __init__(self, size: int, threshold: float, cuts: list[list[np.ndarray]]):
         self.bounds = block_bounds(size)
         self.turn = rotation(size)
         widths = np.diff(self.bounds)
         self.budgets = (2 - 2 * threshold) * widths / size + _SLACK
-        self.cuts = cuts  # (blocks, cut coordinates)
+        self.cuts = cuts  # of each block, of each coordinate: where it is cut
+
+    def within(self, x: np.ndarray, y: np.ndarray, block: int) -> np.ndarray:
+        """Which pairs of turned rows are within budget in a block: the one test for this, by the difference itself."""
+        low, high = self.bounds[block], self.bounds[block + 1]
+        return ((x[:, low:high] - y[:, low:high]) ** 2).sum(1) <= self.budgets[block]
 
     def cells(self, turned: np.ndarray, block: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """The own cell of each row, and for each the cells after it that are within reach."""
         low = self.bounds[block]
-        k = min(self.cuts.shape[1], self.bounds[block + 1] - low)
-        gap = turned[:, low : low + k] - self.cuts[block, :k]
-        side = gap >= 0
-        weights = 1 << np.arange(k)
-        own = side @ weights
-        reach = gap**2
-        every = np.arange(1 << k)
-        bits = (every[:, None] & weights) > 0
-        # To reach a cell, a row has to cross each cut on whose other side the cell is.
-        far = (reach[:, None, :] * (bits[None, :, :] != side[:, None, :])).sum(axis=2)
-        near = (far <= self.budgets[block]) & (every[None, :] > own[:, None])
-        return own, [np.flatnonzero(x) for x in near]
+        own, row, cell, cost = np.zeros(len(turned), np.int64), np.arange(len(turned)), np.zeros(len(turned), np.int64), np.zeros(len(turned))
+        for c, cuts in enumerate(self.cuts[block]):
+            x, n = turned[:, low + c], len(cuts) + 1
+            own = own * n + np.searchsorted(cuts, x, "right")
+            # To reach an interval, a row has to go to its nearer end.
+            ends = np.concatenate([[-np.inf], cuts, [np.inf]])
+            far = np.maximum(0, np.maximum(ends[:-1] - x[:, None], x[:, None] - ends[1:])) ** 2
+            cost = (cost[:, None] + far[row]).ravel()
+            row, cell = np.repeat(row, n), (cell[:, None] * n + np.arange(n)).ravel()
+            near = cost <= self.budgets[block] + _SLACK
+            row, cell, cost = row[near], cell[near], cost[near]
+        later = cell > own[row]
+        row, cell = row[later], cell[later]
+        return own, np.split(cell, np.cumsum(np.bincount(row, minlength=len(turned)))[:-1]) if len(turned) else []
+
+
+def block_cuts(sample: np.ndarray, n: int) -> list[np.ndarray]:
+    """The cuts of each coordinate for n vectors in cells of CELL: as many halvings as that takes, dealt out in turn."""
+    halvings, width = max(0, int(np.ceil(np.log2(max(1, n) / CELL)))), sample.shape[1]
+    each = [halvings // width + (c < halvings % width) for c in range(width)]
+    return [np.unique(np.quantile(sample[:, c], np.arange(1, 1 << h) / (1 << h))) for c, h in enumerate(each)]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, grid: Grid, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -110,17 +124,18 @@ def _pairs(a: np.ndarray, b: np.ndarray, grid: Grid, block: int, threshold: floa
     low, high = grid.bounds[block], grid.bounds[block + 1]
     x, y = a[:, low:high], b[:, low:high]
     d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-    i, j = np.nonzero(d2 <= grid.budgets[block])
+    i, j = np.nonzero(d2 <= grid.budgets[block] + _SLACK)  # with room for its rounding
     keep_i, keep_j = [], []
     for at in range(0, i.size, 1 << 17):
-        p, q = a[i[at : at + (1 << 17)]], b[j[at : at + (1 << 17)]]
+        m, n = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+        p, q = a[m], b[n]
         ok = np.einsum("ij,ij->i", p, q) >= threshold - 1e-7
-        diff = (p[ok] - q[ok]) ** 2
-        first = np.ones(len(diff), bool)
+        m, n, p, q = m[ok], n[ok], p[ok], q[ok]
+        first = grid.within(p, q, block)
         for earlier in range(block):
-            first &= diff[:, grid.bounds[earlier] : grid.bounds[earlier + 1]].sum(1) > grid.budgets[earlier]
-        keep_i.append(i[at : at + (1 << 17)][ok][first])
-        keep_j.append(j[at : at + (1 << 17)][ok][first])
+            first &= ~grid.within(p, q, earlier)
+        keep_i.append(m[first])
+        keep_j.append(n[first])
     return (np.concatenate(keep_i), np.concatenate(keep_j)) if keep_i else (np.empty(0, int), np.empty(0, int))
 
 
@@ -166,10 +181,8 @@ def join_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         sample = classes.where(F.octet_length("v") == size * 8).select("v").orderBy("class").limit(2048).toPandas()
         turned = _units(list(sample.v)) @ rotation(size)
         bounds = block_bounds(size)
-        k = int(np.clip(np.ceil(np.log2(max(1, n) / CELL)), 0, min(MOST_CUTS, np.diff(bounds).min())))
-        cuts = np.array([np.median(turned[:, b : b + k], axis=0) for b in bounds[:-1]]).reshape(len(bounds) - 1, k)
-        grids[size] = Grid(size, threshold, cuts)
-    place_schema = "size int, block int, cell int, probe boolean, class long"
+        grids[size] = Grid(size, threshold, [block_cuts(turned[:, a:b], n) for a, b in zip(bounds, bounds[1:], strict=False)])
+    place_schema = "size int, block int, cell long, probe boolean, class long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -188,23 +201,28 @@ def join_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
                         cells = np.concatenate([own, *others])
                         for c, v in zip(out, (np.full(cells.size, size), np.full(cells.size, block), cells, np.arange(cells.size) >= own.size, np.r_[ids[mine], np.repeat(ids[mine], counts)]), strict=True):
                             c.append(v)
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(out, kinds, strict=True)], ["size", "block", "cell", "probe", "class"])
 
     # Without the vectors: a row per class and cell that it takes part in.
     placed = scratch.table(classes.select("class", "v").mapInArrow(place, place_schema), "placed")
     where = ["size", "block", "cell"]
-    crowd = placed.where("not probe").groupBy(*where).agg(F.count("*").alias("targets"))
-    crowd = crowd.select(*where, F.ceil(F.col("targets") / CHUNK).cast("int").alias("chunks"))
-    spread = join_back(placed.withColumn("cell", F.col("cell").cast("long")), crowd.withColumn("cell", F.col("cell").cast("long")), "cell", beside=("size", "block"))  # a cell without targets has nothing to be compared with
+    crowd = placed.groupBy(*where).agg(F.count_if(~F.col("probe")).alias("targets"), F.count("*").alias("all")).where("targets > 0")
+    crowd = crowd.select(*where, F.ceil(F.col("targets") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("all") / OTHERS).cast("int").alias("parts"))
+    spread = join_back(placed, crowd, "cell", beside=("size", "block"))  # a cell without targets has nothing to be compared with
     own = F.pmod(F.xxhash64("class", "block"), F.col("chunks")).cast("int")
-    # A target stands in its chunk and is a probe in the chunks after it; a probe of another cell goes to all.
-    spread = spread.select(*where, "probe", "class", own.alias("own"), F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.sequence(own, F.col("chunks") - 1))).alias("chunk"))
-    spread = spread.select(*where, "chunk", "class", (F.col("probe") | (F.col("own") != F.col("chunk"))).alias("probe"))
+    part = F.pmod(F.xxhash64("class", "block", F.lit(1)), F.col("parts")).cast("int")
+    # A target stands in each part of its chunk and is a probe of the chunks after it; a probe of another cell goes to all
+    # chunks. Of a chunk's probes each part has some.
+    mine = F.when(~F.col("probe"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(own.alias("chunk"), p.alias("part"), F.lit(False).alias("probe"))))
+    first = F.when(F.col("probe"), F.lit(0)).otherwise(own + 1)
+    others = F.when(first < F.col("chunks"), F.transform(F.sequence(first, F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), part.alias("part"), F.lit(True).alias("probe"))))
+    none = F.array().cast("array<struct<chunk:int,part:int,probe:boolean>>")
+    spread = spread.select(*where, "class", F.inline(F.concat(F.coalesce(mine, none), F.coalesce(others, none))))
     filled = spread.join(classes.select("class", "v", "weight"), "class")
 
     def compare(table: pa.Table) -> pa.Table:
-        size, block = table.column("size")[0].as_py(), table.column("block")[0].as_py()
+        size, block, part = (table.column(c)[0].as_py() for c in ("size", "block", "part"))
         grid = grids[size]
         probe = np.array(table.column("probe").to_pylist(), bool)
         ids, weight = table.column("class").to_numpy(), table.column("weight").to_numpy()
@@ -221,7 +239,7 @@ def join_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
             rows = slice(at, min(at + CHUNK, len(ids)))
             # Targets with later targets, then all targets with probes.
             for same, x, y in ((True, slice(0, min(t, rows.stop)), slice(rows.start, min(t, rows.stop))), (False, slice(0, t), slice(max(t, rows.start), rows.stop))):
-                if x.stop <= x.start or y.stop <= y.start:
+                if x.stop <= x.start or y.stop <= y.start or same and part:  # targets meet in the first part only
                     continue
                 i, j = _pairs(turned[x], turned[y], grid, block, threshold)
                 i, j = i + x.start, j + y.start
@@ -238,7 +256,7 @@ def join_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         b = np.r_[ids[linked], ids[[e[1] for e in edges]].astype(np.int64)]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(np.r_[links[linked], np.zeros(len(edges), np.int64)], pa.int64())})
 
-    found = scratch.table(filled.groupBy(*where, "chunk").applyInArrow(compare, "a long, b long, links long"), "found")
+    found = scratch.table(filled.groupBy(*where, "chunk", "part").applyInArrow(compare, "a long, b long, links long"), "found")
     links = found.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     groups = components(found.where("a != b").select("a", "b"), scratch)
     marked = classes.select("class", "least", "weight").join(links, "class", "left").join(groups, F.col("class") == F.col("node"), "left")

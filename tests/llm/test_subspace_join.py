@@ -74,3 +74,28 @@ def test_chains_copies_and_crowds(spark, monkeypatch):
 def test_empty_table(spark):
     assert sj.join_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert run(spark, [(5, None)]) == [(5, 0, 5)]
+
+
+@pytest.mark.parametrize("cell", [4, 0.25])
+def test_small_cells_and_small_tasks(spark, monkeypatch, cell):
+    """Coordinates cut in two and in four, tasks of a few vectors; every pair is counted in one block."""
+    for name, value in (("CHUNK", 8), ("OTHERS", 20), ("CELL", cell)):
+        monkeypatch.setattr(sj, name, value)
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((9, 16))
+    rows = [(i, as_float32(centres[i % 9] + rng.standard_normal(16) * rng.choice([0.05, 0.2, 1.0]))) for i in range(300)]
+    rows += [(1000 + i, as_float32(np.eye(16)[0] + 1e-4 * rng.standard_normal(16))) for i in range(60)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_cells_within_reach_are_all_found():
+    rng = np.random.default_rng(2)
+    points = rng.standard_normal((200, 8)) * 0.12
+    cuts = sj.block_cuts(points, 1 << 21)
+    assert [len(c) for c in cuts] == [3, 3, 3, 1, 1, 1, 1, 1]
+    grid = sj.Grid(8, 0.95, [cuts])
+    own, others = grid.cells(points, 0)
+    far = ((points[:, None] - points[None]) ** 2).sum(2)
+    for i, j in np.argwhere(far <= grid.budgets[0]):
+        assert own[i] == own[j] or (own[j] in others[i]) == (own[j] > own[i])
+        assert own[i] >= own[j] or own[j] in others[i]
