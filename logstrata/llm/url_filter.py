@@ -77,14 +77,17 @@ def train(block: list[str], allow: list[str], *, sizes: tuple[int, ...] = (3, 4,
     rows = [_grams(*split_url(u), sizes, buckets) for u in [*block, *allow]]
     y = np.array([1.0] * len(block) + [0.0] * len(allow))
     weight = np.where(y == 1, 0.5 / max(1, len(block)), 0.5 / max(1, len(allow)))
-    x = np.zeros((len(rows), buckets))
+    used = np.unique(np.concatenate([np.empty(0, np.int64), *rows]))
+    x = np.zeros((len(rows), used.size))
     for r, at in zip(x, rows, strict=True):
-        r[at] = 1 / np.sqrt(max(1, at.size))
+        r[np.searchsorted(used, at)] = 1 / np.sqrt(max(1, at.size))
     gram, alpha = x @ x.T, np.zeros(len(rows))
     for _ in range(rounds if len(rows) else 0):
         slack = (y - 1 / (1 + np.exp(-(gram @ alpha)))) * weight
         alpha += rate * (slack - l2 * alpha)
-    return UrlModel(x.T @ alpha, float(np.log(prior / (1 - prior))), sizes)
+    weights = np.zeros(buckets)
+    weights[used] = x.T @ alpha
+    return UrlModel(weights, float(np.log(prior / (1 - prior))), sizes)
 
 
 Rule = tuple[str, str, str]  # verdict, host, path
