@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from logstrata.operators.resolve import live
 
+#: Ranges that are counted in one pass.
+FEW_RANGES = 64
+
 
 def get(ops: DataFrame, key: str) -> DataFrame:
     """The live row of a key, or no row."""
@@ -61,10 +64,18 @@ def key_bounds(ops: DataFrame) -> DataFrame:
 def range_counts(ops: DataFrame, ranges: DataFrame) -> DataFrame:
     """(range_id, n): live keys in each half-open range of (range_id, start, end); null is no bound.
 
-    The ranges are a query, few beside the keys: they are broadcast by the optimiser, and the pairs
-    are counted before anything is shuffled.
+    Up to ``FEW_RANGES`` ranges are counted in one pass without a join: a range has the keys below its end
+    without those below its start. More of them are joined, and the pairs counted before anything is shuffled.
     """
     keys = live(ops).select("key")
+    few = ranges.select("start", "end").limit(FEW_RANGES + 1).collect()
+    if len(few) <= FEW_RANGES:
+        bounds = sorted({b for r in few for b in r if b is not None})
+        below = keys.agg(F.count("*").alias("all"), F.array(F.lit(0).cast("long"), *[F.count_if(F.col("key") < b) for b in bounds]).alias("below"))
+        at = F.create_map(*[x for i, b in enumerate(bounds) for x in (F.lit(b), F.lit(i + 1))]) if bounds else F.lit(None).cast("map<string,int>")
+        upper = F.when(F.col("end").isNull(), F.col("all")).otherwise(F.get("below", at[F.col("end")]))
+        lower = F.when(F.col("start").isNull(), F.lit(0)).otherwise(F.get("below", at[F.col("start")]))
+        return ranges.join(F.broadcast(below), F.lit(True)).select("range_id", F.greatest(upper - lower, F.lit(0)).alias("n"))  # of one row
     inside = (F.col("start").isNull() | (F.col("key") >= F.col("start"))) & (F.col("end").isNull() | (F.col("key") < F.col("end")))
     counted = keys.join(ranges, inside).groupBy("range_id").agg(F.count("*").alias("n"))
     return ranges.select("range_id").join(counted, "range_id", "left").select("range_id", F.coalesce("n", F.lit(0)).alias("n"))

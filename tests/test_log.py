@@ -177,3 +177,14 @@ def test_fail_mode_fails_whatever_columns_are_read(spark):
     with pytest.raises(Exception, match="checksum mismatch"):
         checked(log, order="id", payload="p", crc="crc", mode="fail").select("id", "p").collect()
     assert checked(log.where("id = 1"), order="id", payload="p", crc="crc", mode="fail").select("id").count() == 1
+
+
+def test_range_counts_with_few_and_many_ranges(spark, monkeypatch):
+    ops = frame(spark, log(*[(f"k{i:03d}", "v") for i in range(50)], ("k010",)))
+    ranges = [("all", None, None), ("low", None, "k005"), ("high", "k045", None), ("mid", "k008", "k012"), ("empty", "k9", "k1"), ("same", "k003", "k003"), ("mid", "k008", "k012")]
+    df = spark.createDataFrame(ranges, "range_id string, start string, end string")
+    want = {"all": 49, "low": 5, "high": 5, "mid": 3, "empty": 0, "same": 0}
+    assert {r.range_id: r.n for r in scan.range_counts(ops, df).collect()} == want
+    assert scan.range_counts(ops, df.limit(0)).count() == 0
+    monkeypatch.setattr(scan, "FEW_RANGES", 2)
+    assert {r.range_id: r.n for r in scan.range_counts(ops, df.dropDuplicates()).collect()} == want
