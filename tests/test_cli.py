@@ -11,9 +11,9 @@ def test_range_bench(spark, tmp_path):
 def test_demo(spark, tmp_path, capsys):
     cli.demo(spark, str(tmp_path))
     shown = capsys.readouterr().out
-    assert "users 3" in shown
-    assert "products 1" in shown
-    assert "[user:1001, user:1003) 2" in shown
+    assert "birds 3" in shown
+    assert "trees 1" in shown
+    assert "[bird:heron, bird:stork) 2" in shown
 
 
 def test_workload(spark, tmp_path):
