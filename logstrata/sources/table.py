@@ -80,7 +80,8 @@ class KVTable:
         if self.disk_budget is not None and sum(f.bytes for f in files) + row[7] > self.disk_budget:
             self.manifest.delete(f"{self.root}/{row[2]}")
             raise DiskFull(f"{self.root}: more than {self.disk_budget} bytes")
-        if row[8] <= self.manifest.low_water():
+        low_water = self.manifest.low_water()
+        if low_water is not None and row[8] <= low_water:
             self.manifest.delete(f"{self.root}/{row[2]}")
             raise LateOperation(f"{self.root}: operation {row[8]} is older than a dropped tombstone")
         version = self.manifest.commit([tuple(f) for f in files] + [row], batch=batch)
@@ -94,11 +95,11 @@ class KVTable:
         number, gone = max(f.file_num for f in files) + 1, {f.file_num for f in inputs}
         left = [f for f in files if f.file_num not in gone]
         low, high, newest = min(f.min_key for f in inputs), max(f.max_key for f in inputs), max(f.max_seq for f in inputs)
-        rows, low_water = self._read(inputs), 0
+        rows, low_water = self._read(inputs), None
         horizon = max(f.max_seq for f in files) - self.lateness
         drop = any(f.n_tombstones for f in inputs) and not any(f.max_key >= low and f.min_key <= high and f.min_seq < newest for f in left)
         if drop:
-            low_water = rows.where(F.col("deleted") & (F.col("seq") <= horizon)).agg(F.max("seq")).first()[0] or 0
+            low_water = rows.where(F.col("deleted") & (F.col("seq") <= horizon)).agg(F.max("seq")).first()[0]
         merged = compact([rows], bottom=False)
         if drop:
             merged = merged.where(~F.col("deleted") | (F.col("seq") > horizon))

@@ -159,6 +159,27 @@ def test_deleted_keys_stay_deleted_through_half_merges(spark, tmp_path):
         assert as_dict(table.snapshot()) == snapshot(ops)
 
 
+def test_the_first_operation_may_have_any_number(spark, tmp_path):
+    for first in (0, -5):
+        table = KVTable(spark, str(tmp_path / f"t{first}"), l0_runs=2)
+        table.flush(frame(spark, [("a", first, "x", False), ("b", first + 1, "y", False)]))
+        table.flush(frame(spark, [("c", first + 2, "z", False)]))
+        table.compact()
+        assert as_dict(table.snapshot()) == {"a": "x", "b": "y", "c": "z"}
+        table.flush(frame(spark, [("d", first - 1, "late", False)]))  # no tombstone was dropped
+        assert as_dict(table.snapshot()) == {"a": "x", "b": "y", "c": "z", "d": "late"}
+
+
+def test_a_dropped_tombstone_may_have_number_0(spark, tmp_path):
+    table = KVTable(spark, str(tmp_path / "t"))
+    table.flush(frame(spark, [("k", 0, None, True)]))
+    table.flush(frame(spark, [("a", 1, "x", False)]))
+    table.compact(force=True)
+    assert [r.key for r in table.ops().collect()] == ["a"]
+    with pytest.raises(LateOperation):
+        table.flush(frame(spark, [("k", -1, "old", False)]))
+
+
 def test_operations_older_than_a_dropped_tombstone_are_refused(spark, tmp_path):
     table = KVTable(spark, str(tmp_path / "t"), l0_runs=1)
     table.flush(frame(spark, [("k", 10, None, True), ("a", 11, "x", False)]))
