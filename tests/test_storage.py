@@ -120,6 +120,15 @@ def test_streams(spark, tmp_path):
     assert as_dict(table.snapshot()) == snapshot(ops) and len(table._files()) == files
 
 
+def test_a_stream_may_begin_with_operation_0(spark, tmp_path):
+    ops = [(f"k{i}", i, f"v{i}", False) for i in range(6)]
+    table = KVTable(spark, str(tmp_path / "table"))
+    frame(spark, ops).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame(spark, []).schema).parquet(str(tmp_path / "in"))
+    upsert_stream(stream, table, str(tmp_path / "cp")).awaitTermination()
+    assert as_dict(table.snapshot()) == snapshot(ops)
+
+
 def test_late_operations_are_stored(spark, tmp_path):
     ops = log(("a", "1"), ("b", "2"), ("c", "3"), ("a", "4"))
     table = KVTable(spark, str(tmp_path / "t"))
