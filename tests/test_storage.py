@@ -189,6 +189,15 @@ def test_a_dropped_tombstone_may_have_number_0(spark, tmp_path):
         table.flush(frame(spark, [("k", -1, "old", False)]))
 
 
+def test_half_merges_of_runs_that_begin_with_operation_0(spark, tmp_path):
+    ops = [(f"k{i}", i, f"v{i}", False) for i in range(4)] + [("k0", 4, None, True), ("k1", 5, "new", False)]
+    table = KVTable(spark, str(tmp_path / "t"), layout="append")
+    for at in range(0, 6, 2):
+        table.flush(frame(spark, ops[at : at + 2]))
+    table.compact(force=True)
+    assert as_dict(table.snapshot()) == snapshot(ops)
+
+
 def test_operations_older_than_a_dropped_tombstone_are_refused(spark, tmp_path):
     table = KVTable(spark, str(tmp_path / "t"), l0_runs=1)
     table.flush(frame(spark, [("k", 10, None, True), ("a", 11, "x", False)]))
