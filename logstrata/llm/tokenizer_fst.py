@@ -28,9 +28,14 @@ a pair across the boundary would have been merged before. A text has one path
 of finite cost, for each prefix as well, so a node needs the best piece before
 it only; and that path is the BPE result.
 
-Texts are cut before each U+2581 that follows another character, where no piece
-of the vocabulary spans the cut; the paths of equal segments are kept in a
-bounded cache. A vocabulary with such a piece is not cut.
+Texts are cut into segments where no arc can span the cut, so paths are put
+together from those of the segments. For BPE models that is between any two
+characters that aren't neighbours in a piece; merges on either side don't depend
+on each other. For unigram models, whose sums are rounded and whose unknown
+characters run together, it is before each U+2581 that follows another
+character, or nowhere if a piece spans such a cut. Paths of equal segments are
+searched once and kept, within bounds; a segment is looked up by a hash of its
+characters and compared with the characters that are kept.
 """
 
 from __future__ import annotations
@@ -38,7 +43,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +60,13 @@ UNIGRAM, BPE = 1, 2
 class Table:
     """A hash table from non-negative integers to integers, looked up for whole arrays; -1 where there is none."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * max(1, keys.size) - 1).bit_length() + 1)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, *, room: int = 1):
+        self.bits = max(4, int(2 * max(room, keys.size) - 1).bit_length() + 1)
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        self.add(keys, values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that aren't there; all keys together are ``room`` at most."""
         left = np.arange(keys.size)
         at = self._slot(keys)
         while left.size:
@@ -195,13 +203,25 @@ class Pieces:
         return apart
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each run of ``sizes`` places, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if ends.size else 0)
+
+
 class Lattice:
     """Segments composed with P and B: nodes are places between characters, in the order of segments and places."""
 
-    def __init__(self, pieces: Pieces, segments: list[str]):
-        sizes = np.array([len(s) for s in segments], np.int64)
+    def __init__(self, pieces: Pieces, segments: list[str] | np.ndarray, sizes: np.ndarray | None = None):
+        """``segments``: texts, or with their ``sizes`` their code points in a row."""
+        if sizes is None:
+            sizes, segments = np.array([len(s) for s in segments], np.int64), code_points("".join(segments))
         none = len(pieces.symbol)
-        text = pieces.symbol_of[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        text = pieces.symbol_of[segments].astype(np.int64)
         owner = np.repeat(np.arange(sizes.size), sizes)
         ends = np.cumsum(sizes)
         self.first = ends - sizes + np.arange(sizes.size)  # the first node of each segment; it has one node more than characters
@@ -260,10 +280,44 @@ class Lattice:
         return pieces[order], ends[order], np.searchsorted(who[order], np.arange(self.first.size + 1))
 
 
+#: Of the segments' hashes, modulo 2^64: the base of the polynomial, an odd number.
+BASE = 0x9E3779B97F4A7C15
+
+
+class Paths:
+    """Segments and the ids of their paths, both in a row, and a table from a segment's hash to its number."""
+
+    def __init__(self, room: int):
+        self.room, self.used, self.table = room, 0, Table(np.empty(0, np.int64), np.empty(0, np.int64), room=room)
+        self.chars, self.ids = np.empty(0, np.uint32), np.empty(0, np.int32)
+        self.begins, self.sizes, self.firsts, self.counts = (np.empty(0, np.int64) for _ in range(4))  # of characters and ids
+
+    def full(self) -> bool:
+        return max(self.used * 8, self.sizes.size * 4) > self.room * 7 or max(self.chars.size, self.ids.size) > 32 * self.room + 100_000
+
+    def append(self, chars: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+        """The numbers of new segments; without ``keys``, or beyond the room, they can't be looked up."""
+        numbers = self.sizes.size + np.arange(sizes.size)
+        if keys is not None:
+            fit = min(keys.size, self.room - self.used)
+            self.table.add(keys[:fit], numbers[:fit])
+            self.used += fit
+        self.begins = np.concatenate([self.begins, self.chars.size + np.cumsum(sizes) - sizes])
+        self.firsts = np.concatenate([self.firsts, self.ids.size + np.cumsum(counts) - counts])
+        self.sizes, self.counts = np.concatenate([self.sizes, sizes]), np.concatenate([self.counts, counts])
+        self.chars, self.ids = np.concatenate([self.chars, chars]), np.concatenate([self.ids, ids])
+        return numbers
+
+    def differ(self, numbers: np.ndarray, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which segments of a text, that follow each other without a gap, aren't those of these numbers."""
+        same = text == self.chars.take(spread(self.begins[numbers], sizes), mode="clip")
+        return np.flatnonzero(~np.logical_and.reduceat(same, begin) | (self.sizes[numbers] != sizes))
+
+
 class SentencePieceFst:
     """The compiled machines of one model."""
 
-    def __init__(self, model: bytes, cache_size: int = 300_000):
+    def __init__(self, model: bytes, cache_size: int = 1 << 18):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -288,7 +342,17 @@ class SentencePieceFst:
         self.pieces = Pieces(id_of, score, merges=self.kind == BPE)
         self.weights = np.where(self.pieces.ids >= 0, -self.pieces.score, np.float32(10.0) - np.float32(min((score[i] for i in id_of.values()), default=0.0))).astype(np.float32)
         inner = any(SPACE in p.lstrip(SPACE) for p in id_of)
-        self.cut = None if inner else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.cut = not inner  # before spaces; for unigram models
+        # Characters by what they may be followed by, or follow, in a piece: 0 for nothing.
+        pairs = {pair for p in id_of for pair in zip(p, p[1:], strict=False)}
+        self.before, self.after = (np.zeros(0x110000, np.int32) for _ in range(2))
+        for of, side in ((self.before, 0), (self.after, 1)):
+            for n, c in enumerate(sorted({pair[side] for pair in pairs}), 1):
+                of[ord(c)] = n
+        self.width = int(self.after.max()) + 1
+        self.neighbours = np.zeros((int(self.before.max()) + 1) * self.width, bool)
+        for x, y in pairs:
+            self.neighbours[self.before[ord(x)] * self.width + self.after[ord(y)]] = True
         #: What each id spells when decoded.
         self.bytes_of = [b""] * len(proto.pieces)
         for i, p in enumerate(proto.pieces):
@@ -298,9 +362,11 @@ class SentencePieceFst:
                 self.bytes_of[i] = bytes([int(p.piece[3:5], 16)])
             elif p.type == UNKNOWN:
                 self.bytes_of[i] = self.unknown_surface
+        self.bytes_in_a_row = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.n_bytes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
         self.cache_size = cache_size
-        self._paths: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
+        self._paths = Paths(cache_size)
 
     # N
     def normalise(self, text: str) -> str:
@@ -332,43 +398,83 @@ class SentencePieceFst:
             unknown = not known
         return tuple(out)
 
-    def _search(self, segments: list[str]) -> dict[str, tuple[int, ...]]:
-        """The paths of segments, searched together."""
-        found: dict[str, tuple[int, ...]] = {}
-        for at in range(0, len(segments), 8_000):
-            part = segments[at : at + 8_000]
-            pieces, ends, stops = Lattice(self.pieces, part).paths(self._weight)
-            ids = self.pieces.ids[pieces]
-            plain, stops = ids.tolist(), stops.tolist()
-            found.update(zip(part, (tuple(plain[a:b]) for a, b in zip(stops, stops[1:], strict=False)), strict=True))
+    def _search(self, text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the paths of segments, which lie in a row, and how many each has; searched 8,000 together."""
+        found, counts, ends = [], [], np.cumsum(sizes)
+        for at in range(0, sizes.size, 8_000):
+            own = sizes[at : at + 8_000]
+            part = text[ends[at] - own[0] : ends[at + own.size - 1]]
+            pieces, places, stops = Lattice(self.pieces, part, own).paths(self._weight)
+            ids, count, done = self.pieces.ids[pieces], np.diff(stops), 0
+            begin = np.cumsum(own) - own
             for n in np.unique(np.searchsorted(stops, np.flatnonzero(ids < 0), "right") - 1).tolist():
                 a, b = stops[n], stops[n + 1]
-                found[part[n]] = self._emit(part[n], plain[a:b], ends[a:b].tolist())
-        return found
+                segment = part[begin[n] : begin[n] + own[n]].tobytes().decode("utf-32-le", "surrogatepass")
+                emitted = self._emit(segment, ids[a:b].tolist(), places[a:b].tolist())
+                found += [ids[done:a], np.array(emitted, np.int64)]
+                count[n], done = len(emitted), b
+            found.append(ids[done:])
+            counts.append(count)
+        return np.concatenate(found).astype(np.int32), np.concatenate(counts)
+
+    def _cuts(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the segments of texts begin that lie in a row and begin at ``starts``."""
+        new = np.zeros(text.size, bool)
+        new[starts] = True
+        if self.kind == BPE:
+            new[1:] |= ~self.neighbours[self.before[text[:-1]] * self.width + self.after[text[1:]]]
+        elif self.cut:
+            new[1:] |= (text[1:] == ord(SPACE)) & (text[:-1] != ord(SPACE))
+        return np.flatnonzero(new)
+
+    def encode_row(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's end."""
+        plain = [self.normalise(t) for t in texts]
+        ends, text = np.cumsum([len(t) for t in plain], dtype=np.int64), code_points("".join(plain))
+        if not text.size:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        begin = self._cuts(text, np.concatenate([[0], ends[ends < text.size]]))
+        sizes = np.diff(begin, append=text.size)
+        # A polynomial over the characters; sums up to a place differ by that of a segment times a power.
+        power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(text.size - 1, x % (1 << 64), np.uint64)])) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text + np.uint64(1)) * power)])
+        keys = ((total[begin + sizes] - total[begin]) * back[begin] & np.uint64((1 << 63) - 1)).astype(np.int64)
+        if self._paths.full():
+            self._paths = Paths(self.cache_size)
+        paths = self._paths
+        number = paths.table.get(keys)
+        new = np.flatnonzero(number < 0)
+        if new.size:
+            own, first, where = np.unique(keys[new], return_index=True, return_inverse=True)
+            first = new[first]
+            number[new] = self._add(text[spread(begin[first], sizes[first])], sizes[first], own)[where]
+        other = paths.differ(number, text, begin, sizes)
+        if other.size:  # their hash is that of another segment
+            number[other] = self._add(text[spread(begin[other], sizes[other])], sizes[other], None)
+        counts = paths.counts[number]
+        so_far = np.concatenate([[0], np.cumsum(counts)])
+        return paths.ids[spread(paths.firsts[number], counts)], so_far[np.searchsorted(begin, ends)]
+
+    def _add(self, chars: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None) -> np.ndarray:
+        return self._paths.append(chars, sizes, *self._search(chars, sizes), keys)
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.cut.findall(t) if self.cut else [t] if t else [] for t in map(self.normalise, texts)]
-        if len(self._paths) >= self.cache_size // 2:  # what wasn't met since the last time goes
-            self._older, self._paths = self._paths, {}
-        new = set(chain.from_iterable(cut)).difference(self._paths)
-        again = new.intersection(self._older)
-        self._paths.update(zip(again, map(self._older.__getitem__, again), strict=True))
-        found = self._search(list(new - again))
-        self._paths.update(found)
-        get = self._paths.__getitem__
-        out = [list(chain.from_iterable(map(get, own))) for own in cut]
-        for s in found:
-            if len(s) > 64:  # rare: not worth a place
-                del self._paths[s]
-        return out
+        ids, ends = self.encode_row(texts)
+        return [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
+    def decode_row(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids that lie in a row and end at ``ends``."""
+        sizes = self.n_bytes[ids]
+        data = self.bytes_in_a_row[spread(self.first_byte[ids], sizes)].tobytes()
+        stops = np.concatenate([[0], np.cumsum(sizes)])[ends].tolist()
+        out = [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops], stops, strict=False)]
+        return [t[1:] if t[:1] == " " else t for t in out] if self.dummy_prefix else out
+
     def decode(self, ids: list[int]) -> str:
-        table = self.bytes_of
-        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+        return self.decode_row(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 @lru_cache(maxsize=2)
@@ -377,7 +483,7 @@ def compiled(model: bytes) -> SentencePieceFst:
     return SentencePieceFst(model)
 
 
-def _portions(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+def _portions(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
     """The texts in order, in lists of about ``chars`` characters at most, or one text."""
     part, size = [], 0
     for text in texts:
@@ -407,16 +513,19 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", *, decoded:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids, ends, same, back = [], [0], [], []
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                encoded = chain.from_iterable(map(fst.encode_all, _portions([t for t in texts if t is not None])))
-                for value in texts:
-                    mine = [] if value is None else next(encoded)
-                    ids.append(np.array(mine, dtype=np.int32))
-                    ends.append(ends[-1] + len(mine))
-                    plain = None if value is None else fst.decode(mine)
-                    same.append(plain == value)
-                    back.append(plain)
+                there = [t for t in texts if t is not None]
+                ids, counts, decoded_there = [np.empty(0, np.int32)], [], []
+                for part in _portions(there):
+                    own, stops = fst.encode_row(part)
+                    ids.append(own)
+                    counts.extend(np.diff(stops, prepend=0).tolist())
+                    decoded_there.extend(fst.decode_row(own, stops))
+                n_ids, back, ends = iter(counts), iter(decoded_there), [0]
+                back = [None if t is None else next(back) for t in texts]
+                for t in texts:
+                    ends.append(ends[-1] + (0 if t is None else next(n_ids)))
+                same = [a == b for a, b in zip(texts, back, strict=True)]
                 offsets = pa.array([None if t is None else e for t, e in zip(texts, ends, strict=False)] + [ends[-1]], pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 columns = [*batch.columns, lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(same)]

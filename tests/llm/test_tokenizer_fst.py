@@ -33,6 +33,30 @@ def test_bpe_equals_the_library(model):
         assert mine.decode(ids) == theirs.decode(ids)
 
 
+def test_segments_with_one_hash_are_told_apart(model, monkeypatch):
+    monkeypatch.setattr(fst, "BASE", 1)  # the hash is a sum of the characters
+    mine, theirs = fst.SentencePieceFst(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    values = ["listen silent enlist", "tinsel listen", "silent", "", "ad bc ad", "é\U0001f600", *texts(4, 300)]
+    assert mine.encode_all(values) == [theirs.encode(t) for t in values]
+    assert mine.encode_all(values[::-1]) == [theirs.encode(t) for t in values[::-1]]
+
+
+def test_words_are_searched_once_whatever_stands_beside_them(model, monkeypatch):
+    searched = []
+
+    class Counted(fst.Lattice):
+        def __init__(self, *given):
+            super().__init__(*given)
+            searched.append(self.nodes)
+
+    monkeypatch.setattr(fst, "Lattice", Counted)
+    mine, theirs = fst.SentencePieceFst(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    words, marks = ["gannet", "fulmar", "guillemot", "cormorant"], [".", ",", "!\n", "***", "\n\n", "&&&", "7", "?"]
+    text = " ".join(w + m + v for w in words for m in marks for v in words)
+    assert mine.encode(text) == theirs.encode(text)
+    assert sum(searched) < 200 < len(text)
+
+
 def unigram(byte_fallback):
     """A small unigram model, put together by hand."""
     rng = random.Random(7)
