@@ -22,6 +22,9 @@ from logstrata.operators.resolve import as_of, compact, live
 from logstrata.sources.manifest import Manifest
 
 LAYOUTS = ("append", "levelled", "clustered")
+# The filter of a file takes the size that its keys need: 128 KB for RUN_ENTRIES of them, down to 1 KB. Without
+# these settings each takes 1 MB, however few keys a partition has.
+BLOOM = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(128 << 10), "parquet.bloom.filter.candidates.number#key": "12"}
 
 
 class KVTable:
@@ -59,7 +62,7 @@ class KVTable:
         """One sorted run in files of a bounded number of entries; its manifest row, or None if it has no rows."""
         path = f"runs/L{level}-{number:06d}"
         ordered = rows.select("key", "seq", "value", "deleted").repartitionByRange("key").sortWithinPartitions("key")
-        ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("maxRecordsPerFile", R.RUN_ENTRIES).parquet(f"{self.root}/{path}")
+        ordered.write.mode("overwrite").options(**BLOOM).option("maxRecordsPerFile", R.RUN_ENTRIES).parquet(f"{self.root}/{path}")
         figures = R.summarise(self.spark.read.schema(OP_LOG).parquet(f"{self.root}/{path}")).first()
         if not figures or not figures.n_entries:
             self.manifest.delete(f"{self.root}/{path}")

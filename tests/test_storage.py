@@ -198,6 +198,26 @@ def test_half_merges_of_runs_that_begin_with_operation_0(spark, tmp_path):
     assert as_dict(table.snapshot()) == snapshot(ops)
 
 
+@pytest.mark.parametrize("layout", ("append", "levelled"))
+def test_runs_in_many_partitions_take_little_room(spark, tmp_path, layout):
+    ops = [(f"k{i:02d}", i, f"v{i}", i % 5 == 4) for i in range(64)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        table = KVTable(spark, str(tmp_path / "t"), layout=layout)
+        table.flush(frame(spark, ops[:32]))
+        table.flush(frame(spark, ops[32:]))
+        table.compact(force=True)
+        written = list((tmp_path / "t" / "runs").rglob("*.parquet"))
+        assert len(written) > 32 and sum(f.stat().st_size for f in written) < 10_000 * len(written)
+        assert as_dict(table.snapshot()) == snapshot(ops)
+        assert as_dict(table.get("k07")) == {"k07": "v7"} and table.get("k04").count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_operations_older_than_a_dropped_tombstone_are_refused(spark, tmp_path):
     table = KVTable(spark, str(tmp_path / "t"), l0_runs=1)
     table.flush(frame(spark, [("k", 10, None, True), ("a", 11, "x", False)]))
