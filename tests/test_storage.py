@@ -129,6 +129,24 @@ def test_a_stream_may_begin_with_operation_0(spark, tmp_path):
     assert as_dict(table.snapshot()) == snapshot(ops)
 
 
+def test_a_stream_in_many_partitions_takes_little_room(spark, tmp_path):
+    ops = [(f"k{i:02d}", i, f"v{i}", False) for i in range(32)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        table = KVTable(spark, str(tmp_path / "table"))
+        frame(spark, ops).coalesce(1).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(frame(spark, []).schema).parquet(str(tmp_path / "in"))
+        upsert_stream(stream, table, str(tmp_path / "cp")).awaitTermination()
+        written = list((tmp_path / "table" / "runs").rglob("*.parquet"))
+        assert len(written) > 8 and sum(f.stat().st_size for f in written) < 10_000 * len(written)
+        assert as_dict(table.snapshot()) == snapshot(ops)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_late_operations_are_stored(spark, tmp_path):
     ops = log(("a", "1"), ("b", "2"), ("c", "3"), ("a", "4"))
     table = KVTable(spark, str(tmp_path / "t"))
